@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewarden.functions.json_text import strict_object
 from tablewarden.functions.validators import iso_timestamp
 from tablewarden.functions.variables import last_wins, no_vars
 from tablewarden.schema import (
@@ -24,15 +25,8 @@ from tablewarden.schema import (
 
 
 def json_object(raw: Column) -> Column:
-    """``map<string,string>`` of a JSON object, NULL if the text is anything else.
-
-    ``from_json`` alone ignores whatever follows the closing brace. As the single
-    element of an array the same text has to be complete and on its own.
-    """
-    alone = F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))) == 1
-    closed = F.rtrim(raw).endswith("}")
-    parsed = F.from_json(raw, "map<string,string>", {"allowSingleQuotes": "false"})
-    return F.when(alone & closed, last_wins(parsed))
+    """``map<string,string>`` of a JSON object, NULL if the text is anything else."""
+    return last_wins(strict_object(raw, "map<string,string>"))
 
 
 def _has_other_keys(doc: Column, known: list[str], prefix: str) -> Column:

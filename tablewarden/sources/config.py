@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewarden.functions.json_text import strict_object
+
 CONFIG_JSON = """map<string,struct<
     partition_row_cnt_avg:double, partition_key:string, mode:string, cols:array<string>,
     checks:map<string,struct<violation_unit:string, check_type:string, severity:string,
@@ -15,7 +17,7 @@ def parse_config(docs: DataFrame, doc: str = "value") -> tuple[DataFrame, DataFr
     """The table dimension and the check dimension of configuration documents."""
     others = [c for c in docs.columns if c != doc]
     invalid = F.raise_error(F.lit("invalid instance configuration")).cast(CONFIG_JSON)
-    parsed = F.coalesce(F.from_json(F.col(doc), CONFIG_JSON), invalid)
+    parsed = F.coalesce(strict_object(F.col(doc), CONFIG_JSON), invalid)
     tables = docs.select(*others, F.explode(parsed).alias("table_name", "t"))
     dim_table = tables.select(
         *others,

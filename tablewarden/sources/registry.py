@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewarden.functions.json_text import strict_object
 from tablewarden.functions.variables import last_wins
 from tablewarden.schema import REGISTRY_FIELDS, REGISTRY_JSON
 
@@ -26,15 +27,11 @@ def parse_registry(docs: DataFrame, doc: str = "value") -> DataFrame:
     of that shape fails the job.
     """
     text = F.col(doc)
-    whole = (F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1) & F.rtrim(
-        F.regexp_replace(text, r"\s+$", "")
-    ).endswith("}")
-    parsed = F.from_json(text, REGISTRY_JSON, {"allowSingleQuotes": "false"})
     invalid = F.raise_error(F.concat(F.lit("invalid registry: "), F.substring(text, 1, 200)))
     others = [c for c in docs.columns if c != doc]
     tables = docs.select(
         *others,
-        F.explode(F.coalesce(F.when(whole, parsed), invalid.cast(REGISTRY_JSON))).alias(
+        F.explode(F.coalesce(strict_object(text, REGISTRY_JSON), invalid.cast(REGISTRY_JSON))).alias(
             "table_name", "_checks"
         ),
     )

@@ -13,5 +13,5 @@ def strict_object(text: Column, schema: str) -> Column:
     element of an array the same text has to be complete and on its own.
     """
     alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    closed = text.rlike(r"\}\s*$")
+    closed = F.rtrim(text, F.lit(" \t\r\n")).endswith("}")
     return F.when(alone & closed, F.from_json(text, schema, {"allowSingleQuotes": "false"}))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.json_text import strict_object
-from tablewarden.functions.validators import iso_timestamp
+from tablewarden.functions.validators import iso_timestamp, whole_number
 from tablewarden.functions.variables import last_wins, no_vars
 from tablewarden.schema import (
     CHECK_OUTPUT_KEYS,
@@ -24,9 +24,10 @@ from tablewarden.schema import (
 )
 
 
-def json_object(raw: Column) -> Column:
-    """``map<string,string>`` of a JSON object, NULL if the text is anything else."""
-    return last_wins(strict_object(raw, "map<string,string>"))
+def _with_object(outputs: DataFrame, raw: str) -> DataFrame:
+    """Add ``_doc``: ``map<string,string>`` of the JSON object, NULL for other text."""
+    parsed = outputs.withColumn("_doc", strict_object(F.col(raw), "map<string,string>"))
+    return parsed.withColumn("_doc", last_wins(F.col("_doc")))
 
 
 def _has_other_keys(doc: Column, known: list[str], prefix: str) -> Column:
@@ -43,14 +44,14 @@ def parse_check_outputs(
     no mode. The combined rc is the larger of the process's and the reported one.
     """
     doc = F.col("_doc")
-    rc = doc["rc"].try_cast("int")
-    count = doc["violations"].try_cast("bigint")
+    rc = whole_number(doc["rc"], "int")
+    count = whole_number(doc["violations"])
     valid = F.coalesce(
         ~_has_other_keys(doc, CHECK_OUTPUT_KEYS, VAR_PREFIX) & rc.isNotNull() & count.isNotNull(),
         F.lit(False),
     )
     return (
-        outputs.withColumn("_doc", json_object(F.col(raw)))
+        _with_object(outputs, raw)
         .withColumn("valid", valid)
         .withColumns(
             {
@@ -82,29 +83,32 @@ def parse_setup_outputs(
     def given(key: str) -> Column:
         return F.nullif(doc[key], F.lit(""))
 
-    def bound(key: str, deprecated: str) -> Column:
-        return F.coalesce(given(key), doc[deprecated])
+    def bound(name: str) -> Column:
+        return F.coalesce(F.col(f"_{name}_ts"), F.col(f"_{name}_timestamp"))
 
-    def bad_bound(key: str, deprecated: str) -> Column:
-        old_name = F.map_contains_key(doc, deprecated) & iso_timestamp(
-            doc[deprecated], "basic"
-        ).isNull()
-        return old_name | (given(key).isNotNull() & iso_timestamp(given(key), "basic").isNull())
+    def good_bound(name: str) -> Column:
+        new, old = f"{name}_ts", f"{name}_timestamp"
+        absent = given(f"data_{new}").isNull() | F.col(f"_{new}").isNotNull()
+        return absent & (~F.map_contains_key(doc, f"data_{old}") | F.col(f"_{old}").isNotNull())
 
-    start = ("data_start_ts", "data_start_timestamp")
-    stop = ("data_stop_ts", "data_stop_timestamp")
-    rc = doc["rc"].try_cast("int")
+    bounds = {
+        f"_{name}_{ending}": iso_timestamp(doc[f"data_{name}_{ending}"], "basic")
+        for name in ("start", "stop")
+        for ending in ("ts", "timestamp")
+    }
+    rc = whole_number(doc["rc"], "int")
     valid = F.coalesce(
         ~_has_other_keys(doc, SETUP_OUTPUT_KEYS + SETUP_DEPRECATED_KEYS, TABLE_CUSTOM_PREFIX)
         & rc.isNotNull()
-        & ~bad_bound(*start)
-        & ~bad_bound(*stop),
+        & good_bound("start")
+        & good_bound("stop"),
         F.lit(False),
     )
     custom = F.map_filter(doc, lambda k, _: k.startswith(TABLE_CUSTOM_PREFIX))
     ok = F.col("valid")
     return (
-        outputs.withColumn("_doc", json_object(F.col(raw)))
+        _with_object(outputs, raw)
+        .withColumns(bounds)
         .withColumn("valid", valid)
         .withColumns(
             {
@@ -113,10 +117,10 @@ def parse_setup_outputs(
                 ),
                 "table_status": F.coalesce(F.when(ok, given("table_status")), F.lit("active")),
                 "mode": F.coalesce(F.when(ok, given("mode")), F.lit("auto")),
-                "data_start_ts": F.when(ok, iso_timestamp(bound(*start), "basic")),
-                "data_stop_ts": F.when(ok, iso_timestamp(bound(*stop), "basic")),
+                "data_start_ts": F.when(ok, bound("start")),
+                "data_stop_ts": F.when(ok, bound("stop")),
                 "custom_vars": F.when(ok, custom).otherwise(no_vars()),
             }
         )
-        .drop("_doc")
+        .drop("_doc", *bounds)
     )

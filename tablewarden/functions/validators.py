@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Text that reads as a whole number.
+WHOLE = r"^\s*[+-]?\d+\s*$"
+
 # --- Fixed values: length, digits and datetime pattern of the accepted forms ---
 ISO_FORMS = {
     "basic": [
@@ -23,17 +26,26 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def whole_number(text: Column, type_name: str = "bigint") -> Column:
+    """The number a text stands for, NULL if it is none or does not fit the type.
+
+    Failing casts are costly, so only text of the right shape is cast.
+    """
+    return F.when(text.rlike(WHOLE), text.try_cast(type_name))
+
+
 def is_numeric(c: Column | str) -> Column:
     """True where the value converts to a whole number.
 
-    Numbers qualify whatever their fraction; text only if it is digits with an
-    optional sign and surrounding blanks. NULL, ``''`` and ``'3.7'`` do not.
+    Numbers qualify whatever their fraction; text only if it is digits, however
+    many, with an optional sign and surrounding blanks. NULL, ``''`` and ``'3.7'``
+    do not. The column's type picks the branch when the query is planned.
     """
     c = _col(c)
-    fits = c.try_cast("bigint").isNotNull()
-    # text beyond 64 bits is still a whole number
-    digits = c.cast("string").rlike(r"^\s*[+-]?\d+\s*$")
-    return F.coalesce(fits | digits, F.lit(False))
+    as_text = c.cast("string").rlike(WHOLE)
+    as_number = c.try_cast("bigint").isNotNull()
+    numeric = F.when(F.typeof(c) == "string", as_text).otherwise(as_number)
+    return F.coalesce(numeric, F.lit(False))
 
 
 def iso_timestamp(c: Column | str, kind: str = "any") -> Column:

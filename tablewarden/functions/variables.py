@@ -54,13 +54,16 @@ def as_prior(m: Column) -> Column:
 
 
 def last_wins(m: Column) -> Column:
-    """A parsed JSON object can repeat a key; keep its last value."""
+    """A parsed JSON object can repeat a key; keep its last value.
+
+    Hand in a column, not the parsing expression: it is used several times here.
+    """
     keys = F.map_keys(m)
     n = F.size(keys)
     entries = F.filter(
         F.map_entries(m), lambda e, i: F.array_position(F.reverse(keys), e["key"]) == n - i
     )
-    return F.map_from_entries(entries)
+    return F.when(F.size(F.array_distinct(keys)) == n, m).otherwise(F.map_from_entries(entries))
 
 
 def sorted_vars_text(m: Column, sep: str = ",") -> Column:

@@ -42,16 +42,27 @@ def orphan_keys(
 ) -> DataFrame:
     """Keys of child rows that no parent row has, with their number of rows ``n``.
 
-    A NULL key part passes. Both sides are one row per key when they meet, and
-    the aggregation's partitioning serves the join too: one shuffle per side, or
-    none for the join where the parents turn out small enough to broadcast.
+    A NULL key part passes. This is an anti join written as one aggregation of
+    both sides stacked: Spark would move the join below the counting of child rows
+    and so shuffle every row of a frequent key to one place. Here either side
+    sends one row per key and task, in a single shuffle.
     """
-    parents = parent.select(
-        *[F.col(p).alias(f"_p{i}") for i, p in enumerate(parent_keys or keys)]
-    ).distinct()
-    counts = key_counts(child, keys)
-    on = [counts[k] == parents[f"_p{i}"] for i, k in enumerate(keys)]
-    return counts.join(parents, on, "left_anti")
+    columns = [f"_k{i}" for i in range(len(keys))]
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    children = child.where(_complete(keys)).select(
+        *[F.col(k).alias(c) for k, c in zip(keys, columns)], one.alias("n"), none.alias("_parents")
+    )
+    parent_keys = list(parent_keys or keys)
+    parents = parent.where(_complete(parent_keys)).select(
+        *[F.col(p).alias(c) for p, c in zip(parent_keys, columns)], none.alias("n"), one.alias("_parents")
+    )
+    return (
+        children.unionByName(parents)
+        .groupBy(*columns)
+        .agg(F.sum("n").alias("n"), F.max("_parents").alias("_parents"))
+        .where((F.col("_parents") == 0) & (F.col("n") > 0))
+        .select(*[F.col(c).alias(k) for k, c in zip(keys, columns)], "n")
+    )
 
 
 def foreign_key_violations(
@@ -76,9 +87,16 @@ def ordered_pair_violations(
     rows is held to the latest of them, so rows are never paired many to many.
     A key on very many stops makes one large join partition, which the adaptive
     skew join splits: only counting follows, so no partitioning has to be kept.
+    That works where both inputs of the join come straight from a shuffle, which
+    is why the starts are grouped by a shard of the key as well.
     """
     start_key, stop_key = on
-    left = starts.groupBy(F.col(start_key).alias("_k")).agg(F.max(start).alias("_start"))
+    shard = F.pmod(F.xxhash64(start_key), F.lit(1024))
+    left = (
+        starts.groupBy(F.col(start_key).alias("_k"), shard.alias("_shard"))
+        .agg(F.max(start).alias("_start"))
+        .drop("_shard")
+    )
     right = stops.select(F.col(stop_key).alias("_sk"), F.col(stop).alias("_stop"))
     joined = right.join(left, F.col("_sk") == F.col("_k"))
     good = F.col("_start") < F.col("_stop") if strict else F.col("_start") <= F.col("_stop")

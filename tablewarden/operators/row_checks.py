@@ -12,7 +12,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tablewarden.functions.validators import is_iso8601, is_numeric
+from tablewarden.functions.validators import is_iso8601, is_numeric, whole_number
+
+INTEGERS = ("tinyint", "byte", "smallint", "short", "int", "integer", "bigint", "long")
 
 
 def _col(c: Column | str) -> Column:
@@ -50,7 +52,11 @@ def wrong_length(c: Column | str, low=None, high=None) -> Column:
 def wrong_type(c: Column | str, type_name: str = "bigint") -> Column:
     """The value does not convert to the type, e.g. text that is no integer."""
     c = _col(c)
-    return c.isNotNull() & c.try_cast(type_name).isNull()
+    converted = c.try_cast(type_name)
+    if type_name.lower() in INTEGERS:
+        is_text = F.typeof(c) == "string"
+        converted = F.when(is_text, whole_number(c.cast("string"), type_name)).otherwise(converted)
+    return c.isNotNull() & converted.isNull()
 
 
 def is_unknown(c: Column | str, unknown: list[str]) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tablewarden.schema import (
@@ -77,8 +77,8 @@ def _problem(bad: Column, text: str) -> Column:
     return F.when(F.coalesce(bad, F.lit(True)), F.lit(text))
 
 
-def registry_problems(registry: DataFrame) -> DataFrame:
-    """One row per registry check that breaks a rule, with ``problems`` listing them."""
+def with_problems(registry: DataFrame) -> DataFrame:
+    """Add ``problems``, naming the fields of each check that break a rule."""
     kind = F.col("check_type")
     regular = F.coalesce(kind.isin(REGULAR_TYPES), F.lit(False))
     stage = F.coalesce(kind.isin(STAGE_TYPES), F.lit(False))
@@ -99,9 +99,15 @@ def registry_problems(registry: DataFrame) -> DataFrame:
                 ),
             ),
             _problem(odd, "custom"),
+            _problem(F.size(F.array_distinct("given")) < F.size("given"), "repeated"),
         )
     )
-    return registry.withColumn("problems", problems).where(F.size("problems") > 0)
+    return registry.withColumn("problems", problems)
+
+
+def registry_problems(registry: DataFrame) -> DataFrame:
+    """The registry checks that break a rule, with ``problems`` listing them."""
+    return with_problems(registry).where(F.size("problems") > 0)
 
 
 def unknown_checks(registry: DataFrame, known: Collection[str]) -> DataFrame:
@@ -115,18 +121,29 @@ def unknown_checks(registry: DataFrame, known: Collection[str]) -> DataFrame:
     )
 
 
-def require_valid(registry: DataFrame, known: Collection[str]) -> None:
-    """Raise before anything runs if the registry is invalid or names unknown checks."""
-    bad = registry_problems(registry).select("table_name", "check_alias", "problems").take(20)
-    if bad:
-        raise RegistryError(
-            "; ".join(f"{r.table_name}.{r.check_alias}: {', '.join(r.problems)}" for r in bad)
-        )
-    lost = unknown_checks(registry, known).select("table_name", "check_alias", "check_name").take(20)
-    if lost:
-        raise RegistryError(
-            "; ".join(f"{r.table_name}.{r.check_alias}: no check {r.check_name}" for r in lost)
-        )
+def valid_entries(registry: DataFrame, known: Collection[str]) -> list[Row]:
+    """The registry read to the driver, by table and alias; raises if it must not run.
+
+    A registry is configuration: a row per check, never per inspected row. It must
+    not be empty, break rules, name a check of a table twice, or name checks that
+    do not exist.
+    """
+    entries = with_problems(default_registry(registry)).collect()
+    if not entries:
+        raise RegistryError("the registry is empty")
+    entries.sort(key=lambda e: (e.table_name, e.check_alias))
+    faults = []
+    for before, e in zip([None, *entries], entries):
+        name = f"{e.table_name}.{e.check_alias}"
+        if e.problems:
+            faults.append(f"{name}: {', '.join(e.problems)}")
+        elif e.check_name not in known:
+            faults.append(f"{name}: no check {e.check_name}")
+        if before and (before.table_name, before.check_alias) == (e.table_name, e.check_alias):
+            faults.append(f"{name}: named twice")
+    if faults:
+        raise RegistryError("; ".join(faults))
+    return entries
 
 
 def active_checks(registry: DataFrame) -> DataFrame:
@@ -165,6 +182,7 @@ __all__ = [
     "filter_registry",
     "inactive_rows",
     "registry_problems",
-    "require_valid",
     "unknown_checks",
+    "valid_entries",
+    "with_problems",
 ]

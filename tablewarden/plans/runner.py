@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tablewarden.functions.outputs import parse_setup_outputs
 from tablewarden.operators.catalogue import BUILT_IN, Catalogue, Check, CheckContext
 from tablewarden.operators.fused import count_violations
-from tablewarden.plans.registry import RegistryError, default_registry, require_valid
+from tablewarden.plans.registry import valid_entries
 from tablewarden.schema import (
     CHECK_CUSTOM_PREFIX,
     NO_COUNT,
@@ -137,14 +137,7 @@ class RunPlan:
         self.user_vars = {
             k: _clean(v) for k, v in (user_vars or {}).items() if k.startswith(TABLE_PREFIX)
         }
-        registry = default_registry(registry).persist()
-        try:
-            require_valid(registry, catalogue.checks)
-            entries = registry.orderBy("table_name", "check_alias").collect()
-        finally:
-            registry.unpersist()
-        if not entries:
-            raise RegistryError("the registry is empty")
+        entries = valid_entries(registry, catalogue.checks)
         #: rows known without running a check: setups, inactive and unplannable checks
         self.done: list[Row] = []
         #: checks still to be executed

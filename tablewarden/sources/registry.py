@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.functions.json_text import strict_object
-from tablewarden.functions.variables import last_wins
 from tablewarden.schema import REGISTRY_FIELDS, REGISTRY_JSON
 
 
@@ -37,7 +36,7 @@ def parse_registry(docs: DataFrame, doc: str = "value") -> DataFrame:
     )
     checks = tables.select(
         *others, "table_name", F.explode(F.col("_checks")).alias("check_alias", "_props")
-    ).withColumn("_props", last_wins(F.col("_props")))
+    )
     props = F.col("_props")
     return checks.select(
         *others,

@@ -150,6 +150,63 @@ def test_ordered_pair_across_tables(spark):
     assert only(got) == 1
 
 
+@pytest.fixture
+def joins_without_broadcast(spark):
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10000",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_frequent_key_of_an_ordered_pair_is_split(spark, joins_without_broadcast):
+    starts = spark.range(0, 2000, 1, 4).selectExpr("id AS k", "10 AS a")
+    stops = spark.range(0, 600000, 1, 8).selectExpr(
+        "IF(id % 3 = 0, 7, id % 2000) AS k", "IF(id < 11, id, xxhash64(id) & 4095 | 4096) AS b"
+    )
+    got = key_checks.ordered_pair_violations(starts, stops, ("k", "k"), "a", "b")
+    assert got.collect()[0].violations == 11
+    assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frequent_check_of_a_score_join_is_split(spark, joins_without_broadcast):
+    from tablewarden.plans.scores import score_results
+
+    results = spark.range(0, 600000, 1, 8).selectExpr(
+        "'t' AS table_name",
+        "IF(id % 3 = 0, 'hot', concat('c', id % 500)) AS check_name",
+        "xxhash64(id) AS check_violation_cnt",
+    )
+    tables = spark.sql(
+        "SELECT 't' AS table_name, 5D AS avg_rows, '' AS partition_key, 'full' AS table_mode"
+    )
+    checks = spark.range(501).selectExpr(
+        "'t' AS table_name",
+        "IF(id = 500, 'hot', concat('c', id)) AS check_name",
+        "'rows' AS violation_unit",
+        "'low' AS severity",
+        "'quality' AS policy_type",
+        "'full' AS config_mode",
+    )
+    got = score_results(results, tables, checks).agg(F.count("check_scope").alias("n"))
+    assert got.collect()[0].n == 600000
+    assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reference_check_counts_before_it_shuffles(spark):
+    child = spark.range(9).selectExpr("id % 2 AS k")
+    plan = key_checks.foreign_key_violations(child, child, ["k"])
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and text.count("Exchange hashpartitioning") == 1
+
+
 def test_not_empty(spark):
     assert only(key_checks.not_empty_violations(spark.range(3))) == 0
     assert only(key_checks.not_empty_violations(spark.range(0))) == 1

@@ -46,7 +46,7 @@ def test_good_registry(load):
     row = df.first()
     assert row.custom == {"hapinsp_checkcustom_cols": "999"}
     assert problems(plan.default_registry(df)) == []
-    plan.require_valid(plan.default_registry(df), ["rule_uniqueness"])
+    assert len(plan.valid_entries(df, ["rule_uniqueness"])) == 3
 
 
 @pytest.mark.parametrize(
@@ -100,7 +100,7 @@ def test_bad_entries(load, changes, expected):
     df = one(load, **changes)
     assert problems(df) == [expected]
     with pytest.raises(plan.RegistryError):
-        plan.require_valid(df, ["rule_uniqueness"])
+        plan.valid_entries(df, ["rule_uniqueness"])
 
 
 @pytest.mark.parametrize(
@@ -137,9 +137,14 @@ def test_empty_registry_is_an_error(load, text):
         plan.filter_registry(load(text))
 
 
+def test_repeated_property(load):
+    df = load('{"asset": {"c": {"check_name": "x", "check_status": "active", "check_name": "y"}}}')
+    assert problems(plan.default_registry(df)) == [["repeated"]]
+
+
 def test_unknown_check(load):
     with pytest.raises(plan.RegistryError, match="no check rule_uniqueness"):
-        plan.require_valid(plan.default_registry(load(GOOD)), ["range"])
+        plan.valid_entries(load(GOOD), ["range"])
 
 
 def test_inactive_placeholders(load):

@@ -95,6 +95,13 @@ def test_missing_table_and_unknown_check(spark, registry, table):
         run_checks(spark, registry({}), {"t": table}, run())
 
 
+def test_check_named_twice(spark, table):
+    text = '{"t": {"a": {"check_name": "not_empty"}, "a": {"check_name": "not_empty"}}}'
+    twice = parse_registry(spark.createDataFrame([(text,)], "value string"))
+    with pytest.raises(RegistryError, match="twice"):
+        run_checks(spark, twice, {"t": table}, run())
+
+
 OWN = BUILT_IN.copy()
 
 

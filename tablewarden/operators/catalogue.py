@@ -3,8 +3,9 @@
 Four kinds exist. All get a :class:`CheckContext`:
 
 row        returns the predicate a bad row meets; counted with the table's other
-           row checks in one scan
-aggregate  returns an aggregate that is the count; shares the same scan
+           row checks in one scan - or two: those that file statistics can answer
+           go separately, so that others do not keep them from skipping
+aggregate  returns an aggregate that is the count; shares a scan with row checks
 table      returns a one-row DataFrame with ``violations``, optionally ``rc``
            and ``mode``
 setup      returns the JSON object (as a dict, or a one-row DataFrame with
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.operators import consistency, key_checks, row_checks, statistics
-from tablewarden.operators.fused import count_bad_rows, empty_table
+from tablewarden.operators.fused import count_bad_rows
 from tablewarden.schema import CHECK_CUSTOM_PREFIX, TABLE_CUSTOM_PREFIX, TABLE_PREFIX
 
 
@@ -48,9 +49,12 @@ class CheckContext:
     def names(self, name: str, default: str | None = None) -> list[str]:
         return [c.strip() for c in self.custom(name, default).split(",") if c.strip()]
 
-    def number(self, name: str) -> float | None:
-        value = self.custom(name, "")
-        return float(value) if value else None
+    def number(self, name: str) -> int | float | None:
+        """Whole numbers stay whole: a comparison with them reaches the file reader."""
+        value = self.custom(name, "").strip()
+        if not value:
+            return None
+        return int(value) if value.lstrip("+-").isdigit() else float(value)
 
 
 @dataclass(frozen=True)
@@ -59,6 +63,8 @@ class Check:
     body: Callable
     unit: str = "rows"
     policy: str = "quality"
+    #: the predicate compares columns with literals, so file statistics can answer it
+    skips: bool = False
 
 
 @dataclass
@@ -67,12 +73,19 @@ class Catalogue:
 
     checks: dict[str, Check] = field(default_factory=dict)
 
-    def add(self, name: str, kind: str, unit: str = "rows", policy: str = "quality"):
+    def add(
+        self,
+        name: str,
+        kind: str,
+        unit: str = "rows",
+        policy: str = "quality",
+        skips: bool = False,
+    ):
         if kind not in ("row", "aggregate", "table", "setup"):
             raise ValueError(f"unknown kind of check: {kind}")
 
         def register(body: Callable) -> Callable:
-            self.checks[name] = Check(kind, body, unit, policy)
+            self.checks[name] = Check(kind, body, unit, policy, skips)
             return body
 
         return register
@@ -82,11 +95,11 @@ class Catalogue:
 
 
 BUILT_IN = Catalogue()
-_row = lambda name, policy="quality": BUILT_IN.add(name, "row", policy=policy)
+_row = lambda name, **options: BUILT_IN.add(name, "row", **options)
 _table = lambda name, policy="quality": BUILT_IN.add(name, "table", policy=policy)
 
 
-@_row("not_null")
+@_row("not_null", skips=True)
 def _not_null(ctx: CheckContext) -> Column:
     return row_checks.missing(*ctx.names("cols"))
 
@@ -96,7 +109,7 @@ def _case(ctx: CheckContext) -> Column:
     return row_checks.wrong_case(ctx.custom("col"), ctx.custom("case", "upper"))
 
 
-@_row("range")
+@_row("range", skips=True)
 def _range(ctx: CheckContext) -> Column:
     return row_checks.out_of_range(ctx.custom("col"), ctx.number("min"), ctx.number("max"))
 
@@ -116,7 +129,7 @@ def _unknown(ctx: CheckContext) -> Column:
     return row_checks.is_unknown(ctx.custom("col"), ctx.names("values"))
 
 
-@_row("enum")
+@_row("enum", skips=True)
 def _enum(ctx: CheckContext) -> Column:
     return row_checks.not_in_set(ctx.custom("col"), ctx.names("values"))
 
@@ -142,15 +155,15 @@ def _iso8601(ctx: CheckContext) -> Column:
     return row_checks.not_iso8601(ctx.custom("col"), ctx.custom("form", "any"))
 
 
-@_row("retention", "data-management")
+@_row("retention", policy="data-management", skips=True)
 def _retention(ctx: CheckContext) -> Column:
     reference = dt.datetime.fromisoformat(ctx.custom("reference"))
     return row_checks.too_old(ctx.custom("col"), reference, int(ctx.custom("days")))
 
 
-@BUILT_IN.add("not_empty", "aggregate", unit="tables")
-def _not_empty(ctx: CheckContext) -> Column:
-    return empty_table()
+@BUILT_IN.add("not_empty", "table", unit="tables")
+def _not_empty(ctx: CheckContext) -> DataFrame:
+    return key_checks.not_empty_violations(ctx.df)
 
 
 @_table("rule_uniqueness")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,16 @@ def _scans(names: list[str]) -> list[list[str]]:
     return [names[i : i + MAX_PER_SCAN] for i in range(0, len(names), MAX_PER_SCAN)]
 
 
+def _unfold(counts: list[Column], names: list[str], scanned: DataFrame) -> DataFrame:
+    """Aggregate to one wide row, then one row per check."""
+    wide = scanned.agg(*[c.cast("bigint").alias(f"v{i}") for i, c in enumerate(counts)])
+    pairs = [
+        F.struct(F.lit(a).alias("check_alias"), F.col(f"v{i}").alias("violations"))
+        for i, a in enumerate(names)
+    ]
+    return wide.select(F.inline(F.array(*pairs)))
+
+
 def count_violations(
     df: DataFrame,
     row_checks: Mapping[str, Column],
@@ -31,20 +42,25 @@ def count_violations(
     an aggregate giving the count itself. All of them are partial aggregates of
     one pass over the columns they name; one row per task is shuffled. Aliases
     are data, not column names, so users may choose any text.
+
+    Row checks alone look at bad rows only: *any of the predicates* is a filter of
+    the scan. Where all of them are comparisons with literals it reaches the file
+    reader, and row groups whose statistics show them clean are not even read.
     """
-    counts = {a: F.count_if(p) for a, p in row_checks.items()} | dict(table_checks or {})
-    parts = []
-    for names in _scans(list(counts)):
-        wide = df.agg(*[counts[a].cast("bigint").alias(f"v{i}") for i, a in enumerate(names)])
-        pairs = [
-            F.struct(F.lit(a).alias("check_alias"), F.col(f"v{i}").alias("violations"))
-            for i, a in enumerate(names)
+    names = list(row_checks)
+    if table_checks:
+        counts = {a: F.count_if(p) for a, p in row_checks.items()} | dict(table_checks)
+        parts = [_unfold([counts[a] for a in some], some, df) for some in _scans(list(counts))]
+    else:
+        parts = [
+            _unfold(
+                [F.count_if(row_checks[a]) for a in some],
+                some,
+                df.where(reduce(lambda a, b: a | b, [row_checks[a] for a in some])),
+            )
+            for some in _scans(names)
         ]
-        parts.append(wide.select(F.inline(F.array(*pairs))))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def count_bad_rows(df: DataFrame, bad: Column) -> DataFrame:

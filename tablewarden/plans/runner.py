@@ -68,7 +68,7 @@ class Planned:
     mode: str
     saved_vars: dict[str, str]
     window: tuple[dt.datetime | None, dt.datetime | None]
-    scan: str
+    scan: tuple
 
 
 @dataclass
@@ -272,7 +272,7 @@ class RunPlan:
             mode="incremental" if incremental else "full",
             saved_vars=own | table_vars,
             window=window,
-            scan=f"{entry.table_name}|{incremental}|{own.get(CHECK_CUSTOM_PREFIX + 'window_col', '')}",
+            scan=(entry.table_name, window, own.get(f"{CHECK_CUSTOM_PREFIX}window_col"), check.skips),
         )
 
     @staticmethod
@@ -309,7 +309,7 @@ class RunPlan:
 
     def counts(self, planned: Iterable[Planned]) -> DataFrame:
         """``meta``, ``n``, ``violations``, ``rc``, ``mode`` of each check."""
-        scans: dict[str, list[Planned]] = {}
+        scans: dict[tuple, list[Planned]] = {}
         parts: list[DataFrame] = []
         for p in planned:
             if p.body is None:

@@ -70,20 +70,64 @@ def test_rows_of_a_run(spark, registry, table):
     assert got["a"].data_start_timestamp is None
 
 
-def test_row_checks_share_one_scan(spark, registry):
+def test_row_checks_share_scans(spark, registry):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     doc = {
         "t": {
             "a": entry("range", col="l_tax", max=0.07),
             "b": entry("range", col="l_quantity", max=45),
             "c": entry("enum", col="l_returnflag", values="A,R"),
-            "d": entry("not_empty"),
+            "d": entry("format", col="l_linestatus", pattern="O"),
+            "e": entry("case", col="l_returnflag"),
         }
     }
     out = run_checks(spark, registry(doc), {"t": df}, run())
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan parquet") == 1
+    assert plan.count("FileScan parquet") == 2
     assert "ReadSchema: struct<l_quantity:double,l_tax:double,l_returnflag:string>" in plan
+    assert "ReadSchema: struct<l_returnflag:string,l_linestatus:string>" in plan
+    assert (
+        "PushedFilters: [Or(Or(GreaterThan(l_tax,0.07),GreaterThan(l_quantity,45.0)),"
+        "Not(In(l_returnflag, [A,R])))]" in plan
+    )
+
+
+def test_clean_row_groups_are_not_read(spark, registry, tmp_path):
+    path = str(tmp_path / "clean")
+    spark.range(0, 100000, 1, 4).selectExpr("id AS k", "id % 7 AS g").write.parquet(path)
+    doc = {
+        "t": {
+            "low": entry("range", col="k", min=0, max=99998),
+            "set": entry("range", col="g", max=6),
+            "null": entry("not_null", cols="k,g"),
+        }
+    }
+    out = run_checks(spark, registry(doc), {"t": spark.read.parquet(path)}, run())
+    assert {r.check_name: r.check_violation_cnt for r in out.collect()} == {
+        "low": 1,
+        "set": 0,
+        "null": 0,
+    }
+    tree = out._jdf.queryExecution().executedPlan()
+    assert "PushedFilters: [Or(" in tree.toString() and "IsNull(k)" in tree.toString()
+    assert 0 < rows_read(tree) <= 25000
+
+
+def rows_read(plan):
+    """Rows the file scans of an executed plan gave out: those of the files not skipped."""
+    total, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif kind == "FileSourceScanExec":
+            total += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
 
 
 def test_missing_table_and_unknown_check(spark, registry, table):

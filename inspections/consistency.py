@@ -101,8 +101,8 @@ def ck_peer_row_count(spark, sf_dir):
     a AS (SELECT * FROM orders WHERE md5(CAST(o_orderkey AS VARCHAR)) < '1999'),
     b AS (SELECT * FROM replica WHERE md5(CAST(o_orderkey AS VARCHAR)) < '1999')
     SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
-           CASE WHEN a.o_orderkey IS NULL THEN 0 ELSE 1 END AS n_table,
-           CASE WHEN b.o_orderkey IS NULL THEN 0 ELSE 1 END AS n_peer,
+           CAST(a.o_orderkey IS NOT NULL AS BIGINT) AS n_table,
+           CAST(b.o_orderkey IS NOT NULL AS BIGINT) AS n_peer,
            concat_ws(',',
                CASE WHEN a.o_orderstatus IS DISTINCT FROM b.o_orderstatus THEN 'o_orderstatus' END,
                CASE WHEN a.o_totalprice IS DISTINCT FROM b.o_totalprice THEN 'o_totalprice' END,
@@ -146,7 +146,7 @@ def ck_target_vs_source(spark, sf_dir):
 @query(
     "target_vs_source_rows",
     f"""{_DIFF_SQL}
-    SELECT *, 1 AS n_missing, 0 AS n_extra FROM missing
+    SELECT *, CAST(1 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_extra FROM missing
     UNION ALL SELECT *, 0, 1 FROM extra
     """,
 )

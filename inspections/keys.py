@@ -196,7 +196,7 @@ def list_orphan_keys(spark, sf_dir):
 @query(
     "ck_not_empty",
     """
-    SELECT 'orders' AS check_alias, CASE WHEN count(*) = 0 THEN 1 ELSE 0 END AS violations
+    SELECT 'orders' AS check_alias, CAST(count(*) = 0 AS BIGINT) AS violations
     FROM orders
     UNION ALL SELECT 'orders_lost', CASE WHEN count(*) = 0 THEN 1 ELSE 0 END
     FROM orders WHERE o_orderstatus = 'X'

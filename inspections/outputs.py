@@ -239,7 +239,7 @@ def scored_results(spark, sf_dir):
     SELECT 'part_' || p_partkey AS table_name, CAST(p_size AS DOUBLE) AS avg_rows,
            CASE WHEN p_size > 25 THEN 'date_id' END AS partition_key,
            CASE WHEN p_type = 'PROMO' THEN 'full' ELSE 'incremental' END AS table_mode,
-           'p_partkey,p_size' AS cols, 2 AS n_checks
+           'p_partkey,p_size' AS cols, CAST(2 AS BIGINT) AS n_checks
     FROM part
     """,
 )

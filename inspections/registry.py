@@ -85,7 +85,7 @@ def registry_validate(spark, sf_dir):
     "inactive_rows",
     f"""
     WITH {DEFAULTED_SQL}
-    SELECT table_name, check_alias, check_status, -1 AS check_rc, -1 AS violations, 'full' AS mode
+    SELECT table_name, check_alias, check_status, -1 AS check_rc, CAST(-1 AS BIGINT) AS violations, 'full' AS mode
     FROM defaulted WHERE check_status = 'inactive' AND check_type <> 'setup'
     UNION ALL
     SELECT table_name, check_alias, check_status, 0, p_size, check_mode

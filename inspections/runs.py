@@ -255,7 +255,7 @@ def _three_runs_sql() -> str:
             count = "NULL" if bad is None else _count("orders", bad)
             begin = f"coalesce({start}, {run_start})" if windowed else run_start
             rows.append(
-                f"SELECT {i + 1} AS run_id, '{name}' AS check_name, '{mode}' AS check_mode, "
+                f"SELECT CAST({i + 1} AS BIGINT) AS run_id, '{name}' AS check_name, '{mode}' AS check_mode, "
                 f"0 AS check_rc, CAST(({count}) AS BIGINT) AS check_violation_cnt, "
                 f"{begin} AS data_start_timestamp, "
                 f"{stop if windowed else 'CAST(NULL AS TIMESTAMP)'} AS data_stop"

@@ -126,7 +126,7 @@ def _profiles(spark, sf_dir):
 @query(
     "ck_stats_exist",
     """
-    SELECT table_name, 1 AS violations FROM (
+    SELECT table_name, CAST(1 AS BIGINT) AS violations FROM (
         SELECT event_type AS table_name FROM events
         UNION SELECT lower(c_mktsegment) FROM customer)
     WHERE table_name NOT IN (SELECT event_type FROM events WHERE value >= 2)

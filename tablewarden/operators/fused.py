@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from functools import reduce
 
@@ -21,14 +22,15 @@ def _scans(names: list[str]) -> list[list[str]]:
     return [names[i : i + MAX_PER_SCAN] for i in range(0, len(names), MAX_PER_SCAN)]
 
 
-def _unfold(counts: list[Column], names: list[str], scanned: DataFrame) -> DataFrame:
-    """Aggregate to one wide row, then one row per check."""
-    wide = scanned.agg(*[c.cast("bigint").alias(f"v{i}") for i, c in enumerate(counts)])
-    pairs = [
-        F.struct(F.lit(a).alias("check_alias"), F.col(f"v{i}").alias("violations"))
-        for i, a in enumerate(names)
-    ]
-    return wide.select(F.inline(F.array(*pairs)))
+def _unfold(scanned: DataFrame, counts: list[Column], names: list[str], *keys: Column) -> DataFrame:
+    """Aggregate to one wide row (per key), then one row per check."""
+    wide = scanned.groupBy(*keys).agg(*[c.cast("bigint").alias(f"v{i}") for i, c in enumerate(counts)])
+    kept = [c for c in wide.columns[: len(keys)]]
+    long = wide.select(
+        *kept, F.posexplode(F.array(*[f"v{i}" for i in range(len(names))])).alias("_i", "violations")
+    )
+    alias = F.from_json(F.lit(json.dumps(names)), "array<string>")[F.col("_i")]
+    return long.select(*kept, alias.alias("check_alias"), "violations")
 
 
 def count_violations(
@@ -50,13 +52,13 @@ def count_violations(
     names = list(row_checks)
     if table_checks:
         counts = {a: F.count_if(p) for a, p in row_checks.items()} | dict(table_checks)
-        parts = [_unfold([counts[a] for a in some], some, df) for some in _scans(list(counts))]
+        parts = [_unfold(df, [counts[a] for a in some], some) for some in _scans(list(counts))]
     else:
         parts = [
             _unfold(
+                df.where(reduce(lambda a, b: a | b, [row_checks[a] for a in some])),
                 [F.count_if(row_checks[a]) for a in some],
                 some,
-                df.where(reduce(lambda a, b: a | b, [row_checks[a] for a in some])),
             )
             for some in _scans(names)
         ]
@@ -74,11 +76,5 @@ def count_by_partition(
     """Violations per partition value of an incrementally loaded table."""
     partition = F.col(partition) if isinstance(partition, str) else partition
     names = list(row_checks)
-    wide = df.groupBy(partition.alias("partition_value")).agg(
-        *[F.count_if(row_checks[a]).alias(f"v{i}") for i, a in enumerate(names)]
-    )
-    pairs = [
-        F.struct(F.lit(a).alias("check_alias"), F.col(f"v{i}").alias("violations"))
-        for i, a in enumerate(names)
-    ]
-    return wide.select("partition_value", F.inline(F.array(*pairs)))
+    counts = [F.count_if(row_checks[a]) for a in names]
+    return _unfold(df, counts, names, partition.alias("partition_value"))

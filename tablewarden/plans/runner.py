@@ -36,6 +36,19 @@ from tablewarden.streaming.incremental import in_window, prior_vars
 
 ISO_BASIC = "%Y%m%dT%H%M%S%f"
 
+#: What a check that does not fit its table raises before anything runs.
+PLANNING_ERRORS = (PySparkException, KeyError, TypeError, ValueError)
+
+#: Result rows are completed from a table of the checks' properties. Up to so many
+#: checks it is sent to all tasks, beyond that Spark chooses the join.
+BROADCAST_CHECKS = 20_000
+
+CHECK_PROPERTIES = (
+    "key string, table_name string, check_name string, check_type string, "
+    "check_policy_type string, check_unit string, check_status string, planned_mode string, "
+    "window_start timestamp_ntz, window_stop timestamp_ntz, env_vars map<string,string>"
+)
+
 
 @dataclass(frozen=True)
 class Run:
@@ -57,7 +70,7 @@ class Run:
         }
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Planned:
     """One check about to run: a predicate or aggregate of ``df``, or ``df`` itself."""
 
@@ -142,6 +155,7 @@ class RunPlan:
         self.done: list[Row] = []
         #: checks still to be executed
         self.planned: list[Planned] = []
+        self._frames: dict[tuple, DataFrame] = {}
         states = self._run_setups([e for e in entries if e.check_type == "setup"], history)
         for entry in entries:
             if entry.check_type in ("setup", "teardown"):
@@ -158,8 +172,9 @@ class RunPlan:
                 continue
             try:
                 self.planned.append(self._plan(entry, state))
-            except (PySparkException, KeyError, TypeError, ValueError):
+            except PLANNING_ERRORS:
                 self.done.append(_failed(run, entry))
+        self._analyse()
 
     # -- setups --------------------------------------------------------------
 
@@ -182,7 +197,7 @@ class RunPlan:
                 if not isinstance(raw, DataFrame):
                     raw = self.spark.range(1).select(F.lit(json.dumps(raw)).alias("raw_output"))
                 raw = raw.select(F.col("raw_output").cast("string"))
-            except (PySparkException, KeyError, TypeError, ValueError):
+            except PLANNING_ERRORS:
                 raw = self.spark.range(1).select(F.lit(None).cast("string").alias("raw_output"))
             outputs.append(raw.select(F.lit(i).alias("i"), "raw_output", F.lit(0).alias("check_rc")))
         parsed = parse_setup_outputs(reduce(DataFrame.unionByName, outputs))
@@ -240,25 +255,20 @@ class RunPlan:
         own = _custom_vars(entry)
         table_vars = {TABLE_PREFIX: entry.table_name} | state.vars | self.user_vars
         known = self.run.vars() | own | table_vars
-        df = self.tables[entry.table_name]
         check = self.catalogue.checks[entry.check_name]
         incremental = entry.check_mode == state.mode == "incremental"
-        window: tuple = (None, None)
+        column, window = None, (None, None)
         if incremental:
-            column = own.get(
-                f"{CHECK_CUSTOM_PREFIX}window_col", table_vars.get(f"{TABLE_CUSTOM_PREFIX}window_col")
-            )
+            name = "window_col"
+            column = own.get(CHECK_CUSTOM_PREFIX + name) or table_vars.get(TABLE_CUSTOM_PREFIX + name)
             if not column:
                 raise KeyError("an incremental check needs a window column")
             window = (state.start, state.stop)
-            df = df.where(in_window(column, *window))
-        ctx = CheckContext(self.spark, entry.table_name, df, self.tables, known)
-        body = check.body(ctx)
+        df = self._seen(entry.table_name, column, window)
+        body = check.body(CheckContext(self.spark, entry.table_name, df, self.tables, known))
         if check.kind == "row":
-            df.select(body.cast("boolean"))  # analysed here, so only this check is lost
             body = body.cast("boolean")
         elif check.kind == "aggregate":
-            df.agg(body.cast("bigint"))
             body = body.cast("bigint")
         elif check.kind == "table":
             df, body = self._one_row(body), None
@@ -272,9 +282,46 @@ class RunPlan:
             mode="incremental" if incremental else "full",
             saved_vars=own | table_vars,
             window=window,
-            scan=(entry.table_name, window, own.get(f"{CHECK_CUSTOM_PREFIX}window_col"), check.skips),
+            scan=(entry.table_name, column, window, check.skips),
         )
 
+    def _seen(self, table: str, column: str | None, window: tuple) -> DataFrame:
+        """The part of a table in the window, the same DataFrame for the same part."""
+        key = (table, column, window)
+        if key not in self._frames:
+            df = self.tables[table]
+            self._frames[key] = df if column is None else df.where(in_window(column, *window))
+        return self._frames[key]
+
+    def _analyse(self) -> None:
+        """Have Spark resolve all predicates of a scan; those that do not are failed."""
+        lost = []
+        for group in self._scans(self.planned):
+            try:
+                self._resolve(group)
+            except PLANNING_ERRORS:
+                for p in group:
+                    try:
+                        self._resolve([p])
+                    except PLANNING_ERRORS:
+                        lost.append(p)
+        self.done += [_failed(self.run, p.entry) for p in lost]
+        self.planned = [p for p in self.planned if p not in lost]
+
+    @staticmethod
+    def _resolve(group: list[Planned]) -> None:
+        df = group[0].df
+        df.select(*[p.body for p in group if p.check.kind == "row"])
+        df.agg(F.lit(1), *[p.body for p in group if p.check.kind == "aggregate"])
+
+    @staticmethod
+    def _scans(planned: Iterable[Planned]) -> list[list[Planned]]:
+        scans: dict[tuple, list[Planned]] = {}
+        for p in planned:
+            if p.body is not None:
+                scans.setdefault(p.scan, []).append(p)
+        return list(scans.values())
+
     @staticmethod
     def _one_row(out: DataFrame) -> DataFrame:
         """Check output as ``n, violations, rc, mode``, whatever rows the check gave."""
@@ -290,46 +337,42 @@ class RunPlan:
             mode.cast("string").alias("mode"),
         )
 
-    def _meta(self, p: Planned, key: str) -> Column:
-        """What is known of a result before its check runs, as one literal struct."""
-        start, stop = p.window
-        return F.struct(
-            F.lit(key).alias("check_key"),
-            F.lit(p.entry.table_name).alias("table_name"),
-            F.lit(p.entry.check_alias).alias("check_name"),
-            F.lit(p.entry.check_type).alias("check_type"),
-            F.lit(p.check.policy).alias("check_policy_type"),
-            F.lit(p.check.unit).alias("check_unit"),
-            F.lit(p.entry.check_status).alias("check_status"),
-            F.lit(p.mode).alias("mode"),
-            F.lit(start).cast("timestamp_ntz").alias("window_start"),
-            F.lit(stop).cast("timestamp_ntz").alias("window_stop"),
-            F.from_json(F.lit(json.dumps(p.saved_vars)), "map<string,string>").alias("env_vars"),
-        )
-
-    def counts(self, planned: Iterable[Planned]) -> DataFrame:
-        """``meta``, ``n``, ``violations``, ``rc``, ``mode`` of each check."""
-        scans: dict[tuple, list[Planned]] = {}
-        parts: list[DataFrame] = []
-        for p in planned:
-            if p.body is None:
-                parts.append(p.df.select(self._meta(p, "").alias("meta"), "n", "violations", "rc", "mode"))
-            else:
-                scans.setdefault(p.scan, []).append(p)
-        for group in scans.values():
-            by_key = {str(i): p for i, p in enumerate(group)}
-            fused = count_violations(
-                group[0].df,
-                {k: p.body for k, p in by_key.items() if p.check.kind == "row"},
-                {k: p.body for k, p in by_key.items() if p.check.kind == "aggregate"},
-            )
-            metas = F.filter(
-                F.array(*[self._meta(p, k) for k, p in by_key.items()]),
-                lambda m: m["check_key"] == F.col("check_alias"),
+    def _properties(self, planned: list[Planned]) -> DataFrame:
+        """What is known of results before their checks run, a row per check."""
+        rows = [
+            (
+                str(i),
+                p.entry.table_name,
+                p.entry.check_alias,
+                p.entry.check_type,
+                p.check.policy,
+                p.check.unit,
+                p.entry.check_status,
+                p.mode,
+                *p.window,
+                p.saved_vars,
             )
+            for i, p in enumerate(planned)
+        ]
+        properties = self.spark.createDataFrame(rows, CHECK_PROPERTIES)
+        return F.broadcast(properties) if len(rows) <= BROADCAST_CHECKS else properties
+
+    def counts(self, planned: list[Planned]) -> DataFrame:
+        """``key`` (the check's position), ``n``, ``violations``, ``rc``, ``mode``."""
+        keys = {id(p): str(i) for i, p in enumerate(planned)}
+        parts = [
+            p.df.select(F.lit(keys[id(p)]).alias("key"), "n", "violations", "rc", "mode")
+            for p in planned
+            if p.body is None
+        ]
+        for group in self._scans(planned):
+            bodies = {
+                kind: {keys[id(p)]: p.body for p in group if p.check.kind == kind}
+                for kind in ("row", "aggregate")
+            }
             parts.append(
-                fused.select(
-                    metas[0].alias("meta"),
+                count_violations(group[0].df, bodies["row"], bodies["aggregate"]).select(
+                    F.col("check_alias").alias("key"),
                     F.lit(1).cast("bigint").alias("n"),
                     "violations",
                     F.lit(0).alias("rc"),
@@ -338,34 +381,34 @@ class RunPlan:
             )
         return reduce(DataFrame.unionByName, parts)
 
-    def executed(self, planned: Iterable[Planned]) -> DataFrame:
+    def executed(self, planned: list[Planned]) -> DataFrame:
         """Result rows of the given checks."""
         valid = (F.col("n") == 1) & F.col("violations").isNotNull() & F.col("rc").isNotNull()
-        mode = F.coalesce("mode", "meta.mode")
+        mode = F.coalesce("mode", "planned_mode")
         windowed = valid & (mode == "incremental")
         run = self.run
-        return self.counts(planned).select(
+        return self.counts(planned).join(self._properties(planned), "key").select(
             F.lit(run.instance).alias("instance_name"),
             F.lit(run.database).alias("database_name"),
-            "meta.table_name",
-            "meta.check_name",
-            "meta.check_type",
-            "meta.check_policy_type",
+            "table_name",
+            "check_name",
+            "check_type",
+            "check_policy_type",
             F.when(valid, mode).otherwise(F.lit("")).alias("check_mode"),
-            "meta.check_unit",
-            "meta.check_status",
+            "check_unit",
+            "check_status",
             F.lit(run.run_id).cast("bigint").alias("run_id"),
             F.lit(run.started).cast("timestamp_ntz").alias("run_start_timestamp"),
             F.localtimestamp().alias("run_stop_timestamp"),
-            F.when(windowed, F.col("meta.window_start")).alias("data_start_timestamp"),
-            F.when(windowed, F.col("meta.window_stop")).alias("data_stop_timestamp"),
+            F.when(windowed, F.col("window_start")).alias("data_start_timestamp"),
+            F.when(windowed, F.col("window_stop")).alias("data_stop_timestamp"),
             F.when(valid, F.col("rc")).otherwise(F.lit(RC_BAD_CHECK_OUTPUT)).alias("check_rc"),
             F.lit(float(NO_COUNT)).alias("check_scope"),
             F.lit(NO_COUNT).alias("check_severity_score"),
             F.when(valid, F.col("violations"))
             .otherwise(F.lit(NO_COUNT).cast("bigint"))
             .alias("check_violation_cnt"),
-            "meta.env_vars",
+            "env_vars",
         )
 
     def known(self, rows: list[Row]) -> DataFrame:

@@ -138,6 +138,24 @@ def tables_affected(spark, sf_dir):
     return plan.tables_affected(history(spark, sf_dir), "F", "A", "lineitem", "tax_range_ck")
 
 
+def _check_series_sql(unit: str) -> str:
+    return f"""WITH {HISTORY_SQL}
+    SELECT CAST(date_trunc('{unit}', run_start_timestamp) AS DATE) AS period,
+           CAST(coalesce(sum(check_violation_cnt), 0) AS BIGINT) AS violations
+    FROM history WHERE instance_name = 'F' AND database_name = 'A' AND table_name = 'lineitem'
+      AND check_name = 'qty_range_ck' GROUP BY 1"""
+
+
+@query("check_detail_daily", _check_series_sql("day"))
+def check_detail_daily(spark, sf_dir):
+    return plan.check_series(history(spark, sf_dir), "F", "A", "lineitem", "qty_range_ck")
+
+
+@query("check_detail_monthly", _check_series_sql("month"))
+def check_detail_monthly(spark, sf_dir):
+    return plan.check_series(history(spark, sf_dir), "F", "A", "lineitem", "qty_range_ck", "month")
+
+
 @query(
     "rollup_levels",
     f"""WITH {HISTORY_SQL},

@@ -6,8 +6,8 @@ row        returns the predicate a bad row meets; counted with the table's other
            row checks in one scan - or two: those that file statistics can answer
            go separately, so that others do not keep them from skipping
 aggregate  returns an aggregate that is the count; shares a scan with row checks
-table      returns a one-row DataFrame with ``violations``, optionally ``rc``
-           and ``mode``
+table      returns a one-row DataFrame with ``violations``, optionally ``rc``,
+           ``mode``, and a map ``vars`` that is saved with the result
 setup      returns the JSON object (as a dict, or a one-row DataFrame with
            ``raw_output``) that carries variables and the data window
 
@@ -24,9 +24,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.operators import consistency, key_checks, row_checks, statistics
+from tablewarden.operators import consistency, key_checks, policy, row_checks, statistics
 from tablewarden.operators.fused import count_bad_rows
-from tablewarden.schema import CHECK_CUSTOM_PREFIX, TABLE_CUSTOM_PREFIX, TABLE_PREFIX
+from tablewarden.schema import (
+    CHECK_CUSTOM_PREFIX,
+    TABLE_CUSTOM_PREFIX,
+    TABLE_PREFIX,
+    VAR_PREFIX,
+)
+from tablewarden.sources.tables import list_files
 
 
 @dataclass(frozen=True)
@@ -38,6 +44,10 @@ class CheckContext:
     df: DataFrame
     tables: Mapping[str, DataFrame]
     vars: Mapping[str, str]
+    #: results of earlier runs, if the run was given any
+    history: DataFrame | None = None
+    #: when the run began
+    started: dt.datetime | None = None
 
     def custom(self, name: str, default: str | None = None) -> str:
         """A custom variable of the registry entry, without its prefix."""
@@ -222,6 +232,71 @@ def _target_vs_source(ctx: CheckContext) -> DataFrame:
     return consistency.count_differences(consistency.target_vs_source(source, ctx.df))
 
 
+@_table("profile")
+def _profile(ctx: CheckContext) -> DataFrame:
+    """Statistics without pass or fail, saved as variables of the result."""
+    columns = ctx.names("cols", ",".join(ctx.df.columns))
+    facts = statistics.profile(ctx.df, columns)
+    names = [c for c in facts.columns if c != "column_name"]
+    entries = F.array(
+        *[
+            F.struct(
+                F.concat(F.lit(f"{VAR_PREFIX}profile_"), "column_name", F.lit(f"_{n}")).alias("key"),
+                F.coalesce(F.col(n).cast("string"), F.lit("")).alias("value"),
+            )
+            for n in names
+        ]
+    )
+    return facts.agg(
+        F.lit(0).alias("violations"),
+        F.map_from_entries(F.flatten(F.collect_list(entries))).alias("vars"),
+    )
+
+
+def _newest_profile(ctx: CheckContext) -> DataFrame:
+    """One row: when the table was last profiled, NULL if it never was."""
+    if ctx.history is None:
+        raise ValueError("the check looks at the results of earlier runs")
+    place = {
+        "instance_name": ctx.vars[f"{VAR_PREFIX}instance"],
+        "database_name": ctx.vars[f"{VAR_PREFIX}database"],
+        "table_name": ctx.table,
+        "check_type": "profile",
+    }
+    rows = ctx.history.where(F.col("check_rc") == 0)
+    for column, name in place.items():
+        rows = rows.where(F.col(column) == name)
+    return rows.agg(F.max("run_start_timestamp").alias("newest"))
+
+
+@BUILT_IN.add("stats_exist", "table", unit="tables", policy="data-management")
+def _stats_exist(ctx: CheckContext) -> DataFrame:
+    missing = F.col("newest").isNull()
+    return _newest_profile(ctx).select(missing.cast("int").alias("violations"))
+
+
+@BUILT_IN.add("stats_not_stale", "table", unit="tables", policy="data-management")
+def _stats_not_stale(ctx: CheckContext) -> DataFrame:
+    limit = ctx.started - dt.timedelta(days=int(ctx.custom("days")))
+    stale = F.col("newest") < F.lit(limit).cast("timestamp_ntz")
+    violations = F.coalesce(stale, F.lit(False)).cast("int")
+    return _newest_profile(ctx).select(violations.alias("violations"))
+
+
+def _bad_files(ctx: CheckContext, bad: Column) -> DataFrame:
+    return policy.audit_files(list_files(ctx.spark, *ctx.names("path")), bad=bad)
+
+
+@_table("block_size", "data-management")
+def _block_size(ctx: CheckContext) -> DataFrame:
+    return _bad_files(ctx, policy.too_small(int(ctx.custom("min_bytes"))))
+
+
+@_table("file_format", "data-management")
+def _file_format(ctx: CheckContext) -> DataFrame:
+    return _bad_files(ctx, policy.wrong_extension(*ctx.names("formats", "parquet")))
+
+
 @_table("sql")
 def _sql(ctx: CheckContext) -> DataFrame:
     return sql_check(ctx, ctx.custom("sql"))

@@ -172,6 +172,15 @@ def run_history(
     )
 
 
+def check_series(
+    results: DataFrame, instance: str, database: str, table: str, check: str, unit: str = "day"
+) -> DataFrame:
+    """Violations of one check per day or month, setup checks included if asked for."""
+    period = F.to_date(F.date_trunc(unit, "run_start_timestamp")).alias("period")
+    branch = drill_down(results, instance, database, table, check)
+    return branch.groupBy(period).agg(violation_total().alias("violations")).orderBy("period")
+
+
 def tables_affected(
     results: DataFrame, instance: str, database: str, table: str, check: str
 ) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.functions.outputs import parse_setup_outputs
+from tablewarden.functions.variables import merge_vars
 from tablewarden.operators.catalogue import BUILT_IN, Catalogue, Check, CheckContext
 from tablewarden.operators.fused import count_violations
 from tablewarden.plans.registry import valid_entries
@@ -147,6 +148,7 @@ class RunPlan:
         catalogue: Catalogue = BUILT_IN,
     ) -> None:
         self.spark, self.tables, self.run, self.catalogue = spark, tables, run, catalogue
+        self.history = history
         self.user_vars = {
             k: _clean(v) for k, v in (user_vars or {}).items() if k.startswith(TABLE_PREFIX)
         }
@@ -156,7 +158,7 @@ class RunPlan:
         #: checks still to be executed
         self.planned: list[Planned] = []
         self._frames: dict[tuple, DataFrame] = {}
-        states = self._run_setups([e for e in entries if e.check_type == "setup"], history)
+        states = self._run_setups([e for e in entries if e.check_type == "setup"])
         for entry in entries:
             if entry.check_type in ("setup", "teardown"):
                 continue
@@ -178,21 +180,24 @@ class RunPlan:
 
     # -- setups --------------------------------------------------------------
 
-    def _run_setups(self, setups: list[Row], history: DataFrame | None) -> dict[str, TableState]:
+    def _context(self, table: str, df: DataFrame, known: dict[str, str]) -> CheckContext:
+        return CheckContext(
+            self.spark, table, df, self.tables, known, self.history, self.run.started
+        )
+
+    def _run_setups(self, setups: list[Row]) -> dict[str, TableState]:
         """Run all setups in one job and read back their variables, a row per setup."""
         states: dict[str, TableState] = {}
         active = [e for e in setups if e.check_status == "active"]
         if not active:
             return states
-        prior = self._prior(active, history)
+        prior = self._prior(active)
         outputs = []
         for i, entry in enumerate(active):
             known = self.run.vars() | {f"{TABLE_PREFIX}": entry.table_name}
             known |= prior.get((entry.table_name, entry.check_alias), {}) | _custom_vars(entry)
             try:
-                ctx = CheckContext(
-                    self.spark, entry.table_name, self.tables[entry.table_name], self.tables, known
-                )
+                ctx = self._context(entry.table_name, self.tables[entry.table_name], known)
                 raw = self.catalogue.checks[entry.check_name].body(ctx)
                 if not isinstance(raw, DataFrame):
                     raw = self.spark.range(1).select(F.lit(json.dumps(raw)).alias("raw_output"))
@@ -210,10 +215,10 @@ class RunPlan:
             self._apply_setup(states.setdefault(entry.table_name, TableState()), entry, row)
         return states
 
-    def _prior(self, setups: list[Row], history: DataFrame | None) -> dict:
-        if history is None:
+    def _prior(self, setups: list[Row]) -> dict:
+        if self.history is None:
             return {}
-        mine = history.where(
+        mine = self.history.where(
             (F.col("instance_name") == self.run.instance)
             & (F.col("database_name") == self.run.database)
             & F.col("table_name").isin(sorted({e.table_name for e in setups}))
@@ -265,7 +270,7 @@ class RunPlan:
                 raise KeyError("an incremental check needs a window column")
             window = (state.start, state.stop)
         df = self._seen(entry.table_name, column, window)
-        body = check.body(CheckContext(self.spark, entry.table_name, df, self.tables, known))
+        body = check.body(self._context(entry.table_name, df, known))
         if check.kind == "row":
             body = body.cast("boolean")
         elif check.kind == "aggregate":
@@ -324,17 +329,19 @@ class RunPlan:
 
     @staticmethod
     def _one_row(out: DataFrame) -> DataFrame:
-        """Check output as ``n, violations, rc, mode``, whatever rows the check gave."""
+        """Check output as ``n, violations, rc, mode, vars``, whatever rows the check gave."""
         column = dict(zip((c.lower() for c in out.columns), out.columns))
         if "violations" not in column:
             raise ValueError("a check has to return violations")
         rc = F.max(F.col(column["rc"]).try_cast("int")) if "rc" in column else F.lit(0)
         mode = F.max(F.col(column["mode"]).cast("string")) if "mode" in column else F.lit(None)
+        extra = F.first(F.col(column["vars"])) if "vars" in column else F.lit(None)
         return out.agg(
             F.count(F.lit(1)).alias("n"),
             F.max(F.col(column["violations"]).try_cast("bigint")).alias("violations"),
             rc.cast("int").alias("rc"),
             mode.cast("string").alias("mode"),
+            extra.cast("map<string,string>").alias("vars"),
         )
 
     def _properties(self, planned: list[Planned]) -> DataFrame:
@@ -358,10 +365,10 @@ class RunPlan:
         return F.broadcast(properties) if len(rows) <= BROADCAST_CHECKS else properties
 
     def counts(self, planned: list[Planned]) -> DataFrame:
-        """``key`` (the check's position), ``n``, ``violations``, ``rc``, ``mode``."""
+        """``key`` (the check's position), ``n``, ``violations``, ``rc``, ``mode``, ``vars``."""
         keys = {id(p): str(i) for i, p in enumerate(planned)}
         parts = [
-            p.df.select(F.lit(keys[id(p)]).alias("key"), "n", "violations", "rc", "mode")
+            p.df.select(F.lit(keys[id(p)]).alias("key"), "n", "violations", "rc", "mode", "vars")
             for p in planned
             if p.body is None
         ]
@@ -377,6 +384,7 @@ class RunPlan:
                     "violations",
                     F.lit(0).alias("rc"),
                     F.lit(None).cast("string").alias("mode"),
+                    F.lit(None).cast("map<string,string>").alias("vars"),
                 )
             )
         return reduce(DataFrame.unionByName, parts)
@@ -408,7 +416,7 @@ class RunPlan:
             F.when(valid, F.col("violations"))
             .otherwise(F.lit(NO_COUNT).cast("bigint"))
             .alias("check_violation_cnt"),
-            "env_vars",
+            merge_vars(F.col("env_vars"), F.col("vars")).alias("env_vars"),
         )
 
     def known(self, rows: list[Row]) -> DataFrame:

@@ -130,6 +130,20 @@ def test_check_outputs(spark):
         assert (row.valid, row.check_rc, row.violations, row["mode"]) == expected, raw
 
 
+def test_outputs_from_files(spark, tmp_path):
+    from tablewarden.sources.outputs import read_outputs
+
+    records = [
+        {"table_name": "t", "check_alias": str(i), "raw_output": raw, "check_rc": rc}
+        for i, (raw, rc, _) in enumerate(CHECKS)
+    ]
+    (tmp_path / "batch.json").write_text("\n".join(json.dumps(r) for r in records))
+    got = parse_check_outputs(read_outputs(spark, str(tmp_path))).collect()
+    assert {int(r.check_alias): r.check_rc for r in got} == {
+        i: expected[1] for i, (_, _, expected) in enumerate(CHECKS)
+    }
+
+
 def setups(spark, *raw):
     df = spark.createDataFrame(
         [(i, r, 0) for i, r in enumerate(raw)], "i int, raw_output string, check_rc int"

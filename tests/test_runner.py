@@ -310,6 +310,66 @@ def test_repeating_a_run_adds_nothing(spark, registry, table, tmp_path):
     assert read_results(spark, path).count() == 2
 
 
+def test_profiles_and_their_age(spark, registry, table, tmp_path):
+    path = str(tmp_path / "h")
+    stale = entry("stats_not_stale", days=2)
+    doc = {
+        "t": {
+            "profile": entry(
+                "profile", check_type="profile", check_mode="full", check_scope="table", cols="k,g"
+            ),
+            "exist": entry("stats_exist"),
+            "stale": stale,
+        }
+    }
+    first = by_name(run_and_store(spark, registry(doc), {"t": table}, run(1), path))
+    assert (first["exist"].check_violation_cnt, first["stale"].check_violation_cnt) == (1, 0)
+    saved = first["profile"].env_vars
+    assert first["profile"].check_type == "profile" and first["profile"].check_violation_cnt == 0
+    assert (saved["hapinsp_profile_k_n_rows"], saved["hapinsp_profile_g_n_distinct"]) == ("10", "3")
+    later = {"t": {"exist": entry("stats_exist"), "stale": stale}}
+    for n, expected in [(2, 0), (5, 1)]:
+        got = by_name(run_and_store(spark, registry(later), {"t": table}, run(n), path))
+        assert (got["exist"].check_violation_cnt, got["stale"].check_violation_cnt) == (0, expected)
+        assert got["exist"].check_unit == "tables"
+
+
+def test_file_checks(spark, registry, table, tmp_path):
+    path = tmp_path / "files"
+    table.coalesce(1).write.parquet(str(path))
+    (path / "notes.txt").write_text("x")
+    doc = {
+        "t": {
+            "size": entry("block_size", path=str(path), min_bytes=100),
+            "format": entry("file_format", path=str(path)),
+        }
+    }
+    got = by_name(run_checks(spark, registry(doc), {"t": table}, run()))
+    assert {k: r.check_violation_cnt for k, r in got.items()} == {"size": 1, "format": 1}
+    assert got["size"].check_policy_type == "data-management"
+
+
+def test_consistency_checks_by_name(spark, registry, table):
+    peer = table.where(F.col("k") != 4).withColumn("g", F.when(F.col("k") == 5, 9).otherwise(F.col("g")))
+    summary = spark.createDataFrame([(0, 4), (1, 3), (2, 4), (7, 1)], "g long, n long")
+    doc = {
+        "t": {
+            "rows": entry("peer_row_count", peer="peer"),
+            "spots": entry("peer_field_spot_check", peer="peer", cols="k", fields="g,ts", share=1),
+            "source": entry("target_vs_source", source="peer"),
+        },
+        "s": {"sums": entry("base_vs_summary", cols="g", base="t", total="n")},
+    }
+    got = by_name(run_checks(spark, registry(doc), {"t": table, "peer": peer, "s": summary}, run()))
+    counts = {k: (r.check_violation_cnt, r.check_policy_type) for k, r in got.items()}
+    assert counts == {
+        "rows": (1, "consistency"),
+        "spots": (2, "consistency"),
+        "source": (3, "consistency"),
+        "sums": (2, "consistency"),
+    }
+
+
 def test_sql_check(spark, registry, table):
     doc = {
         "t": {

@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from inspections import query
+from tablewarden.functions.moments import moment
 from tablewarden.operators.consistency import (
     base_vs_summary,
     count_differences,
@@ -32,7 +33,7 @@ REPLICA_SQL = """
 def replica_of(orders):
     late = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")
     return orders.where(
-        F.col("o_orderdate") < F.lit(dt.datetime(2001, 7, 1)).cast("timestamp_ntz")
+        F.col("o_orderdate") < moment(dt.datetime(2001, 7, 1))
     ).withColumn("o_orderstatus", F.when(late, F.lit("O")).otherwise(F.col("o_orderstatus")))
 
 

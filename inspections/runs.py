@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inspections import query
+from tablewarden.functions.moments import moment
 from tablewarden.operators.catalogue import BUILT_IN
 from tablewarden.operators.fused import count_bad_rows
 from tablewarden.plans.runner import Run, run_and_store, run_checks
@@ -278,7 +279,7 @@ def run_incremental(spark, sf_dir):
     runs = []
     for i, end in enumerate(_RUN_ENDS):
         arrived = orders.where(
-            F.col("o_orderdate") <= F.lit(dt.datetime.fromisoformat(end)).cast("timestamp_ntz")
+            F.col("o_orderdate") <= moment(dt.datetime.fromisoformat(end))
         )
         run = Run("test", "main", i + 1, dt.datetime(2024, 3, i + 1, 2))
         runs.append(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from inspections import query
 from inspections.fixtures import DAY_VAR, HISTORY_SQL, history
+from tablewarden.functions.moments import moment
 from tablewarden.functions.variables import sorted_vars_text
 from tablewarden.sources.tables import read_table
 from tablewarden.streaming import incremental
@@ -58,7 +59,7 @@ def incremental_window(spark, sf_dir):
     """The history ends early and knows nothing of one database: its window is open."""
     keys = ["instance_name", "database_name"]
     past = history(spark, sf_dir).where(
-        (F.col("run_start_timestamp") < F.lit(_CUT).cast("timestamp_ntz"))
+        (F.col("run_start_timestamp") < moment(_CUT))
         & (F.col("database_name") != "R")
     )
     lineitem = read_table(spark, "lineitem", directory=sf_dir).select(

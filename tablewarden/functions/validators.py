@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 #: Text that reads as a whole number.
 WHOLE = r"^\s*[+-]?\d+\s*$"
 
-# --- Fixed values: length, digits and datetime pattern of the accepted forms ---
+# --- Fixed values: the accepted forms, and how they read with separators ----------
 ISO_FORMS = {
     "basic": [
-        (15, r"^\d{8}T\d{6}$", "yyyyMMdd'T'HHmmss"),
-        (21, r"^\d{8}T\d{12}$", "yyyyMMdd'T'HHmmssSSSSSS"),
+        (r"^(\d{4})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d)$", "$1-$2-$3 $4:$5:$6"),
+        (r"^(\d{4})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d)(\d{6})$", "$1-$2-$3 $4:$5:$6.$7"),
     ],
     "ext": [
-        (19, r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$", "yyyy-MM-dd'T'HH:mm:ss"),
-        (26, r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}$", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+        (r"^(\d{4}-\d\d-\d\d)T(\d\d:\d\d:\d\d)$", "$1 $2"),
+        (r"^(\d{4}-\d\d-\d\d)T(\d\d:\d\d:\d\d\.\d{6})$", "$1 $2"),
     ],
 }
 # --- End of fixed values -------------------------------------------------------
@@ -58,12 +58,14 @@ def iso_timestamp(c: Column | str, kind: str = "any") -> Column:
         raise ValueError(f"unknown ISO-8601 kind: {kind}")
     c = _col(c)
     forms = [f for k in ISO_FORMS for f in ISO_FORMS[k] if kind in (k, "any")]
+    text = F.upper(c)
+    # the year 0000 exists for Spark, not for calendars that start at 0001
+    dated = ~c.startswith("0000")
     parsed = None
-    for width, digits, pattern in forms:
-        # the year 0000 exists for Spark, not for ISO calendars starting at 0001
-        shaped = (F.length(c) == width) & F.upper(c).rlike(digits) & ~c.startswith("0000")
-        value = F.try_to_timestamp(F.upper(c), F.lit(pattern)).cast("timestamp_ntz")
-        parsed = F.when(shaped, value) if parsed is None else parsed.when(shaped, value)
+    for shape, spaced in forms:
+        value = F.regexp_replace(text, shape, spaced).try_cast("timestamp_ntz")
+        case = dated & text.rlike(shape)
+        parsed = F.when(case, value) if parsed is None else parsed.when(case, value)
     return parsed
 
 

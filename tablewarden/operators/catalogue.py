@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewarden.functions.moments import moment
 from tablewarden.operators import consistency, key_checks, policy, row_checks, statistics
 from tablewarden.operators.fused import count_bad_rows
 from tablewarden.schema import (
@@ -278,7 +279,7 @@ def _stats_exist(ctx: CheckContext) -> DataFrame:
 @BUILT_IN.add("stats_not_stale", "table", unit="tables", policy="data-management")
 def _stats_not_stale(ctx: CheckContext) -> DataFrame:
     limit = ctx.started - dt.timedelta(days=int(ctx.custom("days")))
-    stale = F.col("newest") < F.lit(limit).cast("timestamp_ntz")
+    stale = F.col("newest") < moment(limit)
     violations = F.coalesce(stale, F.lit(False)).cast("int")
     return _newest_profile(ctx).select(violations.alias("violations"))
 

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablewarden.functions.moments import moment
 from tablewarden.functions.validators import is_iso8601, is_numeric, whole_number
 
 INTEGERS = ("tinyint", "byte", "smallint", "short", "int", "integer", "bigint", "long")
@@ -94,4 +95,4 @@ def too_old(ts: Column | str, reference: dt.date | dt.datetime, days: int) -> Co
     The limit is a literal, so a scan with this predicate alone skips files.
     """
     limit = dt.datetime.combine(reference, dt.time()) if type(reference) is dt.date else reference
-    return _col(ts) < F.lit(limit - dt.timedelta(days=days)).cast("timestamp_ntz")
+    return _col(ts) < moment(limit - dt.timedelta(days=days))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewarden.functions.moments import moment
 from tablewarden.operators.fused import MAX_PER_SCAN
 
 _FACTS = 6
@@ -105,8 +106,6 @@ def stats_stale(
     taken: str = "run_start_timestamp",
 ) -> DataFrame:
     """Tables whose newest profile is more than ``days`` older than the reference."""
-    if not isinstance(reference, Column):
-        reference = F.lit(reference).cast("timestamp_ntz")
     newest = profiles.groupBy(table).agg(F.max(taken).alias("newest"))
-    limit = reference - F.make_dt_interval(F.lit(days))
+    limit = moment(reference) - F.make_dt_interval(F.lit(days))
     return newest.where(F.col("newest") < limit)

@@ -68,8 +68,16 @@ def search(results: DataFrame, level: str, text: str = "") -> DataFrame:
     return found
 
 
+def period_of(unit: str, ts: str = "run_start_timestamp") -> Column:
+    """The day, or the first day of the month; dates, so no time zone comes in."""
+    if unit not in ("day", "month"):
+        raise ValueError(f"unknown period: {unit}")
+    day = F.to_date(ts)
+    return (day if unit == "day" else F.trunc(day, "month")).alias("period")
+
+
 def _series(results: DataFrame, level: str, unit: str) -> DataFrame:
-    period = F.to_date(F.date_trunc(unit, "run_start_timestamp")).alias("period")
+    period = period_of(unit)
     return (
         results.where(is_regular(level))
         .groupBy(*path_to(level), period)
@@ -104,9 +112,9 @@ def last_points(series: DataFrame, level: str, n: int) -> DataFrame:
 
 def series_lengths(results: DataFrame, level: str) -> DataFrame:
     """Number of points of the year, month and week series per entity, 0 without runs."""
-    days = results.groupBy(
-        *path_to(level), F.to_date(F.date_trunc("day", "run_start_timestamp")).alias("day")
-    ).agg(F.count_if(is_regular(level)).alias("n"))
+    days = results.groupBy(*path_to(level), period_of("day").alias("day")).agg(
+        F.count_if(is_regular(level)).alias("n")
+    )
     counted = F.col("n") > 0
     points = F.count_if(counted)
     return days.groupBy(*path_to(level)).agg(
@@ -145,7 +153,7 @@ def rollup_levels(results: DataFrame, unit: str = "month") -> DataFrame:
     """
     base = (
         results.where(is_regular("table_name"))
-        .groupBy(*LEVELS, F.to_date(F.date_trunc(unit, "run_start_timestamp")).alias("period"))
+        .groupBy(*LEVELS, period_of(unit))
         .agg(violation_total().alias("n"))
     )
     sets = [[F.col(c) for c in [*path_to(level), "period"]] for level in LEVELS]
@@ -176,9 +184,8 @@ def check_series(
     results: DataFrame, instance: str, database: str, table: str, check: str, unit: str = "day"
 ) -> DataFrame:
     """Violations of one check per day or month, setup checks included if asked for."""
-    period = F.to_date(F.date_trunc(unit, "run_start_timestamp")).alias("period")
     branch = drill_down(results, instance, database, table, check)
-    return branch.groupBy(period).agg(violation_total().alias("violations")).orderBy("period")
+    return branch.groupBy(period_of(unit)).agg(violation_total().alias("violations")).orderBy("period")
 
 
 def tables_affected(

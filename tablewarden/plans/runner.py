@@ -17,6 +17,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from tablewarden.functions.moments import moment, utc_now
 from tablewarden.functions.outputs import parse_setup_outputs
 from tablewarden.functions.variables import merge_vars
 from tablewarden.operators.catalogue import BUILT_IN, Catalogue, Check, CheckContext
@@ -58,9 +59,7 @@ class Run:
     instance: str
     database: str
     run_id: int = 0
-    started: dt.datetime = field(
-        default_factory=lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    )
+    started: dt.datetime = field(default_factory=utc_now)
     ssl: str = ""
 
     def vars(self) -> dict[str, str]:
@@ -121,7 +120,7 @@ def _result(run: Run, entry: Row, **values) -> Row:
         check_status=entry.check_status,
         run_id=run.run_id,
         run_start_timestamp=run.started,
-        run_stop_timestamp=dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
+        run_stop_timestamp=utc_now(),
         check_rc=0,
         check_scope=float(NO_COUNT),
         check_severity_score=NO_COUNT,
@@ -406,8 +405,8 @@ class RunPlan:
             "check_unit",
             "check_status",
             F.lit(run.run_id).cast("bigint").alias("run_id"),
-            F.lit(run.started).cast("timestamp_ntz").alias("run_start_timestamp"),
-            F.localtimestamp().alias("run_stop_timestamp"),
+            moment(run.started).alias("run_start_timestamp"),
+            F.convert_timezone(None, F.lit("UTC"), F.localtimestamp()).alias("run_stop_timestamp"),
             F.when(windowed, F.col("window_start")).alias("data_start_timestamp"),
             F.when(windowed, F.col("window_stop")).alias("data_stop_timestamp"),
             F.when(valid, F.col("rc")).otherwise(F.lit(RC_BAD_CHECK_OUTPUT)).alias("check_rc"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewarden.functions.moments import moment
 from tablewarden.functions.variables import vars_json
 from tablewarden.schema import NO_COUNT, RESULT_KEY, RESULT_SCHEMA
 
@@ -48,7 +49,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 def with_window_fallback(results: DataFrame, begin: Column | dt.datetime) -> DataFrame:
     """A result without data window gets its run time, without run time the run's begin."""
-    begin = begin if isinstance(begin, Column) else F.lit(begin).cast("timestamp_ntz")
+    begin = moment(begin)
     return results.withColumns(
         {
             "data_start_timestamp": F.coalesce("data_start_timestamp", "run_start_timestamp", begin),

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewarden.functions.moments import moment
 from tablewarden.functions.variables import as_prior
 from tablewarden.schema import LEVELS
 
@@ -61,14 +62,11 @@ def in_window(
     """
     ts = F.col(ts) if isinstance(ts, str) else ts
 
-    def bound(value):
-        return value if isinstance(value, Column) else F.lit(value).cast("timestamp_ntz")
-
     within = F.lit(True)
     if start is not None:
-        within = ts > bound(start)
+        within = ts > moment(start)
     if stop is not None:
-        upper = ts <= bound(stop)
+        upper = ts <= moment(stop)
         within = upper if start is None else within & upper
     return within
 

@@ -231,6 +231,26 @@ def test_windows(spark):
     assert "GreaterThan(o_orderdate" in text.queryExecution().executedPlan().toString()
 
 
+def test_nothing_depends_on_the_time_zone(spark, frame):
+    from tablewarden.functions.moments import moment
+    from tablewarden.functions.validators import iso_timestamp
+    from pyspark.sql import functions as F
+
+    gap = dt.datetime(2024, 3, 10, 2, 30)  # does not exist in New York
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        row = spark.range(1).select(
+            moment(gap).alias("a"), iso_timestamp(F.lit("20240310T023000"), "basic").alias("b")
+        ).first()
+        assert row.a == row.b == gap
+        df = frame(result(count=1, run_start_timestamp=dt.datetime(2024, 3, 1, 0, 0)))
+        assert str(plan.monthly(df, "check_name").first().period) == "2024-03-01"
+        assert str(plan.daily(df, "check_name").first().period) == "2024-03-01"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_score_join(spark):
     results = spark.createDataFrame(
         [("t", "uk", 5), ("t", "stats", 1), ("t", "uk", None), ("t", "unknown", 1)],

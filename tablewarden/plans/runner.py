@@ -45,6 +45,10 @@ PLANNING_ERRORS = (PySparkException, KeyError, TypeError, ValueError)
 #: checks it is sent to all tasks, beyond that Spark chooses the join.
 BROADCAST_CHECKS = 20_000
 
+#: One job has at most so many branches (scans, checks of their own, setups); the
+#: plan of a large registry would otherwise take longer than its checks.
+BRANCHES = 100
+
 CHECK_PROPERTIES = (
     "key string, table_name string, check_name string, check_type string, "
     "check_policy_type string, check_unit string, check_status string, planned_mode string, "
@@ -129,6 +133,10 @@ def _result(run: Run, entry: Row, **values) -> Row:
     return Row(**(base | values))
 
 
+def _batches(items: list) -> list[list]:
+    return [items[i : i + BRANCHES] for i in range(0, len(items), BRANCHES)]
+
+
 def _failed(run: Run, entry: Row) -> Row:
     return _result(run, entry, check_rc=RC_BAD_CHECK_OUTPUT, check_violation_cnt=NO_COUNT)
 
@@ -185,13 +193,13 @@ class RunPlan:
         )
 
     def _run_setups(self, setups: list[Row]) -> dict[str, TableState]:
-        """Run all setups in one job and read back their variables, a row per setup."""
+        """Run the setups and read back their variables, a row per setup."""
         states: dict[str, TableState] = {}
         active = [e for e in setups if e.check_status == "active"]
         if not active:
             return states
         prior = self._prior(active)
-        outputs = []
+        outputs: list[DataFrame] = []
         for i, entry in enumerate(active):
             known = self.run.vars() | {f"{TABLE_PREFIX}": entry.table_name}
             known |= prior.get((entry.table_name, entry.check_alias), {}) | _custom_vars(entry)
@@ -204,8 +212,10 @@ class RunPlan:
             except PLANNING_ERRORS:
                 raw = self.spark.range(1).select(F.lit(None).cast("string").alias("raw_output"))
             outputs.append(raw.select(F.lit(i).alias("i"), "raw_output", F.lit(0).alias("check_rc")))
-        parsed = parse_setup_outputs(reduce(DataFrame.unionByName, outputs))
-        found = {row.i: row for row in parsed.collect()}
+        found = {}
+        for some in _batches(outputs):
+            parsed = parse_setup_outputs(reduce(DataFrame.unionByName, some))
+            found |= {row.i: row for row in parsed.collect()}
         for i, entry in enumerate(active):
             row = found.get(i)
             if row is None:
@@ -429,35 +439,32 @@ class RunPlan:
     # -- storing -----------------------------------------------------------------
 
     def store(self, path: str) -> None:
-        """Append all results in one write.
+        """Append the results, each batch of checks in one write.
 
-        If a check breaks while running nothing was written; the checks are then
-        halved until the broken ones stand alone, and those are stored as failed.
+        If a check breaks while running nothing of its batch was written; the
+        checks are then halved until the broken ones stand alone, and those are
+        stored as failed.
         """
-        if not self.planned:
-            self._append(self.results(), path)
-            return
-        try:
-            self._append(self.results(), path)
-        except Exception:
-            if self.done:
-                self._append(self.known(self.done), path)
-            self._store_parts(self.planned, path)
+        if self.done:
+            self._append(self.known(self.done), path)
+        branches = self._scans(self.planned) + [[p] for p in self.planned if p.body is None]
+        for some in _batches(branches):
+            self._store([p for branch in some for p in branch], path)
 
     def _append(self, rows: DataFrame, path: str) -> None:
         started = self.run.started
         append_results(self.spark, rows, path, begin=started, month=started.date())
 
-    def _store_parts(self, planned: list[Planned], path: str) -> None:
-        if len(planned) > 1:
+    def _store(self, planned: list[Planned], path: str) -> None:
+        try:
+            self._append(self.executed(planned), path)
+        except Exception:
+            if len(planned) == 1:
+                self._append(self.known([_failed(self.run, planned[0].entry)]), path)
+                return
             half = len(planned) // 2
-            for part in (planned[:half], planned[half:]):
-                try:
-                    self._append(self.executed(part), path)
-                except Exception:
-                    self._store_parts(part, path)
-            return
-        self._append(self.known([_failed(self.run, planned[0].entry)]), path)
+            self._store(planned[:half], path)
+            self._store(planned[half:], path)
 
 
 def run_checks(

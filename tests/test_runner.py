@@ -302,6 +302,27 @@ def test_a_check_that_breaks_loses_only_itself(spark, registry, table, tmp_path)
     }
 
 
+def test_large_registries_are_stored_in_batches(spark, registry, table, tmp_path, monkeypatch):
+    from tablewarden.plans import runner
+
+    monkeypatch.setattr(runner, "BRANCHES", 2)
+    path = str(tmp_path / "h")
+    doc = {
+        t: {
+            "w": setup("incremental_window", col="ts"),
+            "a": entry("range", col="k", max=6),
+            "b": entry("rule_uniqueness", cols="g"),
+        }
+        for t in ("t1", "t2", "t3")
+    }
+    tables = dict.fromkeys(doc, table)
+    got = run_and_store(spark, registry(doc), tables, run(), path).collect()
+    counts = {(r.table_name, r.check_name): r.check_violation_cnt for r in got}
+    expected = {"w": None, "a": 3, "b": 7}
+    assert counts == {(t, c): n for t in doc for c, n in expected.items()}
+    assert len(list((tmp_path / "h").rglob("*.parquet"))) == 4
+
+
 def test_repeating_a_run_adds_nothing(spark, registry, table, tmp_path):
     path = str(tmp_path / "h")
     doc = {"t": {"a": entry("not_empty"), "b": entry("rule_uniqueness", cols="k")}}

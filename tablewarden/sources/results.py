@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,9 +29,13 @@ CSV_SCHEMA = T.StructType(
 )
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(STORED_SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def empty_results(spark: SparkSession) -> DataFrame:
@@ -42,9 +47,8 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
     Filters on ``run_month`` (its first day) prune folders.
     """
-    if not path_exists(spark, path):
-        return empty_results(spark)
-    return spark.read.schema(STORED_SCHEMA).parquet(path)
+    stored = _stored(spark, path)
+    return empty_results(spark) if stored is None else stored
 
 
 def with_window_fallback(results: DataFrame, begin: Column | dt.datetime) -> DataFrame:
@@ -97,8 +101,8 @@ def append_results(
     leaves nothing behind.
     """
     rows = prepare_results(results, begin)
-    if path_exists(spark, path):
-        stored = read_results(spark, path)
+    stored = _stored(spark, path)
+    if stored is not None:
         if month is not None:
             stored = stored.where(F.col("run_month") == F.lit(month.replace(day=1)))
         rows = new_results(stored, rows)

@@ -214,8 +214,7 @@ class RunPlan:
             outputs.append(raw.select(F.lit(i).alias("i"), "raw_output", F.lit(0).alias("check_rc")))
         found = {}
         for some in _batches(outputs):
-            parsed = parse_setup_outputs(reduce(DataFrame.unionByName, some))
-            found |= {row.i: row for row in parsed.collect()}
+            found |= self._setup_rows(some)
         for i, entry in enumerate(active):
             row = found.get(i)
             if row is None:
@@ -224,6 +223,17 @@ class RunPlan:
             self._apply_setup(states.setdefault(entry.table_name, TableState()), entry, row)
         return states
 
+    def _setup_rows(self, outputs: list[DataFrame]) -> dict[int, Row]:
+        """Parsed outputs by position; a setup that breaks while running has none."""
+        try:
+            parsed = parse_setup_outputs(reduce(DataFrame.unionByName, outputs))
+            return {row.i: row for row in parsed.collect()}
+        except Exception:
+            if len(outputs) == 1:
+                return {}
+            half = len(outputs) // 2
+            return self._setup_rows(outputs[:half]) | self._setup_rows(outputs[half:])
+
     def _prior(self, setups: list[Row]) -> dict:
         if self.history is None:
             return {}

@@ -181,6 +181,11 @@ def _setup_raises(ctx):
     raise ValueError("no")
 
 
+@OWN.add("setup_explodes", "setup")
+def _setup_explodes(ctx):
+    return ctx.df.limit(1).select(F.raise_error(F.lit("boom")).cast("string").alias("raw_output"))
+
+
 @OWN.add("explode", "row")
 def _explode(ctx):
     return F.when(F.col("k") == 5, F.raise_error(F.lit("boom")).cast("boolean")).otherwise(False)
@@ -240,11 +245,18 @@ def test_setup_can_bypass_its_table(spark, registry, table):
 
 def test_bad_setups_are_rows(spark, registry, table):
     doc = {
-        "t": {"s1": setup("setup_bad"), "s2": setup("setup_raises"), "c": entry("not_empty")},
+        "t": {
+            "s1": setup("setup_bad"),
+            "s2": setup("setup_raises"),
+            "s4": setup("setup_explodes"),
+            "s5": setup("setup_foo", foo="bar"),
+            "c": entry("not_empty"),
+        },
         "u": {"s3": setup("setup_bad", check_status="inactive")},
     }
     got = by_name(run_checks(spark, registry(doc), {"t": table}, run(), catalogue=OWN))
-    assert (got["s1"].check_rc, got["s2"].check_rc, got["c"].check_rc) == (201, 201, 0)
+    assert [got[s].check_rc for s in ("s1", "s2", "s4", "s5", "c")] == [201, 201, 201, 0, 0]
+    assert got["c"].env_vars["hapinsp_tablecustom_foo"] == "bar"
     assert "s3" not in got
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -30,15 +29,15 @@ def session(app: str = "tablewarden", master: str | None = None, **conf: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh sub-folder of the shared folder the cluster names.
+    """A fresh sub-folder of the shared folder the cluster names; it goes when the application ends.
 
-    ``spark.checkpoint.dir`` is read from the session. Where it is unset a local
-    temporary folder is used, but only by a local master: executors on other
-    machines could not read it.
+    ``spark.checkpoint.dir`` is read from the session. Where it is unset, the folder lies below
+    ``spark.sql.warehouse.dir``, which all executors reach as well.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="tablewarden-")
-    return f"{base.rstrip('/')}/tablewarden-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{base.rstrip('/')}/tablewarden-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder

@@ -30,3 +30,22 @@ def text_or_empty(column: str):
 def fold(key_column, modulus: int):
     """crc32 of the key as text, modulo ``modulus``: the folds of the contracts."""
     return F.crc32(F.coalesce(key_column.cast("string"), F.lit(""))) % modulus
+
+
+#: Rows of a table of keys and labels up to which it is broadcast (some 30 MB); above, the join shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def joined_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with their labels, joined on ``_key``; the labels are broadcast if they are few."""
+    if labels.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        labels = F.broadcast(labels)
+    return docs.join(labels, "_key")
+
+
+def sampled(df: DataFrame, text: str, rows: int, chars: int, most_rows: int, most_chars: int) -> DataFrame:
+    """About as many rows as the two bounds allow, chosen by a hash of the text: the same ones each time."""
+    share = min(1.0, most_rows / max(rows, 1), most_chars / max(chars, 1))
+    if share >= 1:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(text)), F.lit(1_000_000)) < int(share * 1_000_000))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import heavy_dedup, line_runs, url_trees
+from tablewarden.llm import heavy_dedup, language_crf, line_runs, nb_svm, toxic_spans, url_trees
+from tablewarden.llm.common import fold
 from tablewarden.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -66,3 +67,31 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256
 FROM j GROUP BY doc_id
 """
+
+
+@query
+def op4_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, "documents", directory=sf_dir).select("doc_id", "text")
+    labels = read_table(spark, "labels", directory=sf_dir).select("doc_id", "quality")
+    out = nb_svm.classify(docs, labels, "quality", lambda key: fold(key, 5) != 0)
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", decided())
+
+
+def decided():
+    return (F.col("score") >= 0.3).cast("int").alias("predicted")
+
+
+@query
+def op3_crf_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, "documents", directory=sf_dir).select("doc_id", "text")
+    labels = read_table(spark, "labels", directory=sf_dir).select("doc_id", "toxic")
+    out = toxic_spans.detect(docs, labels, "toxic", lambda key: fold(key, 4) != 2)
+    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", decided(), "spans")
+
+
+@query
+def op9_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, "documents", directory=sf_dir).select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    out = language_crf.identify(docs, ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -108,7 +108,7 @@ def forward_backward(chain: Chain, emissions: np.ndarray, first: np.ndarray) ->
 
 
 def fit(
-    words: Words, labels: np.ndarray, states: int, epochs: int = 6, batch: int = 32, rate: float = 0.2,
+    words: Words, labels: np.ndarray, states: int, epochs: int = 6, batch: int = 32, rate: float = 0.5,
     decay: float = 1e-6, buckets: int = BUCKETS, seed: int = 3,
 ) -> Chain:
     """Maximum likelihood of the labels of whole texts, by AdaGrad over batches of texts."""

@@ -1,8 +1,8 @@
 """Toxicity: a linear-chain conditional random field marks toxic words; their marginals make document scores.
 
 Labels are given per document. They become word labels by the lexicon that the labelled rows speak for: over
-all of them Spark counts, by hash bucket, in how many toxic and other texts a word occurs; a word whose share
-of toxic texts is high beyond doubt is labelled toxic where it stands in a toxic text. On a bounded sample the
+all of them Spark counts, by hash bucket, in how many toxic and other texts a word occurs; a word that toxic texts
+have too often for chance is labelled toxic where it stands in a toxic text. On a bounded sample the
 chain learns these labels from word and n-gram features and transitions, and a logistic curve maps the
 marginals of a text (how many words are expected to be toxic, the surest one, their share) to its score. All
 texts are then scored by forward-backward; runs of words with a marginal of one half or more are the spans.
@@ -69,11 +69,18 @@ def bucket_of(part: words.Words) -> np.ndarray:
     return (part.hashes() % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def lexicon(no: np.ndarray, yes: np.ndarray, n_no: int, n_yes: int, least: float = 3.0) -> np.ndarray:
-    """Truth per bucket: the log odds of a toxic text are above zero by ``least`` standard errors and 1.5 at least."""
+def lexicon(no: np.ndarray, yes: np.ndarray, n_no: int, n_yes: int, least: float = 40.0) -> np.ndarray:
+    """Truth per bucket: toxic texts have the word more often (log odds over 1.5), with a likelihood ratio
+    statistic of ``least`` or more, which chance does not reach among millions of words."""
+
+    def gain(seen: np.ndarray, n: int) -> np.ndarray:
+        share, rest = (yes + no) / (n_yes + n_no), n - seen
+        here = np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(n * share, 1e-12)), 0.0)
+        gone = np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / np.maximum(n * (1 - share), 1e-12)), 0.0)
+        return here + gone
+
     odds = np.log((yes + 0.5) / (n_yes - yes + 0.5)) - np.log((no + 0.5) / (n_no - no + 0.5))
-    error = np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5) + 1 / (n_yes - yes + 0.5) + 1 / (n_no - no + 0.5))
-    return (odds > 1.5) & (odds > least * error)
+    return (odds > 1.5) & (2 * (gain(yes, n_yes) + gain(no, n_no)) >= least)
 
 
 def summaries(p: np.ndarray, first: np.ndarray) -> np.ndarray:

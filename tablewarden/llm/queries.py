@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import heavy_dedup, language_crf, line_runs, nb_svm, toxic_spans, url_trees
+from tablewarden.llm import curve_packing, fm_decontam, heavy_dedup, language_crf, line_runs, nb_svm, toxic_spans, url_trees
 from tablewarden.llm.common import fold
 from tablewarden.sources.tables import read_table
 
@@ -95,3 +95,51 @@ def op9_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 3) == 1
     out = language_crf.identify(docs, ~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op1_hilbert_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    docs = read_table(spark, "documents", directory=sf_dir).select("doc_id", "text")
+    return curve_packing.pack(docs, tokenizer_path or default_tokenizer())
+
+
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op6_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, "documents", directory=sf_dir).select("doc_id", "text")
+    found = fm_decontam.find_contamination(docs, read_table(spark, "benchmark", directory=sf_dir))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+ORACLES["op6_fm_index_decontamination"] = r"""
+WITH low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+    FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+    FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM low, sizes WHERE len(w) >= n)),
+m AS (SELECT DISTINCT doc_id, i, n, win FROM dw WHERE win IN (SELECT win FROM bw)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM m)
+    GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m JOIN bw USING (win, n)) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM low LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""

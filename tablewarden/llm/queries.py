@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import curve_packing, fm_decontam, heavy_dedup, language_crf, line_runs, nb_svm, toxic_spans, url_trees
+from tablewarden.llm import curve_packing, fm_decontam, heavy_dedup, language_crf, line_runs, nb_svm, phrase_automata, toxic_spans, url_trees
 from tablewarden.llm.common import fold
 from tablewarden.sources.tables import read_table
 
@@ -143,3 +143,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
     sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM low LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+
+
+@query
+def op8_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, "documents", directory=sf_dir).select("doc_id", "text")
+    out = phrase_automata.substring_dedup(docs)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLES["op8_phrase_automata"] = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS win
+    FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM t WHERE len(w) >= 35)),
+r AS (SELECT doc_id, i FROM s WHERE win IN (SELECT win FROM s GROUP BY win HAVING count(*) > 1)),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS pos FROM r),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS pos FROM t),
+k AS (SELECT p.doc_id, p.pos, p.word, g.pos IS NOT NULL AS gone FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.pos = g.pos),
+a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept
+    FROM k GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+    sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN a ON t.doc_id = a.doc_id
+"""

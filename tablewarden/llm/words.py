@@ -101,14 +101,23 @@ def words_of(texts: pa.Array, kind: np.ndarray, fold: bool = False) -> Words:
 
 
 def sequence_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each ``n`` consecutive values (across texts as well: the caller drops those)."""
+    """A hash of each ``n`` consecutive values (across texts as well: the caller drops those).
+
+    A polynomial, put together from those of halves, so that the work grows with log n.
+    """
     if len(hashes) < n:
         return np.zeros(0, np.uint64)
-    total = hashes[: len(hashes) - n + 1].copy()
-    for i in range(1, n):
-        total *= _MIX
-        total += hashes[i : len(hashes) - n + 1 + i]
-    return mixed(total)
+    have, total, block, size = 0, None, hashes, 1
+    while True:
+        if n & size:
+            factor = np.uint64(pow(int(_MIX), have, 2**64))
+            # the values of this block stand before those already taken
+            total = block if total is None else block[: len(hashes) - have - size + 1] * factor + total[size:]
+            have += size
+        size *= 2
+        if size > n:
+            return mixed(total)
+        block = block[: -size // 2] * np.uint64(pow(int(_MIX), size // 2, 2**64)) + block[size // 2 :]
 
 
 def inner_starts(first: np.ndarray, n: int) -> np.ndarray:

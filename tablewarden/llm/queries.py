@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import curve_packing, fm_decontam, heavy_dedup, language_crf, line_runs, nb_svm, phrase_automata, toxic_spans, url_trees
+from tablewarden.llm import curve_packing, fm_decontam, heavy_dedup, jaccard_join, language_crf, line_runs, nb_svm, phrase_automata, toxic_spans, url_trees
 from tablewarden.llm.common import fold
 from tablewarden.sources.tables import read_table
 
@@ -166,3 +166,26 @@ SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_
     sha256(coalesce(kept, '')) AS kept_sha256
 FROM t LEFT JOIN a ON t.doc_id = a.doc_id
 """
+
+
+@query
+def op7_heavy_light_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, "documents", directory=sf_dir).select("doc_id", "text")
+    return jaccard_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLES["op7_heavy_light_jaccard"] = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' ')) AS g
+    FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id
+    GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+    WHERE 100 * shared >= 75 * (na.n + nb.n - shared)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM t UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)
+"""

@@ -15,7 +15,6 @@ result. Other columns are passed over.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -201,8 +200,8 @@ def spans_in(text: bytes, part: Words, d: int, hit: np.ndarray) -> list[dict]:
     return out
 
 
-def search_block(docs: DataFrame, phrases: Phrases, key: str, text: str) -> DataFrame:
-    """Per row: key, n_words, the items found, hit word ranges and removal spans (code points)."""
+def search_block(docs: DataFrame, phrases: Phrases, text: str) -> DataFrame:
+    """The other columns, n_words, the items found, hit word ranges and removal spans (code points)."""
     held = docs.sparkSession.sparkContext.broadcast(phrases)  # bounded by BLOCK_CHARS
     span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
     others = [c for c in docs.columns if c != text]
@@ -272,35 +271,29 @@ def merged_spans(a, b):
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-    block_chars: int = BLOCK_CHARS,
+    docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text",
+    item: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """Every row of ``docs`` with n_words, items, hits (word ranges) and spans (code points to remove).
+    """Per row of ``docs``: columns ``keep``, n_words, items, hits (word ranges) and spans (code points to remove).
 
-    The text column is dropped from the result. A benchmark beyond one block takes a pass per block.
+    A benchmark beyond one block takes a pass per block.
     """
     blocks = list(blocks_of(benchmark, item, item_text, block_chars))
-    given = docs.withColumn(text, F.col(f"`{text}`").cast("string"))
+    keep = [c for c in keep]
+    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_searched"))
     if len(blocks) == 1:
-        return search_block(given, blocks[0], "", text)
-    keyed = stored(given.withColumn("_row", F.monotonically_increasing_id()))
-    names = [c for c in docs.columns if c != text]
-    total = search_block(keyed, blocks[0], "", text)
+        return search_block(given, blocks[0], "_searched")
+    keyed = stored(given.withColumn("_numbered", F.monotonically_increasing_id()))
+    total = search_block(keyed, blocks[0], "_searched")
     for block in blocks[1:]:
-        more = search_block(keyed.select("_row", text), block, "", text)
-        more = more.select("_row", *[F.col(c).alias(f"_{c}") for c in ("items", "hits", "spans")])
-        both = total.join(more, "_row")
-        total = both.select(
-            *[f"`{c}`" for c in names], "_row", "n_words",
+        more = search_block(keyed.select("_numbered", "_searched"), block, "_searched")
+        more = more.select("_numbered", *[F.col(c).alias(f"_{c}") for c in ("items", "hits", "spans")])
+        total = total.join(more, "_numbered").select(
+            *[F.col(f"`{c}`") for c in keep], "_numbered", "n_words",
             F.array_sort(F.array_union("items", "_items")).alias("items"),
             merged_spans("hits", "_hits").alias("hits"), merged_spans("spans", "_spans").alias("spans"),
         )
-    return total.drop("_row")
-
-
-def digest_of(items: list[str]) -> str:
-    """SHA-256 of item ids, sorted as strings and joined by commas."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    return total.drop("_numbered")
 
 
 def cut(text, spans):

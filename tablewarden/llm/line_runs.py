@@ -26,17 +26,24 @@ LAST = 2**63 - 1
 
 
 class Runs:
-    """Levels of runs; each run is a catalogue table in the shared folder, bucketed and sorted by digest."""
+    """Levels of runs; each run is a catalogue table in the shared folder, bucketed and sorted by digest.
+
+    With as many buckets as the session has shuffle partitions, the joins read the runs as they lie.
+    """
 
     def __init__(self, like: DataFrame, fan: int, buckets: int):
         self.spark, self.fan, self.buckets = like.sparkSession, fan, buckets
         self.levels: list[list[str]] = []
 
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """``rows`` laid out as the runs are: the one shuffle of a batch's digests."""
+        return rows.repartition(self.buckets, "h1", "h2")
+
     def write(self, run: DataFrame) -> str:
+        """Stores rows that are laid out as the runs are."""
         name = f"line_run_{uuid.uuid4().hex}"
         (
-            run.repartition(self.buckets, "h1")
-            .write.bucketBy(self.buckets, "h1")
+            run.write.bucketBy(self.buckets, "h1", "h2")
             .sortBy("h1", "h2")
             .option("path", f"{shared_folder(self.spark)}/run")
             .saveAsTable(name)
@@ -47,7 +54,7 @@ class Runs:
         return [self.spark.table(name) for level in self.levels for name in level]
 
     def unseen(self, lines: DataFrame) -> DataFrame:
-        """The rows of ``lines`` whose digest is in no run: a chain of merge anti joins."""
+        """The rows of dealt ``lines`` whose digest is in no run: a chain of merge anti joins."""
         for run in self.tables():
             lines = lines.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
         return lines
@@ -68,7 +75,7 @@ class Runs:
             merged = parts[0]
             for part in parts[1:]:
                 merged = merged.unionByName(part)
-            name = self.write(merged)
+            name = self.write(self.dealt(merged))
             self.levels[level] = []
             level += 1
 
@@ -119,8 +126,9 @@ def repeated_lines(
     runs, dropped = Runs(docs, fan, buckets), []
     for batch in batches_of(docs, batches):
         lines = stored(document_lines(batch, min_chars))
-        firsts = lines.groupBy("h1", "h2").agg(F.min("_key").alias("first"))
-        added = runs.add(runs.unseen(firsts))
+        # written, as the anti joins would else be moved below the counting and meet a hot line's every row
+        firsts = stored(lines.groupBy("h1", "h2").agg(F.min("_key").alias("first")))
+        added = runs.add(runs.unseen(runs.dealt(firsts)))
         # joined on the document too, so that a line of many documents is spread by document
         keepers = added.select("h1", "h2", F.col("first").alias("_key"))
         dropped.append(lines.join(keepers, ["h1", "h2", "_key"], "left_anti").select("_key", "_hash", "pos"))

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tablewarden.llm import heavy_dedup, jaccard_join, line_runs, phrase_automata, words
+from tablewarden.llm.common import stored
 from tablewarden.llm.components import components
 
 
@@ -133,16 +134,17 @@ def test_runs_are_merge_joined_without_a_shuffle_and_without_python(spark, frame
     docs = frame(corpus, clash=False).select(
         F.col("doc_id").alias("_key"), F.coalesce("text", F.lit("")).alias("_text"), F.xxhash64("text").alias("_hash")
     )
-    lines = line_runs.document_lines(docs, 10)
-    runs = line_runs.Runs(lines, 2, 8)
-    firsts = lines.groupBy("h1", "h2").agg(F.min("_key").alias("first"))
-    runs.add(firsts.where("h1 % 2 = 0"))
-    before = firsts.repartition(8, "h1")
-    plan = runs.unseen(before)._jdf.queryExecution().executedPlan().toString()
-    run_side = plan[plan.index("SortMergeJoin") :]
-    assert "Scan parquet" in run_side and "Python" not in plan and "Arrow" not in plan
-    scan = run_side[: run_side.rindex("Scan parquet spark_catalog") if "Scan parquet spark_catalog" in run_side else None]
-    assert scan.count("Exchange") <= plan.count("Exchange")
+    lines = stored(line_runs.document_lines(docs, 10))
+    runs = line_runs.Runs(lines, 3, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    firsts = stored(lines.groupBy("h1", "h2").agg(F.min("_key").alias("first")))
+    runs.add(runs.dealt(firsts.where("h1 % 3 = 0")))
+    runs.add(runs.dealt(firsts.where("h1 % 3 = 1")))
+    left = runs.unseen(runs.dealt(firsts))
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange") == 1
+    assert plan.count("Bucketed: true") == 2
+    assert "Python" not in plan and "Arrow" not in plan
+    assert left.count() == firsts.where("h1 % 3 not in (0, 1)").count()
     runs.forget()
 
 

@@ -187,16 +187,16 @@ def registry_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(doc.alias("value"))
 
 
-def written_lines(spark: SparkSession, docs: DataFrame) -> str:
+def written_lines(spark: SparkSession, docs: DataFrame, name: str = "lines") -> str:
     """Write one document per line into the shared folder; returns the path."""
-    path = shared_folder(spark)
+    path = f"{shared_folder(spark)}/{name}"
     docs.write.text(path)
     return path
 
 
 # An instance configuration per part: partitioned or not, whole-table or row checks.
-def config_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read_table(spark, "part", directory=sf_dir)
+def config_docs(spark: SparkSession, sf_dir: str, above: int = 0) -> DataFrame:
+    part = read_table(spark, "part", directory=sf_dir).where(F.col("p_size") > above)
     doc = F.to_json(
         F.create_map(
             F.format_string("part_%d", "p_partkey"),

@@ -79,7 +79,7 @@ def _each_level_sql(body) -> str:
     + _each_level_sql(
         lambda level, keys: f"""
         SELECT DISTINCT {keys}, replace({level}, '-', '_') AS clean_name, '{level}' AS level
-        FROM history {"WHERE check_name NOT ILIKE 'setup_%'" if level == "check_name" else ""}"""
+        FROM history {"WHERE check_type <> 'setup'" if level == "check_name" else ""}"""
     ),
 )
 def entities(spark, sf_dir):
@@ -91,7 +91,7 @@ def entities(spark, sf_dir):
     "entity_search",
     f"""WITH {HISTORY_SQL}
     SELECT DISTINCT instance_name, database_name, table_name, check_name, check_name AS clean_name
-    FROM history WHERE check_name NOT ILIKE 'setup_%' AND check_name ILIKE '%TAX%RANGE%'
+    FROM history WHERE check_type <> 'setup' AND check_name ILIKE '%TAX%RANGE%'
     """,
 )
 def entity_search(spark, sf_dir):
@@ -189,17 +189,18 @@ def max_rc(spark, sf_dir):
 @query(
     "series_lengths",
     f"WITH {HISTORY_SQL}, points AS (SELECT *, CAST(run_start_timestamp AS DATE) AS day, "
-    "date_trunc('month', run_start_timestamp) AS month FROM history WHERE check_type = 'rule')"
+    "date_trunc('month', run_start_timestamp) AS month FROM history)"
     + _each_level_sql(
         lambda level, keys: f"""
-        SELECT {keys}, count(DISTINCT month) AS year_points,
-               least(count(DISTINCT day), 32) AS month_points,
-               least(count(DISTINCT day), 8) AS week_points, '{level}' AS level
+        SELECT {keys}, count(DISTINCT month) FILTER (WHERE check_type = 'rule') AS year_points,
+               least(count(DISTINCT day) FILTER (WHERE check_type = 'rule'), 32) AS month_points,
+               least(count(DISTINCT day) FILTER (WHERE check_type = 'rule'), 8) AS week_points,
+               '{level}' AS level
         FROM points GROUP BY {_path_sql(level)}"""
     ),
 )
 def series_lengths(spark, sf_dir):
-    results = history(spark, sf_dir).where(F.col("check_type") == "rule")
+    results = history(spark, sf_dir)
     return _each_level(lambda level: plan.series_lengths(results, level))
 
 
@@ -242,11 +243,7 @@ def last_week(spark, sf_dir):
     ),
 )
 def current_status(spark, sf_dir):
-    results = history(spark, sf_dir)
-    regular = plan.drill_down(results).where(F.col("check_type") != "setup")
-    return _each_level(
-        lambda level: plan.current_status(regular if level == "check_name" else results, level)
-    )
+    return plan.current_status(history(spark, sf_dir))
 
 
 _REPORT_SQL = f"""

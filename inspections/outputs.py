@@ -199,17 +199,28 @@ def partition_values(spark, sf_dir):
                        WHEN p_size > 25 THEN CAST(v AS DOUBLE) / p_size
                        ELSE CAST(v AS DOUBLE) / p_size * 100 END AS scope
         FROM checks)
-    SELECT 'part_' || p_partkey AS table_name, check_name, v AS check_violation_cnt,
-           policy AS check_policy_type, unit AS check_unit, mode AS check_mode,
+    SELECT instance_name, 'main' AS database_name, 'part_' || p_partkey AS table_name, check_name,
+           v AS check_violation_cnt, policy AS check_policy_type, unit AS check_unit, mode AS check_mode,
            round(CAST(scope AS DOUBLE), 6) AS check_scope,
            CASE WHEN scope * weight / 100 = 0 THEN 0
                 ELSE CAST(floor(greatest(1, least(100, scope * weight / 100))) AS INTEGER) END
                AS check_severity_score
-    FROM scoped
+    FROM scoped, (VALUES ('prod'), ('dev')) AS i(instance_name)
+    WHERE instance_name = 'prod' OR p_size > 20
+    UNION ALL
+    SELECT 'dev', 'main', 'part_' || p_partkey, check_name, v, NULL, NULL, NULL, NULL, NULL
+    FROM scoped WHERE p_size <= 20
+    UNION ALL
+    SELECT instance_name, 'main', 'part_' || l_partkey, 'row_ck', qty_bad + tax_bad, NULL, NULL, NULL, NULL, NULL
+    FROM counts, (VALUES ('prod'), ('dev')) AS i(instance_name)
     """,
 )
 def scored_results(spark, sf_dir):
-    """A part's lines are its table; the configuration knows its estimate and severities."""
+    """A part's lines are its table; the configuration knows its estimate and severities.
+
+    Two instances have the same tables and checks; one has no configuration of small parts, and
+    neither knows the third check. As many rows come out as go in.
+    """
     counts = (
         read_table(spark, "lineitem", directory=sf_dir)
         .groupBy("l_partkey")
@@ -217,37 +228,47 @@ def scored_results(spark, sf_dir):
             F.count_if(F.col("l_quantity") > 45).alias("qty"),
             F.count_if(F.col("l_tax") > 0.07).alias("tax"),
         )
+        .withColumn("row", F.col("qty") + F.col("tax"))
     )
     pairs = F.array(
         *[
             F.struct(
                 F.lit(f"{c}_ck").alias("check_name"), F.col(c).alias("check_violation_cnt")
             )
-            for c in ("qty", "tax")
+            for c in ("qty", "tax", "row")
         ]
     )
+    instance = F.explode(F.array(F.lit("prod"), F.lit("dev"))).alias("instance_name")
     results = counts.select(
-        F.format_string("part_%d", "l_partkey").alias("table_name"), F.inline(pairs)
+        F.format_string("part_%d", "l_partkey").alias("table_name"), instance, pairs.alias("pairs")
+    ).select("instance_name", F.lit("main").alias("database_name"), "table_name", F.inline("pairs"))
+    docs = config_docs(spark, sf_dir).withColumn("database_name", F.lit("main"))
+    large = config_docs(spark, sf_dir, above=20).withColumn("database_name", F.lit("main"))
+    both = docs.withColumn("instance_name", F.lit("prod")).unionByName(
+        large.withColumn("instance_name", F.lit("dev"))
     )
-    scored = score_results(results, *parse_config(config_docs(spark, sf_dir)))
+    scored = score_results(results, *parse_config(both))
     return scored.withColumn("check_scope", F.round("check_scope", 6))
 
 
 @query(
     "config_scan",
     """
-    SELECT 'part_' || p_partkey AS table_name, CAST(p_size AS DOUBLE) AS avg_rows,
+    SELECT instance_name, 'main' AS database_name,
+           'part_' || p_partkey AS table_name, CAST(p_size AS DOUBLE) AS avg_rows,
            CASE WHEN p_size > 25 THEN 'date_id' END AS partition_key,
            CASE WHEN p_type = 'PROMO' THEN 'full' ELSE 'incremental' END AS table_mode,
            'p_partkey,p_size' AS cols, CAST(2 AS BIGINT) AS n_checks
-    FROM part
+    FROM part, (VALUES ('prod'), ('dev')) AS i(instance_name) WHERE instance_name = 'prod' OR p_size > 20
     """,
 )
 def config_scan(spark, sf_dir):
     from inspections.fixtures import written_lines
     from tablewarden.sources.config import read_config
 
-    path = written_lines(spark, config_docs(spark, sf_dir))
-    dim_table, dim_check = read_config(spark, path, one_per_line=True)
-    per_table = dim_check.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_checks"))
-    return dim_table.join(per_table, "table_name").withColumn("cols", F.array_join("cols", ","))
+    prod = written_lines(spark, config_docs(spark, sf_dir), "instance-prod_db-main_config.json")
+    dev = written_lines(spark, config_docs(spark, sf_dir, above=20), "instance-dev_db-main_config.json")
+    dim_table, dim_check = read_config(spark, prod, dev, one_per_line=True)
+    keys = ["instance_name", "database_name", "table_name"]
+    per_table = dim_check.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_checks"))
+    return dim_table.join(per_table, keys).withColumn("cols", F.array_join("cols", ","))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,7 @@ REGISTRY = {
     },
     "orders": {
         "customer_fk": check("foreign_key", cols="o_custkey", parent="customer", parent_cols="c_custkey"),
+        "date_ck": check("range", col="o_orderdate", min="1993-01-01", max="2001-06-30T12:00:00"),
         "price_ck": check("range", col="o_totalprice", min=5000, max=450000),
         "priority_ck": check("format", col="o_orderpriority", pattern="^[1-5]-[A-Z]+$"),
         "retention_ck": check("retention", col="o_orderdate", reference="2001-08-01", days=365),
@@ -51,6 +53,11 @@ REGISTRY = {
         "missing_column": check("not_null", cols="l_nothing"),
         "order_fk": check("foreign_key", cols="l_orderkey", parent="orders", parent_cols="o_orderkey"),
         "quantity_ck": check("range", col="l_quantity", max=45),
+        "quantity_by_status": check("range_by_partition", col="l_quantity", max=45, partition="l_linestatus"),
+        "shipped_ck": check(
+            "ordered_pair_across", starts="orders", starts_key="o_orderkey", start="o_orderdate",
+            key="l_orderkey", stop="l_shipdate",
+        ),
         "tax_ck": check("range", col="l_tax", max=0.07),
     },
     "documents": {
@@ -121,6 +128,14 @@ def _union(*rows: str) -> str:
             _count("orders", "o_custkey NOT IN (SELECT c_custkey FROM customer)"),
         ),
         _row("orders", "price_ck", _count("orders", "NOT o_totalprice BETWEEN 5000 AND 450000")),
+        _row(
+            "orders",
+            "date_ck",
+            _count(
+                "orders",
+                "NOT o_orderdate BETWEEN TIMESTAMP '1993-01-01' AND TIMESTAMP '2001-06-30 12:00:00'",
+            ),
+        ),
         _row(
             "orders",
             "priority_ck",
@@ -146,6 +161,12 @@ def _union(*rows: str) -> str:
             _count("lineitem", "l_orderkey NOT IN (SELECT o_orderkey FROM orders)"),
         ),
         _row("lineitem", "quantity_ck", _count("lineitem", "l_quantity > 45")),
+        _row("lineitem", "quantity_by_status", _count("lineitem", "l_quantity > 45")),
+        _row(
+            "lineitem",
+            "shipped_ck",
+            _count("lineitem JOIN orders ON l_orderkey = o_orderkey", "NOT o_orderdate < l_shipdate"),
+        ),
         _row("lineitem", "tax_ck", _count("lineitem", "l_tax > 0.07")),
         _row(
             "documents",
@@ -176,6 +197,8 @@ def checks_of_registry(spark, sf_dir):
             "lineitem JOIN orders ON l_orderkey = o_orderkey", "l_shipdate < o_orderdate")),
         _row("orders", "price_limit", _count("orders", "o_totalprice > 400000")),
         _row("orders", "no_count", "-1", mode="", rc=202),
+        _row("orders", "digit_first", _count("orders", "regexp_matches(o_orderpriority, '^[0-9]{1}-')")),
+        _row("orders", "no_such_place", "-1", mode="", rc=202),
     ),
 )
 def sql_check(spark, sf_dir):
@@ -193,6 +216,10 @@ def sql_check(spark, sf_dir):
                 "JOIN {lineitem} ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate",
             ),
             "no_count": check("sql", sql="SELECT o_orderstatus AS violations FROM {table}"),
+            "digit_first": check(
+                "sql", sql="SELECT count(*) AS violations FROM {table} WHERE o_orderpriority RLIKE '^[0-9]{1}-'"
+            ),
+            "no_such_place": check("sql", sql="SELECT {0} AS violations FROM {table}"),
         }
     }
     return inspect(spark, sf_dir, registry).select(*STABLE)
@@ -215,6 +242,18 @@ def _busy_days(ctx):
     return count_bad_rows(per_day, F.col("n") > int(ctx.custom("most"))).withColumn("rc", F.lit(3))
 
 
+@OWN.add("broken", "row")
+def _broken(ctx):
+    """Raises while it is planned."""
+    return ctx.no_such_attribute
+
+
+@OWN.add("breaks", "row")
+def _breaks(ctx):
+    """Raises while it runs."""
+    return F.when(F.col("o_orderkey") > 5, F.raise_error(F.lit("breaks")).cast("boolean")).otherwise(False)
+
+
 @query(
     "custom_check",
     _union(
@@ -222,6 +261,9 @@ def _busy_days(ctx):
             "orders", "o_totalprice < 50000 AND o_orderpriority = '1-URGENT'")),
         _row("orders", "days", "SELECT count(*) FROM (SELECT 1 FROM orders GROUP BY o_orderdate "
              "HAVING count(*) > 9)", policy="consistency", rc=3),
+        _row("orders", "broken", "-1", mode="", rc=202),
+        _row("orders", "breaks", "-1", mode="", rc=202),
+        _row("orders", "priority_number", "-1", mode="", rc=202),
     ),
 )
 def custom_check(spark, sf_dir):
@@ -229,66 +271,79 @@ def custom_check(spark, sf_dir):
         "orders": {
             "cheap_urgent": check("urgent_and_cheap", col="o_totalprice", min=50000),
             "days": check("busy_days", most=9),
+            "broken": check("broken"),
+            "breaks": check("breaks"),
+            "priority_number": check("range", col="o_orderpriority", max=3),
         }
     }
     return inspect(spark, sf_dir, registry, catalogue=OWN).select(*STABLE)
 
 
-_RUN_ENDS = ["1998-01-01", "2000-01-01", "2002-01-01"]
+# The second run's setup names a column that does not exist.
+_RUN_ENDS = ["1998-01-01", "1999-01-01", "2000-01-01", "2002-01-01"]
+_FAILING = 1
 
 
-def _three_runs_sql() -> str:
+def _runs_sql() -> str:
     rows = []
-    for i, end in enumerate(_RUN_ENDS):
-        seen = f"o_orderdate <= TIMESTAMP '{end}'"
-        stop = f"(SELECT max(o_orderdate) FROM orders WHERE {seen})"
-        start = "CAST(NULL AS TIMESTAMP)"
-        if i:
-            start = f"(SELECT max(o_orderdate) FROM orders WHERE o_orderdate <= TIMESTAMP '{_RUN_ENDS[i - 1]}')"
-        since = f"{seen} AND o_orderdate > {start}" if i else seen
-        run_start = f"TIMESTAMP '2024-03-0{i + 1} 02:00:00'"
-        for name, mode, bad in [
-            ("price_ck", "incremental", f"{since} AND o_totalprice > 450000"),
-            ("status_ck", "full", f"{seen} AND o_orderstatus = 'P'"),
-            ("window", "incremental", None),
-        ]:
-            windowed = mode == "incremental"
-            count = "NULL" if bad is None else _count("orders", bad)
-            begin = f"coalesce({start}, {run_start})" if windowed else run_start
-            rows.append(
-                f"SELECT CAST({i + 1} AS BIGINT) AS run_id, '{name}' AS check_name, '{mode}' AS check_mode, "
-                f"0 AS check_rc, CAST(({count}) AS BIGINT) AS check_violation_cnt, "
-                f"{begin} AS data_start_timestamp, "
-                f"{stop if windowed else 'CAST(NULL AS TIMESTAMP)'} AS data_stop"
-            )
+    for table, at in [("orders", "o_orderdate"), ("days", "date_trunc('day', o_orderdate)")]:
+        start = None
+        for i, end in enumerate(_RUN_ENDS):
+            seen = f"o_orderdate <= TIMESTAMP '{end}'"
+            stop = f"(SELECT max({at}) FROM orders WHERE {seen})"
+            since = f"{seen} AND {at} > {start}" if start else seen
+            run_start = f"TIMESTAMP '2024-03-0{i + 1} 02:00:00'"
+            broken = i == _FAILING
+            for name, mode, rc, bad in [
+                ("price_ck", "" if broken else "incremental", 202 if broken else 0, f"{since} AND o_totalprice > 450000"),
+                ("status_ck", "full", 0, f"{seen} AND o_orderstatus = 'P'"),
+                ("window", "auto" if broken else "incremental", 201 if broken else 0, None),
+            ]:
+                windowed = mode == "incremental"
+                count = "NULL" if bad is None or rc else _count("orders", bad)
+                begin = f"coalesce({start or 'NULL'}, {run_start})" if windowed else run_start
+                rows.append(
+                    f"SELECT CAST({i + 1} AS BIGINT) AS run_id, '{table}' AS table_name, '{name}' AS check_name, "
+                    f"'{mode}' AS check_mode, {rc} AS check_rc, CAST(({count}) AS BIGINT) AS check_violation_cnt, "
+                    f"CAST({begin} AS TIMESTAMP) AS data_start_timestamp, "
+                    f"CAST({stop if windowed else 'NULL'} AS TIMESTAMP) AS data_stop"
+                )
+            start = start if broken else stop
     return _union(*rows)
 
 
-@query("run_incremental", _three_runs_sql())
+@query("run_incremental", _runs_sql())
 def run_incremental(spark, sf_dir):
-    """Three runs over a growing table; each carries on where the one before ended."""
-    registry = {
-        "orders": {
-            "window": setup("incremental_window", col="o_orderdate"),
-            "price_ck": check("range", mode="incremental", col="o_totalprice", max=450000),
-            "status_ck": check("enum", col="o_orderstatus", values="O,F"),
-        }
-    }
+    """Four runs over growing tables; each carries on where the last good one ended.
+
+    One table has timestamps, the other whole numbers that write a day, as partition keys do.
+    """
+
+    def registry(failing: bool) -> dict:
+        def of(column: str) -> dict:
+            return {
+                "window": setup("incremental_window", col="nothing" if failing else column),
+                "price_ck": check("range", mode="incremental", col="o_totalprice", max=450000),
+                "status_ck": check("enum", col="o_orderstatus", values="O,F"),
+            }
+
+        return {"orders": of("o_orderdate"), "days": of("date_id")}
+
     orders = read_table(spark, "orders", directory=sf_dir)
+    days = orders.withColumn("date_id", F.date_format("o_orderdate", "yyyyDDD").cast("int"))
     path = shared_folder(spark)
     runs = []
     for i, end in enumerate(_RUN_ENDS):
-        arrived = orders.where(
-            F.col("o_orderdate") <= moment(dt.datetime.fromisoformat(end))
-        )
+        arrived = F.col("o_orderdate") <= moment(dt.datetime.fromisoformat(end))
         run = Run("test", "main", i + 1, dt.datetime(2024, 3, i + 1, 2))
-        runs.append(
-            run_and_store(spark, registry_frame(spark, registry), {"orders": arrived}, run, path)
-        )
-    every = runs[0].unionByName(runs[1]).unionByName(runs[2])
+        tables = {"orders": orders.where(arrived), "days": days.where(arrived)}
+        rules = registry_frame(spark, registry(i == _FAILING))
+        runs.append(run_and_store(spark, rules, tables, run, path))
+    every = reduce(DataFrame.unionByName, runs)
     windowed = F.col("check_mode") == "incremental"
     return every.select(
         "run_id",
+        "table_name",
         "check_name",
         "check_mode",
         "check_rc",
@@ -296,3 +351,71 @@ def run_incremental(spark, sf_dir):
         "data_start_timestamp",
         F.when(windowed, F.col("data_stop_timestamp")).alias("data_stop"),
     )
+
+
+_THREE_ENDS = ["1998-01-01", "2000-01-01", "2002-01-01"]
+
+
+def _consistency_sql() -> str:
+    rows, before = [], None
+    for i, end in enumerate(_THREE_ENDS):
+        seen = f"o_orderdate <= TIMESTAMP '{end}'"
+        inside = f"{seen} AND o_orderdate > {before}" if before else seen
+        lost, changed = f"{inside} AND o_orderkey % 50 = 0", f"{inside} AND o_orderkey % 40 = 7"
+        busy = f"SELECT count(*) FROM (SELECT 1 FROM orders WHERE {inside} GROUP BY o_orderdate HAVING count(*) > 1)"
+        for name, count in [
+            *[(f"{kind}_same", "0") for kind in ("rows", "spots", "source", "sums")],
+            ("rows_bad", _count("orders", lost)),
+            ("spots_bad", f"({_count('orders', lost)}) + ({_count('orders', changed)})"),
+            ("source_bad", f"({_count('orders', lost)}) + 2 * ({_count('orders', changed)})"),
+            ("sums_bad", busy),
+        ]:
+            rows.append(
+                f"SELECT CAST({i + 1} AS BIGINT) AS run_id, '{name}' AS check_name, 'incremental' AS check_mode, "
+                f"0 AS check_rc, CAST(({count}) AS BIGINT) AS check_violation_cnt"
+            )
+        before = f"(SELECT max(o_orderdate) FROM orders WHERE {seen})"
+    return _union(*rows)
+
+
+@query("run_incremental_consistency", _consistency_sql())
+def run_incremental_consistency(spark, sf_dir):
+    """Three runs against an equal and a spoilt peer, and an equal and a spoilt summary per day."""
+    window = setup("incremental_window", col="o_orderdate")
+
+    def peers(which: str) -> dict:
+        inc = {"mode": "incremental"}
+        return {
+            f"rows_{which}": check("peer_row_count", **inc, peer=which),
+            f"spots_{which}": check(
+                "peer_field_spot_check", **inc, peer=which, cols="o_orderkey", fields="o_totalprice,o_orderdate", share=1
+            ),
+            f"source_{which}": check("target_vs_source", **inc, source=which),
+        }
+
+    def sums(which: str) -> dict:
+        rule = check("base_vs_summary", mode="incremental", cols="o_orderdate", base="orders", total="n")
+        return {"window": window, f"sums_{which}": rule}
+
+    registry = {
+        "orders": {"window": window} | peers("same") | peers("bad"),
+        "sums_same": sums("same"),
+        "sums_bad": sums("bad"),
+    }
+    orders = read_table(spark, "orders", directory=sf_dir)
+    changed = F.when(F.col("o_orderkey") % 40 == 7, 1).otherwise(0)
+    path = shared_folder(spark)
+    runs = []
+    for i, end in enumerate(_THREE_ENDS):
+        seen = orders.where(F.col("o_orderdate") <= moment(dt.datetime.fromisoformat(end)))
+        spoilt = seen.where(F.col("o_orderkey") % 50 != 0).withColumn("o_totalprice", F.col("o_totalprice") + changed)
+        per_day = seen.groupBy("o_orderdate").agg(F.count(F.lit(1)).alias("n"))
+        more = F.when(F.col("n") > 1, F.col("n") + 1).otherwise(F.col("n"))
+        tables = {
+            "orders": seen, "same": seen, "bad": spoilt,
+            "sums_same": per_day, "sums_bad": per_day.withColumn("n", more),
+        }
+        run = Run("test", "main", i + 1, dt.datetime(2024, 3, i + 1, 2))
+        runs.append(run_and_store(spark, registry_frame(spark, registry), tables, run, path))
+    every = reduce(DataFrame.unionByName, runs).where("check_type <> 'setup'")
+    return every.select("run_id", "check_name", "check_mode", "check_rc", "check_violation_cnt")

@@ -44,10 +44,10 @@ def ck_outlier(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
-def _profile_sql(table: str, numbers: list[str], texts: list[str]) -> str:
+def _profile_sql(table: str, columns: dict[str, str]) -> str:
     rows = []
-    for c in numbers + texts:
-        average = f"round(avg({c}), 4)" if c in numbers else "CAST(NULL AS DOUBLE)"
+    for c, kind in columns.items():
+        average = f"round(avg({c}), 4)" if kind == "number" else "CAST(NULL AS DOUBLE)"
         rows.append(
             f"SELECT '{table}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, "
             f"count(*) FILTER (WHERE {c} IS NULL) AS n_null, "
@@ -57,26 +57,29 @@ def _profile_sql(table: str, numbers: list[str], texts: list[str]) -> str:
     return "\nUNION ALL\n".join(rows)
 
 
+# Every column of three tables: those with an average, and the others.
 _PROFILES = {
-    "orders": (["o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"]),
-    "lineitem": (
-        ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_tax"],
-        ["l_returnflag", "l_linestatus"],
-    ),
-    "customer": (["c_nationkey"], ["c_name", "c_mktsegment"]),
+    table: dict.fromkeys(numbers.split(), "number") | dict.fromkeys(others.split(), "other")
+    for table, numbers, others in [
+        ("orders", "o_orderkey o_custkey o_totalprice", "o_orderstatus o_orderdate o_orderpriority"),
+        (
+            "lineitem",
+            "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax",
+            "l_returnflag l_linestatus l_shipdate",
+        ),
+        ("customer", "c_custkey c_nationkey c_acctbal", "c_name c_mktsegment"),
+    ]
 }
 
 
 @query(
     "profile_table",
-    "\nUNION ALL\n".join(_profile_sql(t, *columns) for t, columns in _PROFILES.items()),
+    "\nUNION ALL\n".join(_profile_sql(t, columns) for t, columns in _PROFILES.items()),
 )
 def profile_table(spark, sf_dir):
     parts = [
-        profile_exact(read_table(spark, t, directory=sf_dir), numbers + texts).withColumn(
-            "table_name", F.lit(t)
-        )
-        for t, (numbers, texts) in _PROFILES.items()
+        profile_exact(read_table(spark, t, directory=sf_dir)).withColumn("table_name", F.lit(t))
+        for t in _PROFILES
     ]
     every = reduce(DataFrame.unionByName, parts)
     return every.withColumn("avg_value", F.round("avg_value", 4))
@@ -86,21 +89,17 @@ def profile_table(spark, sf_dir):
     "profile_table_one_scan",
     "\nUNION ALL\n".join(
         f"SELECT table_name, column_name, n_rows, n_null, true AS distinct_is_close, min_value, "
-        f"max_value, avg_value FROM ({_profile_sql(t, *columns)})"
+        f"max_value, avg_value FROM ({_profile_sql(t, columns)})"
         for t, columns in _PROFILES.items()
     ),
 )
 def profile_table_one_scan(spark, sf_dir):
     """The sketch's distinct count is compared with the exact one, within 15 %."""
     parts = []
-    for t, (numbers, texts) in _PROFILES.items():
+    for t in _PROFILES:
         df = read_table(spark, t, directory=sf_dir)
-        exact = profile_exact(df, numbers + texts).select(
-            "column_name", F.col("n_distinct").alias("exact")
-        )
-        parts.append(
-            profile(df, numbers + texts).join(exact, "column_name").withColumn("table_name", F.lit(t))
-        )
+        exact = profile_exact(df).select("column_name", F.col("n_distinct").alias("exact"))
+        parts.append(profile(df).join(exact, "column_name").withColumn("table_name", F.lit(t)))
     every = reduce(DataFrame.unionByName, parts)
     close = F.abs(F.col("n_distinct") - F.col("exact")) <= 0.15 * F.col("exact")
     return every.select(

@@ -7,6 +7,9 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: ISO basic form with microseconds, as variables carry moments.
+ISO_BASIC = "%Y%m%dT%H%M%S%f"
+
 
 def moment(value: Column | dt.datetime | None) -> Column:
     """A literal of a naive datetime.

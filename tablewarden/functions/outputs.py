@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.functions.json_text import strict_object
+from tablewarden.functions.json_text import strict_object, strict_struct
 from tablewarden.functions.validators import iso_timestamp, whole_number
 from tablewarden.functions.variables import last_wins, no_vars
 from tablewarden.schema import (
@@ -42,16 +42,18 @@ def parse_check_outputs(
     ``rc`` and ``violations`` are mandatory whole numbers, other keys have to carry
     the variable prefix. Anything else counts as failed: rc 202, -1 violations,
     no mode. The combined rc is the larger of the process's and the reported one.
+    Only the known keys are parsed to values; of the others the names are enough.
     """
+    fields = ", ".join(f"{k}:string" for k in CHECK_OUTPUT_KEYS)
     doc = F.col("_doc")
     rc = whole_number(doc["rc"], "int")
     count = whole_number(doc["violations"])
-    valid = F.coalesce(
-        ~_has_other_keys(doc, CHECK_OUTPUT_KEYS, VAR_PREFIX) & rc.isNotNull() & count.isNotNull(),
-        F.lit(False),
+    foreign = F.exists(
+        F.json_object_keys(raw), lambda k: ~(k.isin(CHECK_OUTPUT_KEYS) | k.startswith(VAR_PREFIX))
     )
+    valid = F.coalesce(~foreign & rc.isNotNull() & count.isNotNull(), F.lit(False))
     return (
-        _with_object(outputs, raw)
+        outputs.withColumn("_doc", strict_struct(F.col(raw), f"struct<{fields}>"))
         .withColumn("valid", valid)
         .withColumns(
             {

@@ -4,7 +4,8 @@ Four kinds exist. All get a :class:`CheckContext`:
 
 row        returns the predicate a bad row meets; counted with the table's other
            row checks in one scan - or two: those that file statistics can answer
-           go separately, so that others do not keep them from skipping
+           go separately, so that others do not keep them from skipping. It may
+           return a one-row DataFrame instead, as a table check does
 aggregate  returns an aggregate that is the count; shares a scan with row checks
 table      returns a one-row DataFrame with ``violations``, optionally ``rc``,
            ``mode``, and a map ``vars`` that is saved with the result
@@ -18,15 +19,17 @@ function, and add to what they return.
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablewarden.functions.moments import moment
+from tablewarden.functions.moments import ISO_BASIC, moment
 from tablewarden.operators import consistency, key_checks, policy, row_checks, statistics
-from tablewarden.operators.fused import count_bad_rows
+from tablewarden.operators.fused import count_bad_rows, count_by_partition
 from tablewarden.schema import (
     CHECK_CUSTOM_PREFIX,
     TABLE_CUSTOM_PREFIX,
@@ -34,6 +37,7 @@ from tablewarden.schema import (
     VAR_PREFIX,
 )
 from tablewarden.sources.tables import list_files
+from tablewarden.streaming.incremental import DataWindow, in_window, moment_of
 
 
 @dataclass(frozen=True)
@@ -45,10 +49,12 @@ class CheckContext:
     df: DataFrame
     tables: Mapping[str, DataFrame]
     vars: Mapping[str, str]
-    #: results of earlier runs, if the run was given any
-    history: DataFrame | None = None
+    #: when each table was last profiled; None if the run was given no history
+    profiled: Mapping[str, dt.datetime] | None = None
     #: when the run began
     started: dt.datetime | None = None
+    #: the part of the table an incremental check sees; ``df`` is cut to it already
+    window: DataWindow | None = None
 
     def custom(self, name: str, default: str | None = None) -> str:
         """A custom variable of the registry entry, without its prefix."""
@@ -67,6 +73,27 @@ class CheckContext:
             return None
         return int(value) if value.lstrip("+-").isdigit() else float(value)
 
+    def limit(self, name: str, column: str) -> int | float | dt.date | Column | None:
+        """A bound for a column: a day or moment for dates and timestamps, otherwise a number."""
+        kind = self.df.schema[column].dataType
+        value = self.custom(name, "").strip()
+        if value and isinstance(kind, T.DateType):
+            return dt.date.fromisoformat(value)
+        if value and isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            return moment(dt.datetime.fromisoformat(value))
+        return self.number(name)
+
+    def other(self, name: str) -> DataFrame:
+        """Another table, cut to the data window of an incremental check as this one is.
+
+        The window column has the same name there, or the one given as ``other_window_col``.
+        Without such a column both sides can't be compared, and the check fails.
+        """
+        df = self.tables[name]
+        if self.window is None:
+            return df
+        return self.window.of(df, self.custom("other_window_col", "") or None)
+
 
 @dataclass(frozen=True)
 class Check:
@@ -122,7 +149,19 @@ def _case(ctx: CheckContext) -> Column:
 
 @_row("range", skips=True)
 def _range(ctx: CheckContext) -> Column:
-    return row_checks.out_of_range(ctx.custom("col"), ctx.number("min"), ctx.number("max"))
+    col = ctx.custom("col")
+    low, high = ctx.limit("min", col), ctx.limit("max", col)
+    if isinstance(ctx.df.schema[col].dataType, T.StringType):
+        return _range_of_text(ctx.df, col, low, high)
+    return row_checks.out_of_range(col, low, high)
+
+
+def _range_of_text(df: DataFrame, col: str, low, high) -> DataFrame:
+    """Numbers written as text; a value that is none leaves the check without a count."""
+    number = F.col(col).try_cast("double")
+    bad = row_checks.out_of_range(number, low, high)
+    lost = F.count_if(F.col(col).isNotNull() & number.isNull())
+    return df.agg(F.when(lost == 0, F.count_if(bad)).alias("violations"))
 
 
 @_row("length")
@@ -202,7 +241,7 @@ def _base_vs_summary(ctx: CheckContext) -> DataFrame:
     keys = ctx.names("cols")
     measure = ctx.custom("measure", "")
     bad = consistency.base_vs_summary(
-        ctx.tables[ctx.custom("base")],
+        ctx.other(ctx.custom("base")),
         ctx.df,
         ctx.names("base_cols", ",".join(keys)),
         keys,
@@ -215,22 +254,49 @@ def _base_vs_summary(ctx: CheckContext) -> DataFrame:
 
 @_table("peer_row_count", "consistency")
 def _peer_row_count(ctx: CheckContext) -> DataFrame:
-    return consistency.peer_row_count(ctx.df, ctx.tables[ctx.custom("peer")])
+    return consistency.peer_row_count(ctx.df, ctx.other(ctx.custom("peer")))
 
 
 @_table("peer_field_spot_check", "consistency")
 def _peer_field_spot_check(ctx: CheckContext) -> DataFrame:
     share = float(ctx.custom("share", "0.01"))
     bad = consistency.peer_spot_check(
-        ctx.df, ctx.tables[ctx.custom("peer")], ctx.names("cols"), ctx.names("fields"), share
+        ctx.df, ctx.other(ctx.custom("peer")), ctx.names("cols"), ctx.names("fields"), share
     )
     return bad.agg(F.count(F.lit(1)).alias("violations"))
 
 
 @_table("target_vs_source", "consistency")
 def _target_vs_source(ctx: CheckContext) -> DataFrame:
-    source = ctx.tables[ctx.custom("source")]
-    return consistency.count_differences(consistency.target_vs_source(source, ctx.df))
+    source = ctx.other(ctx.custom("source"))
+    return consistency.count_row_differences(source, ctx.df)
+
+
+@_table("ordered_pair_across")
+def _ordered_pair_across(ctx: CheckContext) -> DataFrame:
+    """Rows of this table whose stop is not after the start another table has for their key."""
+    return key_checks.ordered_pair_violations(
+        ctx.tables[ctx.custom("starts")],
+        ctx.df,
+        (ctx.custom("starts_key"), ctx.custom("key")),
+        ctx.custom("start"),
+        ctx.custom("stop"),
+        ctx.custom("strict", "true") == "true",
+    )
+
+
+@_table("range_by_partition")
+def _range_by_partition(ctx: CheckContext) -> DataFrame:
+    """A range check whose counts per partition are saved as variables; the total is the count."""
+    col = ctx.custom("col")
+    bad = row_checks.out_of_range(col, ctx.limit("min", col), ctx.limit("max", col))
+    counts = count_by_partition(ctx.df, ctx.custom("partition"), {"n": bad}).where("violations > 0")
+    name = F.concat(F.lit(f"{VAR_PREFIX}partition_"), F.col("partition_value").cast("string"))
+    entry = F.struct(name.alias("key"), F.col("violations").cast("string").alias("value"))
+    return counts.agg(
+        F.coalesce(F.sum("violations"), F.lit(0)).alias("violations"),
+        F.map_from_entries(F.collect_list(F.when(name.isNotNull(), entry))).alias("vars"),
+    )
 
 
 @_table("profile")
@@ -254,34 +320,27 @@ def _profile(ctx: CheckContext) -> DataFrame:
     )
 
 
-def _newest_profile(ctx: CheckContext) -> DataFrame:
-    """One row: when the table was last profiled, NULL if it never was."""
-    if ctx.history is None:
+def _newest_profile(ctx: CheckContext) -> dt.datetime | None:
+    """When the table was last profiled. The run has read that for all its tables at once."""
+    if ctx.profiled is None:
         raise ValueError("the check looks at the results of earlier runs")
-    place = {
-        "instance_name": ctx.vars[f"{VAR_PREFIX}instance"],
-        "database_name": ctx.vars[f"{VAR_PREFIX}database"],
-        "table_name": ctx.table,
-        "check_type": "profile",
-    }
-    rows = ctx.history.where(F.col("check_rc") == 0)
-    for column, name in place.items():
-        rows = rows.where(F.col(column) == name)
-    return rows.agg(F.max("run_start_timestamp").alias("newest"))
+    return ctx.profiled.get(ctx.table)
+
+
+def _verdict(ctx: CheckContext, bad: bool) -> DataFrame:
+    return ctx.spark.range(1).select(F.lit(int(bad)).alias("violations"))
 
 
 @BUILT_IN.add("stats_exist", "table", unit="tables", policy="data-management")
 def _stats_exist(ctx: CheckContext) -> DataFrame:
-    missing = F.col("newest").isNull()
-    return _newest_profile(ctx).select(missing.cast("int").alias("violations"))
+    return _verdict(ctx, _newest_profile(ctx) is None)
 
 
 @BUILT_IN.add("stats_not_stale", "table", unit="tables", policy="data-management")
 def _stats_not_stale(ctx: CheckContext) -> DataFrame:
     limit = ctx.started - dt.timedelta(days=int(ctx.custom("days")))
-    stale = F.col("newest") < moment(limit)
-    violations = F.coalesce(stale, F.lit(False)).cast("int")
-    return _newest_profile(ctx).select(violations.alias("violations"))
+    newest = _newest_profile(ctx)
+    return _verdict(ctx, newest is not None and newest < limit)
 
 
 def _bad_files(ctx: CheckContext, bad: Column) -> DataFrame:
@@ -314,20 +373,33 @@ def sql_check(ctx: CheckContext, template: str) -> DataFrame:
     if "{table}" in template:
         frames["table"] = ctx.df
     args = {k: v for k, v in ctx.vars.items() if f":{k}" in template}
+    if frames:  # braces that name no table, such as those of patterns, are text
+        names = "|".join(re.escape(n) for n in frames)
+        parts = re.split(rf"(\{{(?:{names})\}})", template)
+        template = "".join(p if i % 2 else p.replace("{", "{{").replace("}", "}}") for i, p in enumerate(parts))
     return ctx.spark.sql(template, args=args, **frames)
 
 
 @BUILT_IN.add("incremental_window", "setup")
 def _incremental_window(ctx: CheckContext) -> DataFrame:
-    """Data window of a growing table: from the last window's end to the newest row."""
-    column = ctx.custom("col")
-    mark = F.max(column).cast("timestamp_ntz")
+    """Data window of a growing table: from the last window's end to the newest row.
+
+    The column holds timestamps, dates, or numbers that write a day (``form``). Only what is newer
+    than the last window's end is read; where nothing is, the window ends where it began.
+    """
+    column, form = ctx.custom("col"), ctx.custom("form", "yyyyDDD")
     prior = ctx.vars.get(f"{TABLE_PREFIX}_data_stop_ts_prior") or None
+    newer, stop = ctx.df, F.lit(None).cast("timestamp_ntz")
+    if prior is not None:
+        at = dt.datetime.strptime(prior, ISO_BASIC)
+        newer, stop = newer.where(in_window(column, at, None, newer, form)), moment(at)
+    mark = F.coalesce(moment_of(ctx.df, column, F.max(column), form), stop)
     window = F.struct(
         F.lit("0").alias("rc"),
         F.lit("incremental").alias("mode"),
         F.lit(prior).cast("string").alias("data_start_ts"),
         F.date_format(mark, "yyyyMMdd'T'HHmmssSSSSSS").alias("data_stop_ts"),
         F.lit(column).alias(f"{TABLE_CUSTOM_PREFIX}window_col"),
+        F.lit(form).alias(f"{TABLE_CUSTOM_PREFIX}window_form"),
     )
-    return ctx.df.agg(F.to_json(window).alias("raw_output"))
+    return newer.agg(F.to_json(window).alias("raw_output"))

@@ -91,15 +91,16 @@ def peer_row_count(table: DataFrame, peer: DataFrame) -> DataFrame:
 def in_sample(keys: Sequence[str], share: float) -> Column:
     """A repeatable pseudo-random share of the keys, the same on every cluster.
 
-    The sample is drawn on the MD5 of the key's text, of which the leading four
-    hexadecimal digits are compared with the share.
+    The sample is drawn on the MD5 of the key's text, of which the leading 60 bits
+    are compared with the share, so even a tiny share is proportionate.
     """
     if not 0 < share <= 1:
         raise ValueError("the share of a sample is above 0 and at most 1")
     if share == 1:
         return F.lit(True)
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-    return F.md5(text.cast("binary")) < F.lit(f"{int(share * 65536):04x}")
+    leading = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
+    return leading < F.lit(max(1, int(share * 2**60)))
 
 
 def _groupable(df: DataFrame, cols: Sequence[str]) -> list[Column]:
@@ -139,19 +140,28 @@ def peer_spot_check(
     picked = in_sample(keys, share)
     cols = [*keys, *fields]
     rows = row_differences(table.where(picked), peer.where(picked), cols)
-    own = F.col("n_left") > F.col("n_right")
-    differing = []
-    for f in fields:
-        mine = F.max(F.when(own, F.struct(F.col(f))))
-        theirs = F.max(F.when(~own, F.struct(F.col(f))))
-        differing.append(F.when(~mine[f].eqNullSafe(theirs[f]), F.lit(f)))
-    lost = F.greatest(F.col("n_left") - F.col("n_right"), F.lit(0))
-    gained = F.greatest(F.col("n_right") - F.col("n_left"), F.lit(0))
-    return rows.groupBy(*keys).agg(
-        F.sum(lost).alias("n_table"),
-        F.sum(gained).alias("n_peer"),
-        F.concat_ws(",", *differing).alias("fields_differing"),
+    gap = F.col("n_left") - F.col("n_right")
+    differing = [F.when(F.array_contains(F.col("_names"), f), F.lit(f)) for f in fields]
+    # of each field the values that one side has more often: none is left where the sides agree
+    values = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields])
+    other = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    each = rows.select(*other, gap.alias("_gap"), F.explode(values).alias("_f"))
+    own = [f"_k{i}" for i in range(len(keys))]
+    uneven = (
+        each.groupBy(*own, "_f.field", "_f.v")
+        .agg(F.sum("_gap").alias("_gap"))
+        .groupBy(*own)
+        .agg(F.collect_set(F.when(F.col("_gap") != 0, F.col("field"))).alias("_names"))
+    )
+    sums = rows.groupBy(*keys).agg(
+        F.sum(F.greatest(gap, F.lit(0))).alias("n_table"), F.sum(F.greatest(-gap, F.lit(0))).alias("n_peer")
     )
+    same = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own)]
+    named = sums.join(uneven, same)
+    listed = F.concat_ws(",", *differing)
+    # the same values, paired differently: rows differ though no field on its own does
+    paired = F.when(listed == "", F.lit(",".join(fields))).otherwise(listed)
+    return named.select(*keys, "n_table", "n_peer", paired.alias("fields_differing"))
 
 
 def target_vs_source(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -177,3 +187,32 @@ def count_differences(differences: DataFrame) -> DataFrame:
         F.coalesce(F.sum("n_missing"), zero).alias("n_missing"),
         F.coalesce(F.sum("n_extra"), zero).alias("n_extra"),
     ).withColumn("violations", F.col("n_missing") + F.col("n_extra"))
+
+
+def count_row_differences(source: DataFrame, target: DataFrame) -> DataFrame:
+    """The same totals, counted on a 128-bit digest of each row instead of whole rows.
+
+    Only digests are shuffled, whatever the width of the table. Which columns are NULL is
+    part of the digest, as the hash functions pass over NULL.
+    """
+    cols = source.columns
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    right = target.select(*cols)
+    both = source.select(*_groupable(source, cols), one.alias("_l"), none.alias("_r")).unionByName(
+        right.select(*_groupable(right, cols), none.alias("_l"), one.alias("_r"))
+    )
+    blanks = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in cols])
+    digests = both.select(
+        F.xxhash64(F.lit("first"), blanks, *cols).alias("d1"),
+        F.xxhash64(F.lit("second"), blanks, *cols).alias("d2"),
+        "_l",
+        "_r",
+    )
+    gap = F.sum("_l") - F.sum("_r")
+    gaps = digests.groupBy("d1", "d2").agg(gap.alias("gap")).where("gap <> 0")
+    return count_differences(
+        gaps.select(
+            F.greatest(F.col("gap"), F.lit(0)).alias("n_missing"),
+            F.greatest(-F.col("gap"), F.lit(0)).alias("n_extra"),
+        )
+    )

@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Wider rows leave whole-stage code generation (spark.sql.codegen.maxFields is 100).
+#: Wider rows leave whole-stage code generation (spark.sql.codegen.maxFields is 100). More checks
+#: than that read the table again; the counts do not depend on it.
 MAX_PER_SCAN = 90
 
 
@@ -42,7 +43,8 @@ def count_violations(
 
     ``row_checks`` map an alias to the predicate of a bad row, ``table_checks`` to
     an aggregate giving the count itself. All of them are partial aggregates of
-    one pass over the columns they name; one row per task is shuffled. Aliases
+    one pass over the columns they name (up to MAX_PER_SCAN of them); one row per
+    task is shuffled. Aliases
     are data, not column names, so users may choose any text.
 
     Row checks alone look at bad rows only: *any of the predicates* is a filter of
@@ -75,6 +77,8 @@ def count_by_partition(
 ) -> DataFrame:
     """Violations per partition value of an incrementally loaded table."""
     partition = F.col(partition) if isinstance(partition, str) else partition
-    names = list(row_checks)
-    counts = [F.count_if(row_checks[a]) for a in names]
-    return _unfold(df, counts, names, partition.alias("partition_value"))
+    parts = [
+        _unfold(df, [F.count_if(row_checks[a]) for a in some], some, partition.alias("partition_value"))
+        for some in _scans(list(row_checks))
+    ]
+    return reduce(DataFrame.unionByName, parts)

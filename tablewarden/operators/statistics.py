@@ -35,7 +35,7 @@ def outliers(df: DataFrame, value: str, deviations: float) -> Column:
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Statistics per column, the whole table in one scan.
+    """Statistics per column; up to 15 columns share a scan, and each scan reads only its own.
 
     ``n_rows, n_null, n_distinct`` (a sketch, within about 5 %), ``min_value,
     max_value`` as text, ``avg_value`` of numbers.

@@ -21,14 +21,8 @@ def path_to(level: str) -> list[str]:
     return LEVELS[: LEVELS.index(level) + 1]
 
 
-def is_regular(level: str = "check_name") -> Column:
-    """Rows that count: told by type, at check level by the name of the check.
-
-    In the name pattern ``_`` is any character: the name starts with *setup* and
-    goes on.
-    """
-    if level == "check_name":
-        return ~F.col("check_name").ilike("setup_%")
+def is_regular() -> Column:
+    """Rows that count: all but setups and teardowns, told by type at every level, never by name."""
     return ~F.coalesce(F.col("check_type").isin(STAGE_TYPES), F.lit(False))
 
 
@@ -55,7 +49,7 @@ def drill_down(
 def entities(results: DataFrame, level: str) -> DataFrame:
     """Distinct entities of a level, with ``clean_name``; checks without setups."""
     if level == "check_name":
-        results = results.where(is_regular(level))
+        results = results.where(is_regular())
     keys = path_to(level)
     return results.select(*keys).distinct().withColumn("clean_name", clean_name(F.col(level)))
 
@@ -79,7 +73,7 @@ def period_of(unit: str, ts: str = "run_start_timestamp") -> Column:
 def _series(results: DataFrame, level: str, unit: str) -> DataFrame:
     period = period_of(unit)
     return (
-        results.where(is_regular(level))
+        results.where(is_regular())
         .groupBy(*path_to(level), period)
         .agg(violation_total().alias("violations"))
     )
@@ -113,7 +107,7 @@ def last_points(series: DataFrame, level: str, n: int) -> DataFrame:
 def series_lengths(results: DataFrame, level: str) -> DataFrame:
     """Number of points of the year, month and week series per entity, 0 without runs."""
     days = results.groupBy(*path_to(level), period_of("day").alias("day")).agg(
-        F.count_if(is_regular(level)).alias("n")
+        F.count_if(is_regular()).alias("n")
     )
     counted = F.col("n") > 0
     points = F.count_if(counted)
@@ -124,25 +118,55 @@ def series_lengths(results: DataFrame, level: str) -> DataFrame:
     )
 
 
-def current_status(results: DataFrame, level: str) -> DataFrame:
-    """The latest count of each entity and whether it passes.
+def _place(ts: str, run_id: str) -> Column:
+    """Moment and run as one number, in their order and without any time zone."""
+    day = F.unix_date(F.to_date(ts)).cast("decimal(12,0)")
+    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECONDS"), F.col(ts))
+    micros = day * 86_400_000_000 + (seconds * 1_000_000).cast("decimal(12,0)")
+    wide = micros.cast("decimal(18,0)") * F.lit(str(10**19)).cast("decimal(20,0)")
+    return (wide + F.coalesce(run_id, F.lit(0)).cast("decimal(19,0)")).cast("decimal(38,0)")
 
-    Rows of the same start are told apart by their path, the last one counts. An
-    entity without any regular row has 0 violations.
+
+def _latest_rows(results: DataFrame) -> DataFrame:
+    """The latest regular row of each check: ``run_start_timestamp``, ``violations``, NULL for setups.
+
+    Start and run id make one number to compare by, so the whole history goes through a hash
+    aggregation of plain numbers; what is left is a row per check.
     """
-    regular = is_regular(level)
-    when_run = F.when(regular, F.struct("run_start_timestamp", *LEVELS[1:]))
-    latest = F.max_by("check_violation_cnt", when_run)
-    return (
-        results.groupBy(*path_to(level))
-        .agg(
-            F.max(F.when(regular, F.col("run_start_timestamp"))).alias("run_start_timestamp"),
-            F.when(F.count_if(regular) == 0, F.lit(0).cast("bigint"))
-            .otherwise(latest)
-            .alias("violations"),
-        )
-        .withColumn("status", pass_label(F.col("violations")))
+    regular = is_regular()
+    when_run = F.when(regular, _place("run_start_timestamp", "run_id"))
+    return results.groupBy(*LEVELS).agg(
+        F.max(F.when(regular, F.col("run_start_timestamp"))).alias("run_start_timestamp"),
+        F.max_by("check_violation_cnt", when_run).alias("violations"),
+        F.max(regular).alias("_regular"),
+    )
+
+
+def current_status(results: DataFrame, *levels: str) -> DataFrame:
+    """The latest count of each entity and whether it passes, for the given levels at once.
+
+    Columns: the four levels (NULL below an entity's own), ``level``, ``run_start_timestamp``,
+    ``violations``, ``status``. Rows of the same start are told apart by their path, the last one
+    counts. An entity without any regular row has 0 violations; a setup is no check, so at check
+    level there is none for it. The history is read once; the levels are made of its latest rows.
+    """
+    levels = levels or tuple(LEVELS)
+    latest = _latest_rows(results)
+    each = latest.withColumn("level", F.explode(F.array(*[F.lit(level) for level in levels])))
+    each = each.where((F.col("level") != LEVELS[-1]) | F.col("_regular"))
+    path = [
+        F.when(F.array_contains(F.array(*[F.lit(x) for x in LEVELS[i:]]), F.col("level")), F.col(c)).alias(f"_{c}")
+        for i, c in enumerate(LEVELS)
+    ]
+    keyed = each.select("*", *path)
+    newest = Window.partitionBy("level", *[f"_{c}" for c in LEVELS]).orderBy(
+        F.col("_regular").desc(), F.col("run_start_timestamp").desc_nulls_last(), *[F.col(c).desc() for c in LEVELS[1:]]
     )
+    first = keyed.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1")
+    count = F.when(F.col("_regular"), F.col("violations")).otherwise(F.lit(0).cast("bigint"))
+    return first.select(
+        *[F.col(f"_{c}").alias(c) for c in LEVELS], "level", "run_start_timestamp", count.alias("violations")
+    ).withColumn("status", pass_label(F.col("violations")))
 
 
 def rollup_levels(results: DataFrame, unit: str = "month") -> DataFrame:
@@ -152,7 +176,7 @@ def rollup_levels(results: DataFrame, unit: str = "month") -> DataFrame:
     the grouping sets are of that much smaller table.
     """
     base = (
-        results.where(is_regular("table_name"))
+        results.where(is_regular())
         .groupBy(*LEVELS, period_of(unit))
         .agg(violation_total().alias("n"))
     )

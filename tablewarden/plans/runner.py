@@ -9,17 +9,18 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import logging
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.functions.moments import moment, utc_now
+from tablewarden.functions.moments import ISO_BASIC, moment, utc_now
 from tablewarden.functions.outputs import parse_setup_outputs
-from tablewarden.functions.variables import merge_vars
+from tablewarden.functions.validators import iso_timestamp
+from tablewarden.functions.variables import as_prior, merge_vars
 from tablewarden.operators.catalogue import BUILT_IN, Catalogue, Check, CheckContext
 from tablewarden.operators.fused import count_violations
 from tablewarden.plans.registry import valid_entries
@@ -29,26 +30,31 @@ from tablewarden.schema import (
     RC_BAD_CHECK_OUTPUT,
     RC_BAD_SETUP_OUTPUT,
     RESULT_SCHEMA,
+    STAGE_TYPES,
     TABLE_CUSTOM_PREFIX,
     TABLE_PREFIX,
     VAR_PREFIX,
 )
 from tablewarden.sources.results import append_results, read_results
-from tablewarden.streaming.incremental import in_window, prior_vars
+from tablewarden.streaming.incremental import DataWindow
 
-ISO_BASIC = "%Y%m%dT%H%M%S%f"
-
-#: What a check that does not fit its table raises before anything runs.
-PLANNING_ERRORS = (PySparkException, KeyError, TypeError, ValueError)
-
-#: Result rows are completed from a table of the checks' properties. Up to so many
-#: checks it is sent to all tasks, beyond that Spark chooses the join.
-BROADCAST_CHECKS = 20_000
+log = logging.getLogger(__name__)
 
 #: One job has at most so many branches (scans, checks of their own, setups); the
-#: plan of a large registry would otherwise take longer than its checks.
+#: plan of a large registry would otherwise take longer than its checks. The run is
+#: published as a whole whatever its size.
 BRANCHES = 100
 
+#: A failed check keeps the beginning of what was wrong under this variable.
+ERROR_VAR = f"{VAR_PREFIX}error"
+ERROR_LENGTH = 500
+
+#: Where the table's window ended, as results keep it among their variables.
+STOP_VAR = f"{TABLE_PREFIX}_data_stop_ts"
+
+#: Signs that the cluster or its storage failed, not the check.
+OUTAGES = ("FAILED_READ_FILE", "java.io.IOException", "java.net.", "org.apache.hadoop.", "ExecutorLost")
+
 CHECK_PROPERTIES = (
     "key string, table_name string, check_name string, check_type string, "
     "check_policy_type string, check_unit string, check_status string, planned_mode string, "
@@ -62,10 +68,16 @@ class Run:
 
     instance: str
     database: str
-    run_id: int = 0
+    #: unless given, the microseconds from 1970 to the start: no two runs share it
+    run_id: int | None = None
     started: dt.datetime = field(default_factory=utc_now)
     ssl: str = ""
 
+    def __post_init__(self) -> None:
+        if self.run_id is None:
+            since = self.started - dt.datetime(1970, 1, 1)
+            object.__setattr__(self, "run_id", since // dt.timedelta(microseconds=1))
+
     def vars(self) -> dict[str, str]:
         return {
             f"{VAR_PREFIX}instance": self.instance,
@@ -97,6 +109,16 @@ class TableState:
     start: dt.datetime | None = None
     stop: dt.datetime | None = None
     vars: dict[str, str] = field(default_factory=dict)
+    failed: bool = False
+
+
+@dataclass(frozen=True)
+class Remembered:
+    """What the history says of one check: of a setup its variables, of others how far they got."""
+
+    prior: dict[str, str] = field(default_factory=dict)
+    tried: bool = False
+    last_stop: dt.datetime | None = None
 
 
 def _clean(value: object) -> str:
@@ -137,8 +159,19 @@ def _batches(items: list) -> list[list]:
     return [items[i : i + BRANCHES] for i in range(0, len(items), BRANCHES)]
 
 
-def _failed(run: Run, entry: Row) -> Row:
-    return _result(run, entry, check_rc=RC_BAD_CHECK_OUTPUT, check_violation_cnt=NO_COUNT)
+def _failed(run: Run, entry: Row, error: object) -> Row:
+    log.warning("%s.%s failed: %s", entry.table_name, entry.check_alias, error)
+    return _result(
+        run,
+        entry,
+        check_rc=RC_BAD_CHECK_OUTPUT,
+        check_violation_cnt=NO_COUNT,
+        env_vars={ERROR_VAR: str(error)[:ERROR_LENGTH]},
+    )
+
+
+def _is_outage(error: Exception) -> bool:
+    return any(sign in str(error) for sign in OUTAGES)
 
 
 class RunPlan:
@@ -155,7 +188,6 @@ class RunPlan:
         catalogue: Catalogue = BUILT_IN,
     ) -> None:
         self.spark, self.tables, self.run, self.catalogue = spark, tables, run, catalogue
-        self.history = history
         self.user_vars = {
             k: _clean(v) for k, v in (user_vars or {}).items() if k.startswith(TABLE_PREFIX)
         }
@@ -165,6 +197,9 @@ class RunPlan:
         #: checks still to be executed
         self.planned: list[Planned] = []
         self._frames: dict[tuple, DataFrame] = {}
+        self._memory: dict[tuple[str, str], Remembered] = {}
+        self._profiled: dict[str, dt.datetime] | None = None
+        self._recall(history, entries)
         states = self._run_setups([e for e in entries if e.check_type == "setup"])
         for entry in entries:
             if entry.check_type in ("setup", "teardown"):
@@ -181,16 +216,54 @@ class RunPlan:
                 continue
             try:
                 self.planned.append(self._plan(entry, state))
-            except PLANNING_ERRORS:
-                self.done.append(_failed(run, entry))
+            except Exception as e:  # whatever is wrong with one check is that check's result
+                self.done.append(_failed(run, entry, e))
         self._analyse()
 
     # -- setups --------------------------------------------------------------
 
-    def _context(self, table: str, df: DataFrame, known: dict[str, str]) -> CheckContext:
+    def _context(
+        self, table: str, df: DataFrame, known: dict[str, str], window: DataWindow | None = None
+    ) -> CheckContext:
         return CheckContext(
-            self.spark, table, df, self.tables, known, self.history, self.run.started
+            self.spark, table, df, self.tables, known, self._profiled, self.run.started, window
+        )
+
+    def _recall(self, history: DataFrame | None, entries: list[Row]) -> None:
+        """All that a run needs of its history, in one aggregation: a row per check comes back.
+
+        Of setups the variables of the latest successful run, of incremental checks the end of the
+        latest window they were counted in, of profiles their date.
+        """
+        if history is None or not entries:
+            return
+        mine = history.where(
+            (F.col("instance_name") == self.run.instance)
+            & (F.col("database_name") == self.run.database)
+            & F.col("table_name").isin(sorted({e.table_name for e in entries}))
+        )
+        ok, kind = F.col("check_rc") == 0, F.col("check_type")
+        setup = F.when(ok & (kind == "setup"), F.struct("run_start_timestamp", "run_id"))
+        regular = ~kind.isin(STAGE_TYPES)
+        counted = regular & (F.col("check_mode") == "incremental") & (F.col("check_violation_cnt") >= 0)
+        stop = iso_timestamp(F.col("env_vars")[STOP_VAR], "basic")
+        facts = mine.groupBy("table_name", "check_name").agg(
+            F.max_by("env_vars", setup).alias("saved"),
+            F.max(regular & (F.col("check_rc") >= 0)).alias("tried"),
+            F.max(F.when(counted, stop)).alias("last_stop"),
+            F.max(F.when(ok & (kind == "profile"), F.col("run_start_timestamp"))).alias("profiled"),
         )
+        self._profiled = {}
+        for row in facts.withColumn("prior", as_prior(F.col("saved"))).collect():
+            prior = {k: _clean(v) for k, v in (row.prior or {}).items()}
+            memory = Remembered(prior, bool(row.tried), row.last_stop)
+            self._memory[row.table_name, row.check_name] = memory
+            if row.profiled is not None:
+                known = self._profiled.get(row.table_name, row.profiled)
+                self._profiled[row.table_name] = max(known, row.profiled)
+
+    def _remembered(self, entry: Row) -> Remembered:
+        return self._memory.get((entry.table_name, entry.check_alias), Remembered())
 
     def _run_setups(self, setups: list[Row]) -> dict[str, TableState]:
         """Run the setups and read back their variables, a row per setup."""
@@ -198,18 +271,20 @@ class RunPlan:
         active = [e for e in setups if e.check_status == "active"]
         if not active:
             return states
-        prior = self._prior(active)
         outputs: list[DataFrame] = []
         for i, entry in enumerate(active):
             known = self.run.vars() | {f"{TABLE_PREFIX}": entry.table_name}
-            known |= prior.get((entry.table_name, entry.check_alias), {}) | _custom_vars(entry)
+            known |= self._remembered(entry).prior | _custom_vars(entry)
             try:
                 ctx = self._context(entry.table_name, self.tables[entry.table_name], known)
                 raw = self.catalogue.checks[entry.check_name].body(ctx)
                 if not isinstance(raw, DataFrame):
                     raw = self.spark.range(1).select(F.lit(json.dumps(raw)).alias("raw_output"))
-                raw = raw.select(F.col("raw_output").cast("string"))
-            except PLANNING_ERRORS:
+                # one row comes back whatever the setup returns; several are no output
+                text = F.when(F.count(F.lit(1)) == 1, F.max(F.col("raw_output").cast("string")))
+                raw = raw.agg(text.alias("raw_output"))
+            except Exception as e:
+                log.warning("%s.%s failed: %s", entry.table_name, entry.check_alias, e)
                 raw = self.spark.range(1).select(F.lit(None).cast("string").alias("raw_output"))
             outputs.append(raw.select(F.lit(i).alias("i"), "raw_output", F.lit(0).alias("check_rc")))
         found = {}
@@ -218,6 +293,7 @@ class RunPlan:
         for i, entry in enumerate(active):
             row = found.get(i)
             if row is None:
+                states.setdefault(entry.table_name, TableState()).failed = True
                 self.done.append(_result(self.run, entry, check_rc=RC_BAD_SETUP_OUTPUT))
                 continue
             self._apply_setup(states.setdefault(entry.table_name, TableState()), entry, row)
@@ -228,26 +304,15 @@ class RunPlan:
         try:
             parsed = parse_setup_outputs(reduce(DataFrame.unionByName, outputs))
             return {row.i: row for row in parsed.collect()}
-        except Exception:
+        except Exception as e:
+            if _is_outage(e):
+                raise
             if len(outputs) == 1:
+                log.warning("a setup failed: %s", e)
                 return {}
             half = len(outputs) // 2
             return self._setup_rows(outputs[:half]) | self._setup_rows(outputs[half:])
 
-    def _prior(self, setups: list[Row]) -> dict:
-        if self.history is None:
-            return {}
-        mine = self.history.where(
-            (F.col("instance_name") == self.run.instance)
-            & (F.col("database_name") == self.run.database)
-            & F.col("table_name").isin(sorted({e.table_name for e in setups}))
-            & F.col("check_name").isin(sorted({e.check_alias for e in setups}))
-        )
-        return {
-            (row.table_name, row.check_name): {k: _clean(v) for k, v in row.prior_vars.items()}
-            for row in prior_vars(mine).collect()
-        }
-
     def _apply_setup(self, state: TableState, entry: Row, row: Row) -> None:
         def text(ts: dt.datetime | None) -> str:
             return "" if ts is None else ts.strftime(ISO_BASIC)
@@ -261,6 +326,8 @@ class RunPlan:
             state.vars |= {f"{TABLE_PREFIX}_{k}": v for k, v in bounds.items()}
             if row.table_status == "inactive":
                 state.status = "inactive"
+        else:
+            state.failed = True
         self.done.append(
             _result(
                 self.run,
@@ -281,23 +348,19 @@ class RunPlan:
         known = self.run.vars() | own | table_vars
         check = self.catalogue.checks[entry.check_name]
         incremental = entry.check_mode == state.mode == "incremental"
-        column, window = None, (None, None)
-        if incremental:
-            name = "window_col"
-            column = own.get(CHECK_CUSTOM_PREFIX + name) or table_vars.get(TABLE_CUSTOM_PREFIX + name)
-            if not column:
-                raise KeyError("an incremental check needs a window column")
-            window = (state.start, state.stop)
-        df = self._seen(entry.table_name, column, window)
-        body = check.body(self._context(entry.table_name, df, known))
-        if check.kind == "row":
+        if entry.check_mode == "incremental" and state.failed:
+            raise ValueError("the setup that opens the window has failed")
+        window = self._window(entry, state, own, table_vars) if incremental else None
+        df = self._seen(entry.table_name, window)
+        body = check.body(self._context(entry.table_name, df, known, window))
+        if check.kind in ("row", "table") and isinstance(body, DataFrame):
+            df, body = self._one_row(body), None
+        elif check.kind == "row":
             body = body.cast("boolean")
         elif check.kind == "aggregate":
             body = body.cast("bigint")
-        elif check.kind == "table":
-            df, body = self._one_row(body), None
         else:
-            raise TypeError(f"{entry.check_name} is a setup check")
+            raise TypeError(f"{entry.check_name} is a {check.kind} check and returned {type(body)}")
         return Planned(
             entry=entry,
             check=check,
@@ -305,16 +368,33 @@ class RunPlan:
             body=body,
             mode="incremental" if incremental else "full",
             saved_vars=own | table_vars,
-            window=window,
-            scan=(entry.table_name, column, window, check.skips),
+            window=(window.start, window.stop) if window else (None, None),
+            scan=(entry.table_name, window, check.skips),
         )
 
-    def _seen(self, table: str, column: str | None, window: tuple) -> DataFrame:
+    def _window(self, entry: Row, state: TableState, own: dict, table_vars: dict) -> DataWindow:
+        """The table's window; for a check that missed earlier ones it begins where its last count ended.
+
+        A check that was tried before and never counted begins with the first row.
+        """
+
+        def given(name: str) -> str | None:
+            return own.get(CHECK_CUSTOM_PREFIX + name) or table_vars.get(TABLE_CUSTOM_PREFIX + name)
+
+        column = given("window_col")
+        if not column:
+            raise KeyError("an incremental check needs a window column")
+        start, memory = state.start, self._remembered(entry)
+        if start is not None and memory.tried:
+            start = min(start, memory.last_stop) if memory.last_stop else None
+        return DataWindow(column, start, state.stop, given("window_form") or "yyyyDDD")
+
+    def _seen(self, table: str, window: DataWindow | None) -> DataFrame:
         """The part of a table in the window, the same DataFrame for the same part."""
-        key = (table, column, window)
+        key = (table, window)
         if key not in self._frames:
             df = self.tables[table]
-            self._frames[key] = df if column is None else df.where(in_window(column, *window))
+            self._frames[key] = df if window is None else window.of(df)
         return self._frames[key]
 
     def _analyse(self) -> None:
@@ -323,14 +403,15 @@ class RunPlan:
         for group in self._scans(self.planned):
             try:
                 self._resolve(group)
-            except PLANNING_ERRORS:
+            except Exception:
                 for p in group:
                     try:
                         self._resolve([p])
-                    except PLANNING_ERRORS:
-                        lost.append(p)
-        self.done += [_failed(self.run, p.entry) for p in lost]
-        self.planned = [p for p in self.planned if p not in lost]
+                    except Exception as e:
+                        lost.append((p, e))
+        self.done += [_failed(self.run, p.entry, e) for p, e in lost]
+        broken = [p for p, _ in lost]
+        self.planned = [p for p in self.planned if p not in broken]
 
     @staticmethod
     def _resolve(group: list[Planned]) -> None:
@@ -380,8 +461,7 @@ class RunPlan:
             )
             for i, p in enumerate(planned)
         ]
-        properties = self.spark.createDataFrame(rows, CHECK_PROPERTIES)
-        return F.broadcast(properties) if len(rows) <= BROADCAST_CHECKS else properties
+        return self.spark.createDataFrame(rows, CHECK_PROPERTIES)
 
     def counts(self, planned: list[Planned]) -> DataFrame:
         """``key`` (the check's position), ``n``, ``violations``, ``rc``, ``mode``, ``vars``."""
@@ -443,38 +523,39 @@ class RunPlan:
         return self.spark.createDataFrame([tuple(r[n] for n in names) for r in rows], RESULT_SCHEMA)
 
     def results(self) -> DataFrame:
+        """All rows as one plan, not executed: a check that breaks while running breaks it."""
         rows = self.known(self.done)
         return rows.unionByName(self.executed(self.planned)) if self.planned else rows
 
-    # -- storing -----------------------------------------------------------------
+    # -- executing ---------------------------------------------------------------
 
-    def store(self, path: str) -> None:
-        """Append the results, each batch of checks in one write.
+    def settled(self) -> DataFrame:
+        """The rows of the run, executed in jobs of bounded size.
 
-        If a check breaks while running nothing of its batch was written; the
-        checks are then halved until the broken ones stand alone, and those are
-        stored as failed.
+        A row per check comes to the driver. If a job breaks, its checks are halved until the broken
+        ones stand alone; those are failed. A failure of the cluster or its storage is raised.
         """
-        if self.done:
-            self._append(self.known(self.done), path)
+        rows = list(self.done)
         branches = self._scans(self.planned) + [[p] for p in self.planned if p.body is None]
         for some in _batches(branches):
-            self._store([p for branch in some for p in branch], path)
+            rows += self._rows([p for branch in some for p in branch])
+        return self.known(rows)
 
-    def _append(self, rows: DataFrame, path: str) -> None:
-        started = self.run.started
-        append_results(self.spark, rows, path, begin=started, month=started.date())
-
-    def _store(self, planned: list[Planned], path: str) -> None:
+    def _rows(self, planned: list[Planned]) -> list[Row]:
         try:
-            self._append(self.executed(planned), path)
-        except Exception:
+            return self.executed(planned).collect()
+        except Exception as e:
+            if _is_outage(e):
+                raise
             if len(planned) == 1:
-                self._append(self.known([_failed(self.run, planned[0].entry)]), path)
-                return
+                return [_failed(self.run, planned[0].entry, e)]
             half = len(planned) // 2
-            self._store(planned[:half], path)
-            self._store(planned[half:], path)
+            return self._rows(planned[:half]) + self._rows(planned[half:])
+
+    def store(self, path: str) -> None:
+        """Append the results of the run in one commit."""
+        started = self.run.started
+        append_results(self.spark, self.settled(), path, begin=started, month=started.date())
 
 
 def run_checks(
@@ -486,13 +567,13 @@ def run_checks(
     user_vars: Mapping[str, str] | None = None,
     catalogue: Catalogue = BUILT_IN,
 ) -> DataFrame:
-    """Result rows of all checks of a registry, not yet executed.
+    """Result rows of all checks of a registry, executed.
 
     ``history`` supplies what earlier runs left behind, ``user_vars`` override the
     variables set by setup checks. An invalid registry raises; a check that cannot
-    be planned (a column is missing, say) is a row with rc 202.
+    be planned (a column is missing, say) or breaks while running is a row with rc 202.
     """
-    return RunPlan(spark, registry, tables, run, history, user_vars, catalogue).results()
+    return RunPlan(spark, registry, tables, run, history, user_vars, catalogue).settled()
 
 
 def run_and_store(

@@ -29,7 +29,7 @@ def session(app: str = "tablewarden", master: str | None = None, **conf: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh sub-folder of the shared folder the cluster names; it goes when the application ends.
+    """A fresh path, not made yet, in the shared folder the cluster names; it goes when the application ends.
 
     ``spark.checkpoint.dir`` is read from the session. Where it is unset, the folder lies below
     ``spark.sql.warehouse.dir``, which all executors reach as well.
@@ -40,4 +40,4 @@ def shared_folder(spark: SparkSession) -> str:
     files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     files.mkdirs(path)
     files.deleteOnExit(path)
-    return folder
+    return f"{folder}/data"

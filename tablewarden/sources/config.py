@@ -1,4 +1,7 @@
-"""Instance configurations: row estimates of tables, severities of their checks."""
+"""Instance configurations: row estimates of tables, severities of their checks.
+
+A file is named ``instance-<instance>_db-<database>_config.json``; that is where its tables belong.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +16,15 @@ CONFIG_JSON = """map<string,struct<
                              policy_type:string, mode:string, failure_rate:double>>>>"""
 
 
+#: Fixed value: how the files of instances and databases are named.
+CONFIG_FILE = r"instance-([^/]+)_db-([^/]+)_config\.json(?:/[^/]*)?$"
+
+
 def parse_config(docs: DataFrame, doc: str = "value") -> tuple[DataFrame, DataFrame]:
-    """The table dimension and the check dimension of configuration documents."""
+    """The table dimension and the check dimension of configuration documents.
+
+    Other columns of ``docs``, such as the instance and database a document is for, stay.
+    """
     others = [c for c in docs.columns if c != doc]
     invalid = F.raise_error(F.lit("invalid instance configuration")).cast(CONFIG_JSON)
     parsed = F.coalesce(strict_object(F.col(doc), CONFIG_JSON), invalid)
@@ -46,5 +56,12 @@ def parse_config(docs: DataFrame, doc: str = "value") -> tuple[DataFrame, DataFr
 def read_config(
     spark: SparkSession, *paths: str, one_per_line: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Configuration files, each one document, or one document per line."""
-    return parse_config(spark.read.text(list(paths), wholetext=not one_per_line))
+    """Configuration files, each one document, or one document per line.
+
+    ``instance_name`` and ``database_name`` are told by the name of the file, or of a folder of
+    such files; NULL for other names.
+    """
+    docs = spark.read.text(list(paths), wholetext=not one_per_line)
+    name = F.col("_metadata.file_path")
+    place = {c: F.nullif(F.regexp_extract(name, CONFIG_FILE, i), F.lit("")) for i, c in ((1, "instance_name"), (2, "database_name"))}
+    return parse_config(docs.select("value", *[v.alias(c) for c, v in place.items()]))

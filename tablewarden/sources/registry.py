@@ -2,10 +2,9 @@
 
 A registry document maps table -> check alias -> properties, all of them text::
 
-    {"asset": {"pk": {"check_type": "rule", "check_name": "rule_uniqueness",
-                      "check_mode": "full", "check_scope": "row",
-                      "check_status": "active",
-                      "hapinsp_checkcustom_cols": "asset_id"}}}
+    {"shipments": {"weight_limit": {"check_name": "range", "check_mode": "incremental",
+                                    "hapinsp_checkcustom_col": "weight_kg",
+                                    "hapinsp_checkcustom_max": "900"}}}
 """
 
 from __future__ import annotations

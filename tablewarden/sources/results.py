@@ -95,8 +95,8 @@ def append_results(
 ) -> None:
     """Append result rows once: repeating a run adds nothing.
 
-    Where all rows are of one ``month``, only that folder is searched for rows
-    stored before. ``rebalance`` writes few, even files and splits a month that
+    Only the folders of the months that ``results`` have rows of are searched for rows
+    stored before; give ``month`` where that is known, to save looking. ``rebalance`` writes few, even files and splits a month that
     holds most of the rows. The write commits as a whole, so a job that fails
     leaves nothing behind.
     """
@@ -104,8 +104,11 @@ def append_results(
     stored = _stored(spark, path)
     if stored is not None:
         if month is not None:
-            stored = stored.where(F.col("run_month") == F.lit(month.replace(day=1)))
-        rows = new_results(stored, rows)
+            months = [month.replace(day=1)]
+        else:  # a few folders, whatever the number of rows
+            months = [r.run_month for r in rows.select("run_month").distinct().collect()]
+        found = F.col("run_month").isin([m for m in months if m is not None])
+        rows = new_results(stored.where(found | F.col("run_month").isNull()), rows)
     rows.hint("rebalance", "run_month").write.mode("append").partitionBy("run_month").parquet(path)
 
 

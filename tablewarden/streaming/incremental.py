@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewarden.functions.moments import moment
 from tablewarden.functions.variables import as_prior
@@ -13,13 +15,16 @@ from tablewarden.schema import LEVELS
 
 
 def prior_vars(history: DataFrame, check_type: str | None = "setup") -> DataFrame:
-    """What the latest run of each check left behind, for all checks at once.
+    """What the latest successful run of each check left behind, for all checks at once.
 
     Columns: the four levels, ``run_start_timestamp``, ``env_vars`` as saved, and
     ``prior_vars`` with the names the next run sees. Runs with the same start are
-    told apart by their id.
+    told apart by their id. A run that failed leaves nothing, so the one before it
+    still counts.
     """
-    rows = history if check_type is None else history.where(F.col("check_type") == check_type)
+    rows = history.where(F.col("check_rc") == 0)
+    if check_type is not None:
+        rows = rows.where(F.col("check_type") == check_type)
     latest = F.max_by(
         F.struct("run_start_timestamp", "env_vars"), F.struct("run_start_timestamp", "run_id")
     )
@@ -52,25 +57,79 @@ def next_windows(stops: DataFrame, marks: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+#: How whole numbers write a day: strftime forms by the name a setup gives them.
+DAY_FORMS = {"yyyyDDD": "%Y%j", "yyyyMMdd": "%Y%m%d"}
+
+
+def day_of(number: Column, form: str) -> Column:
+    """The day that a whole number such as 2024032 or 20240201 stands for."""
+    if form == "yyyyDDD":
+        first = F.make_date((number / 1000).cast("int"), F.lit(1), F.lit(1))
+        return F.date_add(first, (number % 1000 - 1).cast("int"))
+    if form == "yyyyMMdd":
+        return F.make_date((number / 10000).cast("int"), (number / 100 % 100).cast("int"), (number % 100).cast("int"))
+    raise ValueError(f"unknown form of a day: {form}")
+
+
+def moment_of(df: DataFrame, column: str, value: Column, form: str = "yyyyDDD") -> Column:
+    """A value of a window column as a moment: timestamps, dates, and numbers that write a day."""
+    kind = df.schema[column].dataType
+    return (day_of(value, form) if isinstance(kind, T.IntegralType) else value).cast("timestamp_ntz")
+
+
+def bound(df: DataFrame, column: str, at: dt.datetime, form: str = "yyyyDDD") -> Column:
+    """A moment as a literal of the column's own type, which file statistics and partitions can answer."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.IntegralType):
+        return F.lit(int(at.strftime(DAY_FORMS[form])))
+    if isinstance(kind, T.DateType):
+        return F.lit(at.date())
+    return moment(at)
+
+
 def in_window(
-    ts: Column | str, start: Column | dt.datetime | None, stop: Column | dt.datetime | None
+    ts: Column | str,
+    start: Column | dt.datetime | None,
+    stop: Column | dt.datetime | None,
+    df: DataFrame | None = None,
+    form: str = "yyyyDDD",
 ) -> Column:
     """The half-open window ``(start, stop]``; a missing bound is open.
 
     Bounds given as values are plain comparisons of the column with a literal,
-    which prune partitions and skip Parquet row groups.
+    which prune partitions and skip Parquet row groups. With ``df`` the literals
+    take the type of its column ``ts``.
     """
+    name = ts
+    literal = moment if df is None else lambda at: bound(df, name, at, form)
     ts = F.col(ts) if isinstance(ts, str) else ts
 
     within = F.lit(True)
     if start is not None:
-        within = ts > moment(start)
+        within = ts > literal(start)
     if stop is not None:
-        upper = ts <= moment(stop)
+        upper = ts <= literal(stop)
         within = upper if start is None else within & upper
     return within
 
 
+@dataclass(frozen=True)
+class DataWindow:
+    """The part of a table an incremental check looks at."""
+
+    column: str
+    start: dt.datetime | None = None
+    stop: dt.datetime | None = None
+    form: str = "yyyyDDD"
+
+    def of(self, df: DataFrame, column: str | None = None) -> DataFrame:
+        """The window of a table, by a column of its own where its name differs."""
+        column = column or self.column
+        if column not in df.columns:
+            raise ValueError(f"no column {column} to tell the window by")
+        return df.where(in_window(column, self.start, self.stop, df, self.form))
+
+
 def stamp_window(
     results: DataFrame, start: Column, stop: Column, mode: str = "check_mode"
 ) -> DataFrame:

@@ -93,7 +93,7 @@ def test_current_status(frame):
 
 
 def test_search(frame):
-    df = frame(result("cust_uk"), result("Cust_FK"), result("other"), result("setup_cust"))
+    df = frame(result("cust_uk"), result("Cust_FK"), result("other"), result("setup_cust", kind="setup"))
 
     def found(text):
         return sorted(r.check_name for r in plan.search(df, "check_name", text).collect())
@@ -252,25 +252,83 @@ def test_nothing_depends_on_the_time_zone(spark, frame):
 
 
 def test_score_join(spark):
+    place = "instance_name string, database_name string, table_name string"
     results = spark.createDataFrame(
-        [("t", "uk", 5), ("t", "stats", 1), ("t", "uk", None), ("t", "unknown", 1)],
-        "table_name string, check_name string, check_violation_cnt long",
+        [
+            ("east", "db", "t", "uk", 5, "tables"),
+            ("east", "db", "t", "stats", 1, None),
+            ("east", "db", "t", "uk", None, None),
+            ("east", "db", "t", "unknown", 1, "rows"),
+            ("west", "db", "t", "uk", 5, None),
+            ("south", "db", "t", "uk", 5, "rows"),
+        ],
+        f"{place}, check_name string, check_violation_cnt long, check_unit string",
     )
     tables = spark.createDataFrame(
-        [("t", 10.0, None, "incremental")],
-        "table_name string, avg_rows double, partition_key string, table_mode string",
+        [("east", "db", "t", 10.0, None, "incremental"), ("west", "db", "t", 100.0, None, "full")],
+        f"{place}, avg_rows double, partition_key string, table_mode string",
     )
     checks = spark.createDataFrame(
-        [("t", "uk", "rows", "high", "quality", "incremental"), ("t", "stats", "tables", "low", "data-management", "full")],
-        "table_name string, check_name string, violation_unit string, severity string, "
+        [
+            ("east", "db", "t", "uk", "rows", "high", "quality", "incremental"),
+            ("east", "db", "t", "stats", "tables", "low", "data-management", "full"),
+            ("west", "db", "t", "uk", "rows", "high", "quality", "incremental"),
+        ],
+        f"{place}, check_name string, violation_unit string, severity string, "
         "policy_type string, config_mode string",
     )
     got = {
-        (r.check_name, r.check_violation_cnt): (r.check_mode, r.check_scope, r.check_severity_score)
+        (r.instance_name, r.check_name, r.check_violation_cnt): (
+            r.check_unit, r.check_mode, r.check_scope, r.check_severity_score
+        )
         for r in score_results(results, tables, checks).collect()
     }
     assert got == {
-        ("uk", 5): ("incremental", 50.0, 50),
-        ("uk", None): ("incremental", None, None),
-        ("stats", 1): ("full", 100.0, 10),
+        ("east", "uk", 5): ("rows", "incremental", 50.0, 50),
+        ("east", "uk", None): ("rows", "incremental", None, None),
+        ("east", "stats", 1): ("tables", "full", 100.0, 10),
+        ("east", "unknown", 1): ("rows", None, None, None),
+        ("west", "uk", 5): ("rows", "full", 5.0, 5),
+        ("south", "uk", 5): ("rows", None, None, None),
     }
+    with pytest.raises(Exception, match="configured twice: (east|west).db.t"):
+        score_results(results, tables.union(tables), checks).collect()
+
+
+def test_setups_are_told_by_type_at_every_level(frame):
+    rows = [
+        result("setup_time_ck", count=679),
+        result("w", count=None, kind="setup"),
+        result("setup", count=2, day=1),
+        result("done", count=9, kind="teardown", day=2),
+    ]
+    df = frame(*rows)
+    by_check = {(r.check_name, str(r.period)): r.violations for r in plan.daily(df, "check_name").collect()}
+    rolled = plan.rollup_levels(df, "day").where("level = 'check_name'")
+    assert by_check == {(r.check_name, str(r.period)): r.violations for r in rolled.collect()}
+    assert by_check == {("setup_time_ck", "2015-01-30"): 679, ("setup", "2015-01-31"): 2}
+    status = {r.check_name: r.status for r in plan.current_status(df, "check_name").collect()}
+    assert status == {"setup_time_ck": "Failing", "setup": "Failing"}
+    assert sorted(r.check_name for r in plan.entities(df, "check_name").collect()) == ["setup", "setup_time_ck"]
+    assert {r.month_points for r in plan.series_lengths(df, "table_name").collect()} == {2}
+
+
+def test_current_status_reads_the_history_once_and_hashes(spark, tmp_path, frame):
+    store.append_results(spark, frame(result(), result("b", count=1, day=1)), str(tmp_path / "h"))
+    status = plan.current_status(store.read_results(spark, str(tmp_path / "h")))
+    tree = status._jdf.queryExecution().executedPlan().toString()
+    assert tree.count("FileScan parquet") == 1 and "SortAggregate" not in tree
+    got = {(r.level, r.violations) for r in status.collect()}
+    assert got == {("instance_name", 1), ("database_name", 1), ("table_name", 1), ("check_name", 0), ("check_name", 1)}
+
+
+def test_append_searches_the_months_it_has(spark, frame, tmp_path, monkeypatch):
+    path = str(tmp_path / "h")
+    store.append_results(spark, frame(result(), result(day=3)), path)
+    seen = []
+    new = store.new_results
+    monkeypatch.setattr(store, "new_results", lambda stored, rows: seen.append(stored) or new(stored, rows))
+    store.append_results(spark, frame(result(day=3), result("b", day=4)), path)
+    assert store.read_results(spark, path).count() == 3
+    assert {str(r.run_month) for r in seen[0].select("run_month").distinct().collect()} == {"2015-02-01"}
+    assert "PartitionFilters: [(" in seen[0]._jdf.queryExecution().executedPlan().toString()

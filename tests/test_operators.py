@@ -180,14 +180,19 @@ def test_frequent_check_of_a_score_join_is_split(spark, joins_without_broadcast)
     from tablewarden.plans.scores import score_results
 
     results = spark.range(0, 600000, 1, 8).selectExpr(
+        "'i' AS instance_name",
+        "'d' AS database_name",
         "'t' AS table_name",
         "IF(id % 3 = 0, 'hot', concat('c', id % 500)) AS check_name",
         "xxhash64(id) AS check_violation_cnt",
     )
     tables = spark.sql(
-        "SELECT 't' AS table_name, 5D AS avg_rows, '' AS partition_key, 'full' AS table_mode"
+        "SELECT 'i' AS instance_name, 'd' AS database_name, 't' AS table_name, 5D AS avg_rows, "
+        "'' AS partition_key, 'full' AS table_mode"
     )
     checks = spark.range(501).selectExpr(
+        "'i' AS instance_name",
+        "'d' AS database_name",
         "'t' AS table_name",
         "IF(id = 500, 'hot', concat('c', id)) AS check_name",
         "'rows' AS violation_unit",

@@ -4,9 +4,10 @@ import compare
 import pytest
 
 import __spark_entry__ as repo
+import inspections
 
 SF_DIR = "/root/testdata/sf0.001"
-ORACLES = repo.oracle_sql()
+ORACLES = inspections.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +15,7 @@ def con():
     return compare.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("key", sorted(repo.queries()))
+@pytest.mark.parametrize("key", sorted(inspections.QUERIES))
 def test_query(spark, con, key):
     df = repo.queries()[key](spark, SF_DIR)
     if key in ORACLES:
@@ -24,7 +25,7 @@ def test_query(spark, con, key):
 
 
 def test_only_file_queries_go_without_sql():
-    assert set(repo.queries()) - set(ORACLES) == {"ck_file_size", "ck_file_format"}
+    assert set(inspections.QUERIES) - set(ORACLES) == {"ck_file_size", "ck_file_format"}
 
 
 def test_entry_has_the_result_schema(spark):
@@ -32,4 +33,4 @@ def test_entry_has_the_result_schema(spark):
 
     df = repo.entry(spark)
     assert df.columns == RESULT_SCHEMA.fieldNames()
-    assert df.count() == 18
+    assert df.count() == 21

@@ -6,15 +6,15 @@ from tablewarden.plans import registry as plan
 from tablewarden.sources.config import read_config
 from tablewarden.sources.registry import read_registry
 
-PK = {
-    "check_type": "rule",
-    "check_name": "rule_uniqueness",
-    "check_mode": "full",
-    "check_scope": "row",
+WEIGHT = {
     "check_status": "active",
-    "hapinsp_checkcustom_cols": 999,
+    "check_scope": "row",
+    "check_mode": "incremental",
+    "check_name": "range",
+    "check_type": "rule",
+    "hapinsp_checkcustom_max": 40.5,
 }
-GOOD = {"asset": {"rule_pk1": PK, "rule_pk2": PK}, "cust": {"rule_pk1": PK}}
+SOUND = {"parcels": {"heavy": WEIGHT}, "routes": {"heavy": WEIGHT, "long": WEIGHT}}
 
 
 @pytest.fixture
@@ -28,8 +28,8 @@ def load(spark, tmp_path):
 
 
 def one(load, **changes):
-    entry = {k: v for k, v in (PK | changes).items() if v != "absent"}
-    return plan.default_registry(load({"asset": {"c": entry}}))
+    entry = {k: v for k, v in (WEIGHT | changes).items() if v != "absent"}
+    return plan.default_registry(load({"parcels": {"c": entry}}))
 
 
 def problems(df):
@@ -41,24 +41,24 @@ def names(df):
 
 
 def test_good_registry(load):
-    df = load(GOOD)
-    assert names(df) == [("asset", "rule_pk1"), ("asset", "rule_pk2"), ("cust", "rule_pk1")]
-    row = df.first()
-    assert row.custom == {"hapinsp_checkcustom_cols": "999"}
+    df = load(SOUND)
+    assert names(df) == [("parcels", "heavy"), ("routes", "heavy"), ("routes", "long")]
+    assert {tuple(r.custom.items()) for r in df.collect()} == {(("hapinsp_checkcustom_max", "40.5"),)}
     assert problems(plan.default_registry(df)) == []
-    assert len(plan.valid_entries(df, ["rule_uniqueness"])) == 3
+    assert len(plan.valid_entries(df, ["range", "length"])) == 3
 
 
 @pytest.mark.parametrize(
     "text",
     [
-        '{"asset": {"pk": {"check_type": "rule", "x": 999,, "check_status": "active"}}}',
-        '{"asset": {"pk": {"check_type": "rule", "x": 999, check_status: "active"}}}',
-        '{"asset": {"pk": {"check_type": "rule", "x": 999, "check_status": "active"}} ',
-        '{"asset": {"pk": {"check_type": "rule"}}} {"cust": {}}',
-        '{"asset": {"pk": {"check_type": "rule"}}} and more',
-        '{"asset": "pk"}',
-        "just text",
+        '{"routes": {"long": {"check_name": "range"},}}',
+        "{'routes': {'long': {'check_name': 'range'}}}",
+        '{"routes": {"long": {"check_name": "range"}}',
+        '{"routes": {"long": {}}} [1]',
+        '[{"routes": {"long": {"check_name": "range"}}}]',
+        '{"routes": {"long": ["range"]}}',
+        '{"routes": 7}',
+        "routes.long = range",
     ],
 )
 def test_malformed_registry_fails(load, text):
@@ -100,7 +100,7 @@ def test_bad_entries(load, changes, expected):
     df = one(load, **changes)
     assert problems(df) == [expected]
     with pytest.raises(plan.RegistryError):
-        plan.valid_entries(df, ["rule_uniqueness"])
+        plan.valid_entries(df, ["range"])
 
 
 @pytest.mark.parametrize(
@@ -120,15 +120,15 @@ def test_good_entries(load, changes):
 @pytest.mark.parametrize(
     "table, check, expected",
     [
-        (None, None, [("asset", "rule_pk1"), ("asset", "rule_pk2"), ("cust", "rule_pk1")]),
-        ("asset", None, [("asset", "rule_pk1"), ("asset", "rule_pk2")]),
-        (None, "rule_pk1", [("asset", "rule_pk1"), ("cust", "rule_pk1")]),
-        ("asset", "rule_pk2", [("asset", "rule_pk2")]),
-        ("cust", "rule_pk2", []),
+        (None, None, [("parcels", "heavy"), ("routes", "heavy"), ("routes", "long")]),
+        ("routes", None, [("routes", "heavy"), ("routes", "long")]),
+        (None, "heavy", [("parcels", "heavy"), ("routes", "heavy")]),
+        ("routes", "long", [("routes", "long")]),
+        ("parcels", "long", []),
     ],
 )
 def test_filter(load, table, check, expected):
-    assert names(plan.filter_registry(load(GOOD), table, check)) == expected
+    assert names(plan.filter_registry(load(SOUND), table, check)) == expected
 
 
 @pytest.mark.parametrize("text", ["{}", ""])
@@ -138,13 +138,13 @@ def test_empty_registry_is_an_error(load, text):
 
 
 def test_repeated_property(load):
-    df = load('{"asset": {"c": {"check_name": "x", "check_status": "active", "check_name": "y"}}}')
+    df = load('{"parcels": {"c": {"check_name": "x", "check_status": "active", "check_name": "y"}}}')
     assert problems(plan.default_registry(df)) == [["repeated"]]
 
 
 def test_unknown_check(load):
-    with pytest.raises(plan.RegistryError, match="no check rule_uniqueness"):
-        plan.valid_entries(load(GOOD), ["range"])
+    with pytest.raises(plan.RegistryError, match="no check range"):
+        plan.valid_entries(load(SOUND), ["case"])
 
 
 def test_inactive_placeholders(load):
@@ -173,10 +173,11 @@ def test_config(spark, tmp_path):
             "mode": "full",
         }
     }
-    path = tmp_path / "config.json"
+    path = tmp_path / "instance-east_db-shop_config.json"
     path.write_text(json.dumps(config, indent=1))
     tables, checks = read_config(spark, str(path))
     row = tables.first()
+    assert (row.instance_name, row.database_name) == ("east", "shop")
     assert (row.avg_rows, row.partition_key, row.cols) == (10000.0, None, ["cust_id", "cust_name"])
     assert sorted(r.check_name for r in checks.collect()) == ["stats_exist", "stats_not_stale"]
     path.write_text("{")

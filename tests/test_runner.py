@@ -4,9 +4,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tablewarden.operators.catalogue import BUILT_IN
+from tablewarden.operators.catalogue import BUILT_IN, CheckContext
 from tablewarden.plans.registry import RegistryError
-from tablewarden.plans.runner import Run, run_and_store, run_checks
+from tablewarden.plans import runner
+from tablewarden.plans.runner import Run, RunPlan, run_and_store, run_checks
 from tablewarden.sources.registry import parse_registry
 from tablewarden.sources.results import read_results
 
@@ -81,7 +82,7 @@ def test_row_checks_share_scans(spark, registry):
             "e": entry("case", col="l_returnflag"),
         }
     }
-    out = run_checks(spark, registry(doc), {"t": df}, run())
+    out = RunPlan(spark, registry(doc), {"t": df}, run()).results()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 2
     assert "ReadSchema: struct<l_quantity:double,l_tax:double,l_returnflag:string>" in plan
@@ -102,7 +103,7 @@ def test_clean_row_groups_are_not_read(spark, registry, tmp_path):
             "null": entry("not_null", cols="k,g"),
         }
     }
-    out = run_checks(spark, registry(doc), {"t": spark.read.parquet(path)}, run())
+    out = RunPlan(spark, registry(doc), {"t": spark.read.parquet(path)}, run()).results()
     assert {r.check_name: r.check_violation_cnt for r in out.collect()} == {
         "low": 1,
         "set": 0,
@@ -314,25 +315,216 @@ def test_a_check_that_breaks_loses_only_itself(spark, registry, table, tmp_path)
     }
 
 
-def test_large_registries_are_stored_in_batches(spark, registry, table, tmp_path, monkeypatch):
-    from tablewarden.plans import runner
-
-    monkeypatch.setattr(runner, "BRANCHES", 2)
+def test_a_large_run_is_one_commit(spark, registry, table, tmp_path, monkeypatch):
     path = str(tmp_path / "h")
+    commits = []
+    append = runner.append_results
+    monkeypatch.setattr(runner, "append_results", lambda *a, **k: commits.append(1) or append(*a, **k))
+    monkeypatch.setattr(runner, "BRANCHES", 7)
     doc = {
-        t: {
+        f"t{i}": {
             "w": setup("incremental_window", col="ts"),
             "a": entry("range", col="k", max=6),
             "b": entry("rule_uniqueness", cols="g"),
         }
-        for t in ("t1", "t2", "t3")
+        for i in range(12)
     }
-    tables = dict.fromkeys(doc, table)
-    got = run_and_store(spark, registry(doc), tables, run(), path).collect()
+    got = run_and_store(spark, registry(doc), dict.fromkeys(doc, table), run(), path).collect()
     counts = {(r.table_name, r.check_name): r.check_violation_cnt for r in got}
     expected = {"w": None, "a": 3, "b": 7}
     assert counts == {(t, c): n for t in doc for c, n in expected.items()}
-    assert len(list((tmp_path / "h").rglob("*.parquet"))) == 4
+    assert commits == [1]
+
+
+def test_runs_without_an_id_are_all_stored(spark, registry, table, tmp_path):
+    path = str(tmp_path / "h")
+    doc = {"t": {"a": entry("range", col="k", max=6)}}
+    for minute, rows in ((0, 10), (1, 5)):
+        one = Run("prod", "db", started=dt.datetime(2024, 3, 1, 2, minute))
+        got = run_and_store(spark, registry(doc), {"t": table.where(F.col("k") < rows)}, one, path).collect()
+        assert [r.run_start_timestamp for r in got] == [one.started]
+        assert [r.check_violation_cnt for r in got] == [3 if rows == 10 else 0]
+    assert read_results(spark, path).count() == 2
+
+
+@OWN.add("broken_body", "row")
+def _broken_body(ctx):
+    return ctx.no_such_attribute
+
+
+def test_nothing_wrong_with_one_check_reaches_another(spark, registry, table):
+    texts = table.withColumn("s", F.when(F.col("k") == 3, "x").otherwise(F.col("k").cast("string")))
+    doc = {
+        "t": {
+            "good": entry("range", col="k", max=6),
+            "attribute": entry("broken_body"),
+            "explodes": entry("explode"),
+            "text": entry("range", col="s", max=6),
+            "numbers": entry("range", col="n", max=6),
+            "braces": entry("sql", sql="SELECT count(*) AS violations FROM {table} WHERE s RLIKE '^[0-9]{1}$'"),
+            "index": entry("sql", sql="SELECT {0} AS violations FROM {table}"),
+        }
+    }
+    tables = {"t": texts.withColumn("n", F.col("k").cast("string"))}
+    got = by_name(run_checks(spark, registry(doc), tables, run(), catalogue=OWN))
+    assert {k: (r.check_violation_cnt, r.check_rc) for k, r in got.items()} == {
+        "good": (3, 0),
+        "attribute": (-1, 202),
+        "explodes": (-1, 202),
+        "text": (-1, 202),
+        "numbers": (3, 0),
+        "braces": (9, 0),
+        "index": (-1, 202),
+    }
+    assert "no_such_attribute" in got["attribute"].env_vars["hapinsp_error"]
+    assert "boom" in got["explodes"].env_vars["hapinsp_error"]
+
+
+def test_outages_are_raised(spark, registry, table, monkeypatch):
+    def lost(self, planned):
+        raise OSError("java.io.IOException: no storage")
+
+    monkeypatch.setattr(RunPlan, "executed", lost)
+    with pytest.raises(OSError):
+        run_checks(spark, registry({"t": {"a": entry("not_empty")}}), {"t": table}, run())
+
+
+def test_a_setup_of_many_rows_is_no_output(spark, registry, table):
+    catalogue = BUILT_IN.copy()
+
+    @catalogue.add("many", "setup")
+    def _many(ctx):
+        return ctx.df.select(F.format_string('{"rc": 0, "hapinsp_tablecustom_k": "%d"}', "k").alias("raw_output"))
+
+    got = by_name(run_checks(spark, registry({"t": {"s": setup("many")}}), {"t": table}, run(), catalogue=catalogue))
+    assert got["s"].check_rc == 201
+
+
+def test_a_failed_setup_keeps_the_mark(spark, registry, table, tmp_path):
+    path = str(tmp_path / "h")
+
+    def go(n, rows, window="incremental_window", ck="range"):
+        doc = {
+            "t": {
+                "w": setup(window, col="ts"),
+                "inc": entry(ck, check_mode="incremental", col="k", max=-1),
+                "steady": entry("range", check_mode="incremental", col="k", max=-1),
+            }
+        }
+        seen = table.where(F.col("k") < rows)
+        got = by_name(run_and_store(spark, registry(doc), {"t": seen}, run(n), path, catalogue=OWN))
+        return [(got[c].check_violation_cnt, got[c].check_rc) for c in ("inc", "steady")]
+
+    assert go(1, 3) == [(3, 0), (3, 0)]
+    assert go(2, 5, window="setup_bad") == [(None, 202), (None, 202)]
+    assert go(3, 6) == [(3, 0), (3, 0)]  # from where the first run ended
+    assert go(4, 8, ck="broken_body") == [(None, 202), (2, 0)]
+    assert go(5, 9) == [(3, 0), (1, 0)]  # the check that broke goes back to its own last count
+    assert go(6, 9) == [(0, 0), (0, 0)]
+
+
+@pytest.mark.parametrize("kind", ["date", "yyyyDDD", "yyyyMMdd"])
+def test_windows_on_days(spark, registry, table, tmp_path, kind):
+    path = str(tmp_path / "h")
+    day = F.to_date("ts") if kind == "date" else F.date_format("ts", kind).cast("int")
+    days = table.withColumn("date_id", day)
+    doc = {
+        "t": {
+            "w": setup("incremental_window", col="date_id", **({} if kind == "date" else {"form": kind})),
+            "inc": entry("range", check_mode="incremental", col="k", max=-1),
+        }
+    }
+    counts = []
+    for n, rows in ((1, 4), (2, 9), (3, 9)):
+        seen = days.where(F.col("k") < rows)
+        got = by_name(run_and_store(spark, registry(doc), {"t": seen}, run(n), path))
+        assert (got["w"].check_rc, got["inc"].check_mode) == (0, "incremental")
+        counts.append(got["inc"].check_violation_cnt)
+    assert counts == [4, 5, 0]
+    assert got["inc"].data_stop_timestamp == dt.datetime(2024, 1, 9)
+
+
+def test_the_window_opens_without_reading_what_was_seen(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(20).selectExpr("id AS k", "CAST(2024001 + id AS INT) AS date_id").write.partitionBy("date_id").parquet(path)
+    df = spark.read.parquet(path)
+    known = {"hapinsp_checkcustom_col": "date_id", "hapinsp_table_data_stop_ts_prior": "20240115T000000000000"}
+    ctx = CheckContext(spark, "t", df, {"t": df}, known)
+    out = BUILT_IN.checks["incremental_window"].body(ctx)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "(date_id" in plan and "> 2024015)" in plan.split("PartitionFilters")[1]
+    assert '"data_stop_ts":"20240120T000000000000"' in out.first().raw_output
+    stamps = df.selectExpr("timestamp_ntz'2024-01-01' + make_dt_interval(int(k)) AS ts")
+    stamps.write.parquet(str(tmp_path / "s"))
+    df = spark.read.parquet(str(tmp_path / "s"))
+    ctx = CheckContext(spark, "t", df, {}, known | {"hapinsp_checkcustom_col": "ts"})
+    plan = BUILT_IN.checks["incremental_window"].body(ctx)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(ts,2024-01-15" in plan
+
+
+def test_history_is_read_once(spark, registry, table, tmp_path):
+    path = str(tmp_path / "h")
+    doc = {
+        t: {
+            "w": setup("incremental_window", col="ts"),
+            "exist": entry("stats_exist"),
+            "stale": entry("stats_not_stale", days=2),
+            "inc": entry("range", check_mode="incremental", col="k", max=6),
+        }
+        for t in ("t", "u")
+    }
+    tables = {"t": table, "u": table}
+    run_and_store(spark, registry(doc), tables, run(1), path)
+    out = RunPlan(spark, registry(doc), tables, run(2), read_results(spark, path))
+    plan = out.results()._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan
+
+
+def test_consistency_checks_window_both_sides(spark, registry, table, tmp_path):
+    path = str(tmp_path / "h")
+
+    def go(n, rows, spoilt=False):
+        seen = table.where(F.col("k") < rows)
+        peer = seen.withColumn("g", F.when(F.col("k") == 7, 9).otherwise(F.col("g"))) if spoilt else seen
+        peer = peer.withColumnRenamed("ts", "at") if n == 9 else peer
+        doc = {
+            "t": {
+                "w": setup("incremental_window", col="ts"),
+                "rows": entry("peer_row_count", check_mode="incremental", peer="p"),
+                "spots": entry(
+                    "peer_field_spot_check", check_mode="incremental", peer="p", cols="k", fields="g", share=1
+                ),
+                "source": entry("target_vs_source", check_mode="incremental", source="p"),
+                "sums": entry("base_vs_summary", check_mode="incremental", cols="k", base="p", total="one"),
+            }
+        }
+        tables = {"t": seen.withColumn("one", F.lit(1)), "p": peer.withColumn("one", F.lit(1))}
+        got = by_name(run_and_store(spark, registry(doc), tables, run(n), path))
+        return [got[c].check_violation_cnt for c in ("rows", "spots", "source", "sums")]
+
+    assert go(1, 4) == [0, 0, 0, 0]
+    assert go(2, 6) == [0, 0, 0, 0]
+    assert go(3, 9, spoilt=True) == [0, 1, 2, 0]
+    assert go(9, 10) == [None, None, None, None]  # the peer has no column to tell the window by
+
+
+def test_more_checks_by_name(spark, registry, table):
+    starts = table.select("k", (F.col("ts") + F.expr("make_dt_interval(1)")).alias("begun")).where("k < 6")
+    doc = {
+        "t": {
+            "days": entry("range", col="ts", min="2024-01-03", max="2024-01-08T12:00:00"),
+            "pair": entry("ordered_pair_across", starts="s", starts_key="k", key="k", start="begun", stop="ts"),
+            "parts": entry("range_by_partition", col="k", max=4, partition="g"),
+        }
+    }
+    got = by_name(run_checks(spark, registry(doc), {"t": table, "s": starts}, run()))
+    assert {k: (r.check_violation_cnt, r.check_rc) for k, r in got.items()} == {
+        "days": (4, 0),
+        "pair": (6, 0),
+        "parts": (5, 0),
+    }
+    saved = {k: v for k, v in got["parts"].env_vars.items() if "_partition_" in k}
+    assert saved == {"hapinsp_partition_0": "2", "hapinsp_partition_1": "1", "hapinsp_partition_2": "2"}
 
 
 def test_repeating_a_run_adds_nothing(spark, registry, table, tmp_path):

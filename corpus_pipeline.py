@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.llm import curve_packing, fm_decontam, heavy_dedup, jaccard_join, language_crf
 from tablewarden.llm.common import fold, stored
-from tablewarden.llm.queries import default_tokenizer
+from tablewarden.llm.queries import default_ranks, default_tokenizer
 from tablewarden.sources.tables import read_table
 
 #: A document stays if its language holds at least this share of its words.
@@ -70,7 +70,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences: the pieces of documents, with their token ids, in order of the curve."""
-    return curve_packing.pack(docs, default_tokenizer(), with_ids=True)
+    return curve_packing.pack(docs, default_tokenizer(), with_ids=True, ranks=default_ranks())
 
 
 STAGES = [

@@ -11,6 +11,8 @@ Repeated rows are packed each. An empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import base64
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from tablewarden.llm.common import stored
 from tablewarden.llm.words import column, slices
 
-#: Entries of the table of known stretches of text, per Python worker (about 100 MB).
-KNOWN = 400_000
+#: Bytes of text that are encoded together.
+CHUNK_BYTES = 2_000_000
+#: Up to here (the Latin blocks) both encoders' tables of letters and spaces are the same.
+PLAIN = "\u0250"
 #: Size of the hashed vectors, number of dimensions, bits of each.
 VECTOR, DIMENSIONS, BITS = 1024, 4, 12
 
@@ -33,55 +37,46 @@ VECTOR, DIMENSIONS, BITS = 1024, 4, 12
 class Encoder:
     """Token ids of texts by a ``tokenizers`` file, as packed bytes.
 
-    Byte-level pre-tokens never span a lone space before a word, so a text is cut there and each distinct
-    stretch is encoded once. Texts with white space next to a cut, or with a special token, are encoded whole.
+    ``ranks``, if given, is the same vocabulary as a tiktoken file, and the pattern of its pre-tokens: plain
+    texts get the same ids from it several times faster. Texts with other letters or with the string of a
+    special token go through ``tokenizers``, and all do where the two disagree on a trial text.
     """
 
-    def __init__(self, path: str):
+    TRIAL = "It's a trial, isn't it?  Größe\u00a0élan 12,345\n\n\tÑandú (x_y) ... \r\n end "
+
+    def __init__(self, path: str, ranks: tuple[str, str] | None = None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = [t.content for t in added]
-        self.known: dict[str, bytes | None] = {}
-
-    def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
-
-    def learn(self, stretches: set[str]) -> None:
-        if len(self.known) + len(stretches) > KNOWN:
-            self.known = {}
-        sound = [s for s in stretches if s and not s[0].isspace() and not s[-1].isspace()]
-        for s in stretches:
-            self.known[s] = None
-        for s, e in zip(sound, self.tokenizer.encode_batch_fast([f" {s}" for s in sound], add_special_tokens=False), strict=True):
-            self.known[s] = self.packed(e.ids)
-
-    def whole(self, text: str) -> bytes:
-        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        new = {s for p in parts for s in p[1:]}
-        if any(s not in self.known for s in new):
-            fresh = {s for s in new if s not in self.known}
-            if len(self.known) + len(fresh) > KNOWN:
-                fresh = new
-            self.learn(fresh)
-        out = []
-        for text, (head, *rest) in zip(texts, parts, strict=True):
-            if any(s in text for s in self.special) or not head or head[-1].isspace():
-                out.append(self.whole(text))
-                continue
-            found = [self.known[s] for s in rest]
-            out.append(self.whole(text) if None in found else self.whole(head) + b"".join(found))
-        return out
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = None
+        if ranks is not None:
+            import tiktoken
+
+            with open(ranks[0], "rb") as lines:
+                table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            fast = tiktoken.Encoding("plain", pat_str=ranks[1], mergeable_ranks=table, special_tokens={})
+            if fast.encode_ordinary(self.TRIAL) == self.whole(self.TRIAL):
+                self.fast = fast
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def packed(self, ids) -> bytes:
+        return np.asarray(ids, dtype=self.dtype).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        plain = self.fast is not None and (text.isascii() or max(text) < PLAIN)
+        if plain and not any(s in text for s in self.special):
+            return self.packed(self.fast.encode_to_numpy(text))
+        return self.packed(self.whole(text))
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, ranks: tuple[str, str] | None = None) -> Encoder:
+    return Encoder(path, ranks)
 
 
 @lru_cache(maxsize=1)
@@ -136,17 +131,19 @@ def hilbert_keys(cell: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def tokenised(docs: DataFrame, tokenizer_path: str, closing: int, text: str) -> DataFrame:
+def tokenised(
+    docs: DataFrame, tokenizer_path: str, ranks: tuple[str, str] | None, closing: int, text: str
+) -> DataFrame:
     """Adds ``_ids`` (packed), ``_width`` (bytes of an id), ``_n`` and ``_curve`` to the other columns."""
     others = [c for c in docs.columns if c != text]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(tokenizer_path)
+        tool = encoder(tokenizer_path, ranks)
         end = tool.packed([closing])
         for batch in batches:
             texts = column(batch, text)
-            for a, b in slices(texts):
-                packed = [ids + end for ids in tool.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])]
+            for a, b in slices(texts, CHUNK_BYTES):
+                packed = [tool.encode(t or "") + end for t in texts.slice(a, b - a).to_pylist()]
                 arrays = [np.frombuffer(p, tool.dtype) for p in packed]
                 curve = hilbert_keys(cells(projections(arrays)))
                 yield pa.RecordBatch.from_arrays(
@@ -216,9 +213,14 @@ def pieces(rows: DataFrame, key: str, length: int, with_ids: bool) -> DataFrame:
 
 def pack(
     docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", length: int = 1024,
-    closing: int = 0, with_ids: bool = False,
+    closing: int = 0, with_ids: bool = False, ranks: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """One row per piece of a document: key, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
+    """One row per piece of a document: key, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
+
+    ``ranks`` (a tiktoken file of the same vocabulary and its pattern) only makes it faster.
+    """
     given = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
-    rows = stored(tokenised(given, tokenizer_path, closing, "_text").withColumn("_row", F.monotonically_increasing_id()))
+    rows = stored(
+        tokenised(given, tokenizer_path, ranks, closing, "_text").withColumn("_row", F.monotonically_increasing_id())
+    )
     return pieces(rows.drop("_curve").join(places(rows), "_row"), key, length, with_ids)

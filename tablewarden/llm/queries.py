@@ -98,9 +98,9 @@ def op9_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def op1_hilbert_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, "documents", directory=sf_dir).select("doc_id", "text")
-    return curve_packing.pack(docs, tokenizer_path or default_tokenizer())
+    return curve_packing.pack(docs, default_tokenizer(), ranks=default_ranks())
 
 
 def default_tokenizer() -> str:
@@ -109,6 +109,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def default_ranks() -> tuple[str, str]:
+    """The same vocabulary as a tiktoken file, and its pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 @query
 def op6_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, "documents", directory=sf_dir).select("doc_id", "text")

@@ -29,12 +29,13 @@ from tablewarden.llm.common import stored, text_or_empty
 #: Words of a passage.
 WINDOW = 35
 #: Bytes of documents in a shard.
-SHARD_BYTES = 6_000_000
+SHARD_BYTES = 4_000_000
 #: Code points a word can be given, without surrogates.
 SYMBOLS = 0x110000 - 0x800 - 1
 
 ASKED = "bucket int, k1 array<long>, k2 array<long>, counts array<int>, hashes array<long>, repeated array<long>, known array<binary>"
-FLAGS = "k1 long, k2 long, bucket int, bits binary"
+ANSWERED = "slice int, bucket int, k1 array<long>, k2 array<long>, bits array<binary>"
+FLAGS = "k1 long, k2 long, _flags array<struct<bucket:int,bits:binary>>"
 #: Stands for the bucket of what a batch found out by itself.
 OWN = -1
 
@@ -122,7 +123,7 @@ def ask(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     return docs.select("k1", "k2", "_text").mapInArrow(run, ASKED)
 
 
-def answer(table: pa.Table) -> pa.Table:
+def answer(table: pa.Table, buckets: int) -> pa.Table:
     """For one bucket: of each document that asked, a bit per hash that also occurs elsewhere."""
     bucket = table["bucket"][0].as_py()
     asked = np.asarray(table["known"].combine_chunks().value_lengths()) == 0
@@ -146,16 +147,49 @@ def answer(table: pa.Table) -> pa.Table:
     own1, n = exchange.flat(own["k1"])
     own2, _ = exchange.flat(own["k2"])
     known = [b for row in own["known"].to_pylist() for b in row]
+    parts = [(bucket, k1[hit], k2[hit], bits), (OWN, own1, own2, known)]
+    return pa.concat_tables([packed_answers(*part, buckets) for part in parts])
+
+
+def packed_answers(bucket: int, k1: np.ndarray, k2: np.ndarray, bits: list[bytes], slices: int) -> pa.Table:
+    """Answers in a row per slice of the documents."""
+    to = exchange.bucket_of(k1.astype(np.int64).view(np.uint64), slices)
+    order = np.argsort(to, kind="stable")
+    used, heads = np.unique(to[order], return_index=True)
+    ends = np.append(heads, len(order)) if len(used) else np.zeros(1, np.int64)
+    values = pa.array(bits, pa.binary()).take(pa.array(order, pa.int64()))
     return pa.table(
         {
-            "k1": np.concatenate([k1[hit], own1]).astype(np.int64),
-            "k2": np.concatenate([k2[hit], own2]).astype(np.int64),
-            "bucket": pa.array([bucket] * len(hit) + [OWN] * len(own1), pa.int32()),
-            "bits": pa.array(bits + known, pa.binary()),
+            "slice": pa.array(used, pa.int32()),
+            "bucket": pa.array(np.full(len(used), bucket), pa.int32()),
+            "k1": exchange.lists(k1[order], ends, pa.int64()),
+            "k2": exchange.lists(k2[order], ends, pa.int64()),
+            "bits": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
         }
     )
 
 
+def by_text(table: pa.Table) -> pa.Table:
+    """For one slice of the documents: all answers to a text in one row."""
+    k1, n = exchange.flat(table["k1"])
+    k2, _ = exchange.flat(table["k2"])
+    bucket = np.repeat(np.asarray(table["bucket"]), n)
+    bits = pa.concat_arrays([c.flatten() for c in table["bits"].chunks])
+    order = np.lexsort((bucket, k2, k1))
+    k1, k2 = k1[order], k2[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+    heads = np.flatnonzero(fresh)
+    kind = [pa.field("bucket", pa.int32()), pa.field("bits", pa.binary())]
+    answers = pa.StructArray.from_arrays(
+        [pa.array(bucket[order], pa.int32()), bits.take(pa.array(order, pa.int64()))], fields=kind
+    )
+    ends = pa.array(np.append(heads, len(order)), pa.int32())
+    return pa.table(
+        {"k1": k1[heads], "k2": k2[heads], "_flags": pa.ListArray.from_arrays(ends, answers)}
+    )
+
+
 def confirmed(part: words.Words, copied: list, flags: list, window: int, buckets: int) -> np.ndarray:
     """Truth per word: a window that recurs starts there."""
     values, valid = windows_of(part, window)
@@ -258,10 +292,9 @@ def substring_dedup(
     given = given.withColumns({"k1": F.xxhash64("_text"), "k2": F.xxhash64(F.lit("second"), "_text")})
     buckets = buckets or exchange.buckets_for(given, "_text")
     copied = stored(given.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"))
-    asked = ask(given, window, buckets).groupBy("bucket").applyInArrow(answer, FLAGS)
-    flags = stored(asked).join(copied, ["k1", "k2"], "left_anti")
-    flags = flags.groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "bits")).alias("_flags"))
-    # at most one row per bucket for a text that occurs once, none for others
+    answers = ask(given, window, buckets).groupBy("bucket").applyInArrow(lambda t: answer(t, buckets), ANSWERED)
+    flags = stored(answers.groupBy("slice").applyInArrow(by_text, FLAGS))  # a row per text
+    flags = flags.join(copied, ["k1", "k2"], "left_anti")
     marks = flags.withColumn("_copied", F.lit(False)).unionByName(
         copied.withColumn("_copied", F.lit(True)), allowMissingColumns=True
     )

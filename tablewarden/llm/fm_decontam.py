@@ -297,8 +297,8 @@ def find_contamination(
 
 
 def cut(text, spans):
-    """The text without its spans."""
+    """The text without its spans; NULL stays NULL."""
     ends = F.concat(F.transform(spans, lambda s: s["begin"]), F.array(F.length(text)))
     begins = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
     kept = F.zip_with(begins, ends, lambda b, e: F.substr(text, b + 1, e - b))
-    return F.array_join(kept, "")
+    return F.when(text.isNotNull(), F.array_join(kept, ""))

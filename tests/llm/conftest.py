@@ -1,8 +1,7 @@
 import random
 
 import pytest
-
-SCHEMA = "doc_id long, text string"
+from brute import SCHEMA
 
 
 def prose(rng, n, words):

@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import SCHEMA
+from brute import SCHEMA
 from pyspark.sql import functions as F
 
 from tablewarden.llm import chain_crf, language_crf, nb_svm, queries, toxic_spans, url_trees, words

@@ -3,7 +3,7 @@
 import brute
 import numpy as np
 import pytest
-from conftest import SCHEMA
+from brute import SCHEMA
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -9,10 +9,10 @@
    selective keys; large sets scan the inverted lists of single ones (``c`` = 1). The boundary is the size at
    which the two costs add up to the least.
 4. In each list a leader stands for those of like size: members are verified against it exactly, and the links
-   found merge sets into components. Only where a list still holds several components are their members paired
-   across components, and verified unless sizes, places or the distances to the leader (Jaccard distance is a
-   metric) rule a link out. So a group of near copies costs a comparison per member and list, not all pairs,
-   and no link between components is lost.
+   found merge sets into components. Sets that share lists at all form clusters. Where a cluster still holds
+   several components, the sets outside its largest one scan the inverted lists of the whole cluster, block by
+   block, and count their overlaps exactly. So a group of near copies costs a comparison per member and list
+   and a scan for those that stay outside, no pair is written down that is no link, and none is lost.
 
 Defined results: NULL or empty text, or white space only, has an empty set and is linked with nothing. A text of
 fewer words than a shingle has one shingle, its whole word sequence. Repeated rows are linked (with an empty set:
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm import exchange, words
@@ -37,6 +37,8 @@ from tablewarden.llm.components import components
 SHINGLE, LEAST = 5, 75
 #: Sets whose sizes differ by less than this factor share a leader in a list.
 CLASS = 1.15
+#: Sets of a block when outsiders scan a cluster, and the tasks that clusters of one block share.
+BLOCK, SMALL_CLUSTER_TASKS = 256, 4096
 #: Cost of an entry of an inverted list against that of a listed subset.
 ENTRY = 4.0
 
@@ -44,7 +46,11 @@ SHRED = (
     "bucket int, key long, th long, n long, a long, b long, known array<long>,"
     " heads_a array<long>, heads_b array<long>, counts array<int>, hashes array<long>, repeated array<long>"
 )
-ANSWER = "key long, th long, n long, a long, b long, row boolean, found array<long>"
+ANSWER = (
+    "key long, th long, n long, a long, b long, row boolean, found array<long>,"
+    " slice int, sets_a array<long>, sets_b array<long>, counts array<int>"
+)
+FOUND = "a long, b long, found array<long>"
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +150,7 @@ def shred(docs: DataFrame, size: int, buckets: int) -> DataFrame:
     return docs.select("key", "th", "_text").mapInArrow(run, SHRED)
 
 
-def answer(table: pa.Table) -> pa.Table:
+def answer(table: pa.Table, buckets: int) -> pa.Table:
     """For one bucket: rows of documents as they are, and of each set its hashes that another set has too."""
     is_row = np.asarray(table["n"].combine_chunks().is_valid())
     rows, table = table.filter(pa.array(is_row)), table.filter(pa.array(~is_row))
@@ -165,23 +171,52 @@ def answer(table: pa.Table) -> pa.Table:
     group = np.diff(np.append(heads, len(hashes)))
     found = np.repeat(group > 1, group) | np.isin(hashes, repeated)
     hashes, owner = hashes[found], owner[found]
+    # answers in a row per slice of the sets
+    to = exchange.bucket_of(distinct[:, 0].view(np.uint64), buckets)[owner] if len(owner) else owner
+    order = np.lexsort((owner, to))
+    hashes, owner, to = hashes[order], owner[order], to[order]
+    fresh = np.flatnonzero(np.diff(owner, prepend=-1)) if len(owner) else np.zeros(0, np.int64)
+    sizes, who = np.diff(np.append(fresh, len(owner))), owner[fresh]
+    used, first = np.unique(to, return_index=True)
+    ends = np.append(first, len(to)) if len(used) else np.zeros(1, np.int64)
+    heads = np.searchsorted(fresh, ends)
+    size = len(used)
+    columns = {
+        "a": pa.nulls(size, pa.int64()),
+        "row": pa.array(np.zeros(size, bool)),
+        "found": exchange.lists(hashes, ends, pa.int64()),
+        "slice": pa.array(used, pa.int32()),
+        "sets_a": exchange.lists(distinct[who, 0] if size else [], heads, pa.int64()),
+        "sets_b": exchange.lists(distinct[who, 1] if size else [], heads, pa.int64()),
+        "counts": exchange.lists(sizes, heads, pa.int32()),
+    }
+    order = ["key", "th", "n", "a", "b", "row", "found", "slice", "sets_a", "sets_b", "counts"]
+    told = pa.table([columns.get(c, columns["a"]) for c in order], names=order)
+    given = {c: rows[c] for c in ("key", "th", "n", "a", "b")}
+    given |= {"row": pa.array(np.ones(len(rows), bool)), "found": rows["known"]}
+    kept = pa.table(
+        [given[c] if c in given else pa.nulls(len(rows), told.schema.field(c).type) for c in order], names=order
+    )
+    return pa.concat_tables([kept.cast(told.schema), told])
+
+
+def by_set(table: pa.Table) -> pa.Table:
+    """For one slice of the sets: all recurring hashes of a set in one row."""
+    found, _ = exchange.flat(table["found"])
+    a, _ = exchange.flat(table["sets_a"])
+    b, _ = exchange.flat(table["sets_b"])
+    counts, _ = exchange.flat(table["counts"])
+    distinct, number = np.unique(np.column_stack([a, b]), axis=0, return_inverse=True)
+    owner = np.repeat(number.ravel(), counts)
     order = np.argsort(owner, kind="stable")
-    hashes, owner = hashes[order], owner[order]
-    who = np.unique(owner)
-    ends = np.append(np.searchsorted(owner, who), len(owner))
-    size = len(who)
-    empty = pa.nulls(size, pa.int64())
-    told = pa.table(
+    ends = np.searchsorted(owner[order], np.arange(len(distinct) + 1))
+    return pa.table(
         {
-            "key": empty, "th": empty, "n": empty,
-            "a": pa.array(distinct[who, 0] if size else [], pa.int64()),
-            "b": pa.array(distinct[who, 1] if size else [], pa.int64()),
-            "row": pa.array(np.zeros(size, bool)),
-            "found": exchange.lists(hashes, ends, pa.int64()),
+            "a": pa.array(distinct[:, 0], pa.int64()),
+            "b": pa.array(distinct[:, 1], pa.int64()),
+            "found": exchange.lists(found[order], ends, pa.int64()),
         }
-    )
-    kept = rows.select(["key", "th", "n", "a", "b"]).append_column("row", pa.array(np.ones(len(rows), bool)))
-    return pa.concat_tables([kept.append_column("found", rows["known"]).cast(told.schema), told])
+    )
 
 
 def least_overlap(n: Column) -> Column:
@@ -192,7 +227,10 @@ def least_overlap(n: Column) -> Column:
 def recurring_sets(told: DataFrame) -> DataFrame:
     """Sets that can have links: s, a, b, n, r and ``top``, their recurring shingles, rarest first."""
     sizes = told.where("row").groupBy("a", "b").agg(F.max("n").alias("n"))
-    parts = told.where(F.size("found") > 0).select("a", "b", "found")
+    answers = told.where("not row").select("slice", "sets_a", "sets_b", "counts", "found")
+    answers = answers.groupBy("slice").applyInArrow(by_set, FOUND)
+    known = told.where(F.col("row") & (F.size("found") > 0)).select("a", "b", "found")
+    parts = stored(answers.unionByName(known))
     enough = F.col("r") * 100 >= F.col("n") * LEAST
     some = parts.groupBy("a", "b").agg(F.sum(F.size("found")).alias("r")).join(sizes, ["a", "b"]).where(enough)
     held = parts.join(some.select("a", "b", "n"), ["a", "b"])
@@ -230,7 +268,7 @@ def boundary(sets: DataFrame) -> int:
 
 
 def keys_of(sets: DataFrame, x: int) -> DataFrame:
-    """Entries of the lists: k1, k2 (two shingles of a small set, or one of a large set and -1), s, n, at, large.
+    """Entries of the lists: k (of two shingles of a small set, or one of a large one), s, n, at, size_class.
 
     ``at`` is the place of the (first) shingle in the whole set. Sets that a large one can be linked with are
     entered in the lists of single shingles as well.
@@ -257,9 +295,8 @@ def keys_of(sets: DataFrame, x: int) -> DataFrame:
     both = small.unionByName(large)
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(CLASS)))).cast("int")
     return both.select(
-        F.xxhash64("e.k1", "e.k2").alias("k"), "s", "n", F.col("e.at").alias("at"), size_class.alias("size_class"),
-        (F.col("n") > x).alias("large"), F.col("e.k2").isNull().alias("list"),
-    )
+        F.xxhash64("e.k1", "e.k2").alias("k"), "s", "n", F.col("e.at").alias("at"), size_class.alias("size_class")
+    )
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -275,54 +312,127 @@ def linked() -> Column:
     return F.col("inter") * 100 >= (F.col("na") + F.col("nb") - F.col("inter")) * LEAST
 
 
+def fits(n: Column, at: Column, other_n: Column, other_at: Column) -> Column:
+    """Whether two sets can be linked whose first shared shingle stands at these places."""
+    after = F.least(n - at, other_n - other_at)
+    near = F.least(n, other_n) * 100 >= F.greatest(n, other_n) * LEAST
+    return near & (after * (100 + LEAST) >= (n + other_n) * LEAST)
+
+
+def clusters_of(entries: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Sets that share a list with others of like size, as ``node`` and ``label``.
+
+    Nothing is compared here: whatever might be linked is in one cluster. The leaders of a list are tied where
+    their size classes are near enough for a link.
+    """
+    own = entries.join(leaders, ["k", "size_class"]).select(F.col("s").alias("a"), F.col("leader").alias("b"))
+    reach = int(np.ceil(np.log(100 / LEAST) / np.log(CLASS)))
+    other = leaders.select("k", F.col("size_class").alias("class2"), F.col("leader").alias("leader2"))
+    tied = leaders.join(other, "k").where((F.col("class2") > F.col("size_class")) & (F.col("class2") <= F.col("size_class") + reach))
+    return components(own.unionByName(tied.select(F.col("leader").alias("a"), F.col("leader2").alias("b"))).distinct())
+
+
+def scan_blocks(table: pa.Table) -> pa.Table:
+    """Scans the inverted lists of each block for its outsiders; links that merge components come back."""
+    column = {c: np.asarray(table[c]) for c in ("cluster", "bi", "bo", "scans", "s", "n", "c")}
+    values, counts = exchange.flat(table["hs"])
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    order = np.lexsort((column["bo"], column["bi"], column["cluster"]))
+    keys = [column[c][order] for c in ("cluster", "bi", "bo")]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    links: list[tuple[int, int]] = []
+    for rows in np.split(order, np.flatnonzero(fresh)[1:]):
+        scans = column["scans"][rows]
+        links += block_links(rows[scans], rows[~scans], column, values, ends)
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def block_links(scanners, members, column: dict, values: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Links between outsiders and members, as many as it takes to merge what they connect."""
+    if not len(scanners) or not len(members):
+        return []
+    size = ends[members + 1] - ends[members]
+    at = np.repeat(ends[members], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    order = np.argsort(values[at], kind="stable")
+    lists, owners = values[at][order], np.repeat(np.arange(len(members)), size)[order]
+    n, c, s = column["n"], column["c"], column["s"]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for row in scanners:
+        own = values[ends[row] : ends[row + 1]]
+        low, high = np.searchsorted(lists, own, "left"), np.searchsorted(lists, own, "right")
+        length = high - low
+        found = np.repeat(low, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        inter = np.bincount(owners[found], minlength=len(members))
+        near = inter * 100 >= (n[row] + n[members] - inter) * LEAST
+        for i in np.flatnonzero(near & (c[members] != c[row])):
+            x, y = root(int(c[row])), root(int(c[members[i]]))
+            if x != y:
+                parent[x] = y
+                out.append((int(s[row]), int(s[members[i]])))
+    return out
+
+
+def links_between(clusters: DataFrame, labels: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Links that merge components of one cluster: all but its largest component scan all its sets.
+
+    Sets go to blocks of about ``block``; each block of outsiders meets each block of sets in a task of its
+    own, so no task holds more than two blocks, and no pair is written down that is no link.
+    """
+    marked = clusters.select(F.col("node").alias("s"), F.col("label").alias("cluster")).join(
+        labels.select(F.col("node").alias("s"), F.col("label").alias("c")), "s", "left"
+    )
+    marked = stored(marked.withColumn("c", F.coalesce("c", "s")))
+    sizes = marked.groupBy("cluster", "c").agg(F.count("*").alias("m"))
+    total = sizes.groupBy("cluster").agg(
+        F.sum("m").alias("m"), F.max("m").alias("most"), F.max_by("c", F.col("m").cast("decimal(20,0)") * 10**18 + F.col("c")).alias("main")
+    )
+    total = total.where("most < m").select(
+        "cluster", "main", F.ceil(F.col("m") / block).alias("ni"), F.ceil((F.col("m") - F.col("most")) / block).alias("no")
+    )
+    rows = marked.join(total, "cluster").join(
+        sets.select("s", "n", F.transform("top", lambda e: e["h"]).alias("hs")), "s"
+    )
+    mine = rows.withColumns({"bi": F.pmod(F.xxhash64("s"), F.col("ni")), "bo": F.pmod(F.xxhash64(F.lit("outside"), "s"), F.col("no"))})
+    scanners = mine.where("c <> main").withColumn("bi", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1)))
+    members = mine.withColumn("bo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("no") - 1)))
+    both = scanners.withColumn("scans", F.lit(True)).unionByName(members.withColumn("scans", F.lit(False)))
+    # small clusters share tasks
+    together = F.pmod(F.xxhash64("cluster"), F.lit(SMALL_CLUSTER_TASKS))
+    unit = F.when((F.col("ni") == 1) & (F.col("no") == 1), together).otherwise(F.xxhash64("cluster", "bi", "bo"))
+    given = both.select(unit.alias("unit"), "cluster", "bi", "bo", "scans", "s", "n", "c", "hs")
+    return given.groupBy("unit").applyInArrow(scan_blocks, "a long, b long")
+
+
 def links_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified links ``a``, ``b`` that connect all linked sets, and the components of them."""
-    x = boundary(sets)
-    entries = stored(keys_of(sets, x))
+    entries = stored(keys_of(sets, boundary(sets)))
     lists = entries.groupBy("k").agg(F.count("*").alias("members")).where("members > 1")
     entries = stored(entries.join(lists.select("k"), "k", "left_semi"))
-    by_size = F.min(F.struct("n", "s"))
-    leaders = entries.groupBy("k", "size_class").agg(by_size.alias("first")).select(
-        "k", "size_class", F.col("first.s").alias("leader"), F.col("first.n").alias("leader_n")
+    first = F.min(F.struct("n", "s", "at"))
+    leaders = stored(
+        entries.groupBy("k", "size_class").agg(first.alias("f")).select(
+            "k", "size_class", F.col("f.s").alias("leader"), F.col("f.n").alias("leader_n"), F.col("f.at").alias("leader_at")
+        )
     )
-    led = entries.join(leaders, ["k", "size_class"])
-    star = led.where("s <> leader").select(
+    led = entries.join(leaders, ["k", "size_class"]).where("s <> leader")
+    before = F.col("s") < F.col("leader")
+    star = led.where(fits(F.col("n"), F.col("at"), F.col("leader_n"), F.col("leader_at"))).select(
         F.least("s", "leader").alias("a"), F.greatest("s", "leader").alias("b"),
-        F.when(F.col("s") < F.col("leader"), F.col("n")).otherwise(F.col("leader_n")).alias("na"),
-        F.when(F.col("s") < F.col("leader"), F.col("leader_n")).otherwise(F.col("n")).alias("nb"),
+        F.when(before, F.col("n")).otherwise(F.col("leader_n")).alias("na"),
+        F.when(before, F.col("leader_n")).otherwise(F.col("n")).alias("nb"),
     )
-    seen = stored(verified(star.distinct(), sets))
-    found = seen.where(linked()).select("a", "b")
+    found = stored(verified(star.distinct(), sets).where(linked()).select("a", "b"))
     labels = components(found)
-
-    # lists that still hold several components: pairs across them, unless a bound rules them out
-    marked = entries.join(labels, entries["s"] == labels["node"], "left").withColumn("c", F.coalesce("label", "s"))
-    mixed = marked.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    distance = seen.select("a", "b", (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d"))
-    distance = distance.unionByName(distance.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    far = leaders.join(mixed.select("k"), "k", "left_semi")
-    open_ = marked.drop("node", "label").join(mixed.select("k"), "k", "left_semi").join(far, ["k", "size_class"])
-    open_ = open_.join(
-        distance.select(F.col("a").alias("s"), F.col("b").alias("leader"), "d"), ["s", "leader"], "left"
-    ).withColumn("d", F.when(F.col("s") == F.col("leader"), 0.0).otherwise(F.col("d")))
-    open_ = stored(open_.select("k", "s", "n", "at", "c", "large", "list", "leader", "d"))
-    one, two = open_.alias("one"), open_.alias("two")
-    a, b = (lambda c: F.col(f"one.{c}")), (lambda c: F.col(f"two.{c}"))
-    most = F.least(a("n") - a("at"), b("n") - b("at"))  # shingles from the shared one on
-    apart = F.abs(a("d") - b("d")) > 1 - LEAST / 100 + 1e-9
-    pairs = one.join(
-        two,
-        (a("k") == b("k")) & (a("s") < b("s")) & (a("c") != b("c")) & (~a("list") | a("large") | b("large"))
-        & (F.least(a("n"), b("n")) * 100 >= F.greatest(a("n"), b("n")) * LEAST)
-        & ~((a("leader") == b("leader")) & F.coalesce(apart, F.lit(False))),
-    )
-    pairs = pairs.groupBy(a("s").alias("a"), b("s").alias("b"), a("n").alias("na"), b("n").alias("nb")).agg(
-        F.max(most).alias("most")
-    )
-    # the rarest shared shingle has the most after it, so this bounds the whole overlap
-    pairs = pairs.where(F.col("most") * (100 + LEAST) >= (F.col("na") + F.col("nb")) * LEAST).drop("most")
-    pairs = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
-    more = stored(verified(pairs, sets).where(linked()).select("a", "b"))
+    more = stored(links_between(clusters_of(entries, leaders), labels, sets, BLOCK))
     if more.limit(1).count():
         found = stored(found.unionByName(more))
         labels = components(found)
@@ -336,7 +446,7 @@ def jaccard_components(
     body = text_or_empty(text)
     given = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(body).alias("th"), body.alias("_text"))
     buckets = buckets or exchange.buckets_for(given, "_text")
-    told = stored(shred(given, shingle, buckets).groupBy("bucket").applyInArrow(answer, ANSWER))
+    told = stored(shred(given, shingle, buckets).groupBy("bucket").applyInArrow(lambda t: answer(t, buckets), ANSWER))
     sets = recurring_sets(told)
     _, labels = links_of(sets)
     names = sets.select(F.col("s").alias("label"), F.col("a").alias("ga"), F.col("b").alias("gb"))

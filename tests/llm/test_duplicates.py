@@ -4,7 +4,7 @@ import brute
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import SCHEMA
+from brute import SCHEMA
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -91,6 +91,19 @@ def test_no_link_is_lost_at_any_boundary(spark, frame, corpus, monkeypatch):
         assert tuples(got, "doc_id", "n_shingles", "component_id") == expected
 
 
+def test_no_link_is_lost_in_small_blocks(spark, frame, corpus, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    base = [f"b{i}" for i in range(60)]
+    rows = list(corpus)
+    for i in range(40):  # near copies on the border of a link: changed words cost five shingles each
+        copy = list(base)
+        for j in range(i % 4):
+            copy[(i * 7 + j * 19) % 60] = f"x{i}-{j}"
+        rows.append((700 + i, " ".join(copy)))
+    got = jaccard_join.jaccard_components(frame(rows))
+    assert tuples(got, "doc_id", "n_shingles", "component_id") == ordered(brute.near(rows))
+
+
 def test_near_dedup_keeps_one_of_each_component(frame, corpus):
     given = frame(corpus)
     out = jaccard_join.near_dedup(given)

@@ -68,16 +68,19 @@ class Chain:
 
     def marginals(self, words: Words) -> np.ndarray:
         """P(state | whole text) of each word."""
-        return forward_backward(self, self.emissions(feature_lists(words, len(self.weights)), len(words)), words.first)[0]
+        emissions = self.emissions(feature_lists(words, len(self.weights)), len(words))
+        return forward_backward(self, emissions, words.first, moves=False)[0]
 
 
-def forward_backward(chain: Chain, emissions: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of words, and the expected number of each move, for texts that start at ``first``."""
+def forward_backward(
+    chain: Chain, emissions: np.ndarray, first: np.ndarray, moves: bool = True
+) -> tuple[np.ndarray, np.ndarray | None]:
+    """Marginals of words, and (unless told not to) the expected number of each move, for texts that start at ``first``."""
     n, k = emissions.shape
     if not n:
         return np.zeros((0, k)), np.zeros((k, k))
     local = np.exp(emissions - emissions.max(axis=1, keepdims=True))
-    moves = np.exp(chain.moves - chain.moves.max())
+    move = np.exp(chain.moves - chain.moves.max())
     counts = np.diff(first)
     order = np.argsort(-counts, kind="stable")
     begin, counts = first[:-1][order], counts[order]
@@ -86,7 +89,7 @@ def forward_backward(chain: Chain, emissions: np.ndarray, first: np.ndarray) ->
     state = np.exp(chain.start - chain.start.max())
     for t, m in enumerate(alive):
         at = begin[:m] + t
-        state = (state[:m] @ moves if t else np.broadcast_to(state, (m, k))) * local[at]
+        state = (state[:m] @ move if t else np.broadcast_to(state, (m, k))) * local[at]
         state /= state.sum(axis=1, keepdims=True)
         ahead[at] = state
     state = np.ones((0, k))
@@ -95,14 +98,16 @@ def forward_backward(chain: Chain, emissions: np.ndarray, first: np.ndarray) ->
         grown = np.ones((alive[t], k))
         grown[: len(state)] = state
         behind[at] = grown
-        state = (grown * local[at]) @ moves.T
+        state = (grown * local[at]) @ move.T
         state /= state.sum(axis=1, keepdims=True)
     both = ahead * behind
     both /= both.sum(axis=1, keepdims=True)
+    if not moves:
+        return both, None
     later = np.ones(n, bool)
     later[begin[counts > 0]] = False
     later = np.flatnonzero(later)
-    joint = ahead[later - 1][:, :, None] * moves * (local[later] * behind[later])[:, None, :]
+    joint = ahead[later - 1][:, :, None] * move * (local[later] * behind[later])[:, None, :]
     joint /= joint.sum(axis=(1, 2), keepdims=True)
     return both, joint.sum(axis=0)
 
@@ -155,7 +160,7 @@ def fit(
     return chain
 
 
-def by_length(batch: pa.RecordBatch, name: str, limit: int = 3_000_000) -> Iterator[tuple[np.ndarray, pa.Array, Words]]:
+def by_length(batch: pa.RecordBatch, name: str, limit: int = 800_000) -> Iterator[tuple[np.ndarray, pa.Array, Words]]:
     """Stretches of a batch in order of length, so that long texts run side by side: row numbers, texts, words."""
     texts = column(batch, name)
     _, rows = raw(texts)

@@ -30,6 +30,8 @@ from tablewarden.llm.words import column, slices
 CHUNK_BYTES = 2_000_000
 #: Up to here (the Latin blocks) both encoders' tables of letters and spaces are the same.
 PLAIN = "\u0250"
+#: Documents that are cut together.
+PIECED = 1_000
 #: Size of the hashed vectors, number of dimensions, bits of each.
 VECTOR, DIMENSIONS, BITS = 1024, 4, 12
 
@@ -180,9 +182,7 @@ def pieces(rows: DataFrame, key: str, length: int, with_ids: bool) -> DataFrame:
     """Cuts rows of ``key``, ``_ids``, ``_width``, ``_n`` and ``_place`` at the ends of sequences."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (b.slice(at, PIECED) for b in batches for at in range(0, len(b), PIECED)):
             place, n = (np.asarray(column(batch, c)) for c in ("_place", "_n"))
             first = place // length
             count = (place + n - 1) // length - first + 1
@@ -192,19 +192,19 @@ def pieces(rows: DataFrame, key: str, length: int, with_ids: bool) -> DataFrame:
             stop = np.minimum((sequence + 1) * length, (place + n)[owner])
             start, size = begin - place[owner], stop - begin
             ids, width = column(batch, "_ids"), np.asarray(column(batch, "_width"))
-            sums, lists, held, wide = np.zeros(len(owner), np.int64), [], -1, np.zeros(0, "<u4")
+            sums, flat, held, wide = np.zeros(len(owner), np.int64), [], -1, np.zeros(0, "<u4")
             for i, d in enumerate(owner):
                 if d != held:
                     held, wide = d, np.frombuffer(ids[int(d)].as_buffer(), f"<u{width[d]}").astype("<u4")
-                some = wide[start[i] : start[i] + size[i]]
-                sums[i] = zlib.crc32(some)
-                if with_ids:
-                    lists.append(some.astype(np.int32))
+                    if with_ids:
+                        flat.append(wide.view("<i4"))
+                sums[i] = zlib.crc32(wide[start[i] : start[i] + size[i]])
             values = [start, size, sums, n[owner], sequence, begin - sequence * length]
             names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             columns = [column(batch, key).take(pa.array(owner)), *(pa.array(v, pa.int64()) for v in values)]
             if with_ids:
-                columns.append(pa.array(lists, pa.list_(pa.int32())))
+                ends = np.concatenate([[0], np.cumsum(size)])
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat))))
             yield pa.RecordBatch.from_arrays(columns, [*names, *["ids"] * with_ids])
 
     kind = rows.schema[key].dataType.simpleString()

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes whose values meet in one bucket (a task holds some hundred MB of arrays for them).
-BUCKET_BYTES = 20_000_000
+BUCKET_BYTES = 12_000_000
 #: Text bytes that are looked at together before values are sent.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 
 
 def buckets_for(docs: DataFrame, text: str) -> int:

@@ -161,9 +161,10 @@ def answer(table: pa.Table, buckets: int) -> pa.Table:
     counts, _ = exchange.flat(table["counts"])
     # one set may have asked from several batches: its number, and one question of each set and hash
     distinct, number = np.unique(np.column_stack([a, b]), axis=0, return_inverse=True)
-    owner = np.repeat(number.ravel(), counts)
+    owner = np.repeat(number.ravel().astype(np.int32), counts)
     order = np.lexsort((owner, hashes))
     hashes, owner = hashes[order], owner[order]
+    del order
     fresh = np.ones(len(hashes), bool)
     fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
     hashes, owner = hashes[fresh], owner[fresh]

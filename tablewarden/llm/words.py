@@ -129,7 +129,7 @@ def inner_starts(first: np.ndarray, n: int) -> np.ndarray:
     return np.arange(total - n + 1) + n <= last
 
 
-def slices(texts: pa.Array, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Cuts a column into stretches of about ``limit`` bytes (a longer text stands alone)."""
     _, rows = raw(texts)
     begin = 0

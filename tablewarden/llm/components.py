@@ -8,26 +8,27 @@ from pyspark.sql import functions as F
 from tablewarden.llm.common import stored
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node`` and ``label`` (the smallest node it reaches) for links ``a``, ``b``; nodes without links are left out.
 
-    Each round takes the smallest label among neighbours and then that label's own label, so chains shrink by
-    about half. Labels are written each round; only a count goes to the driver.
+    Each round takes every label to the smallest label that one of its members, or the node of that name, sees
+    among its neighbours, and from there one step further. So a region moves as a whole, chains of labels shrink
+    by more than half, and rounds go on until nothing moves: then neighbours agree. Labels are written each
+    round; only a count goes to the driver.
     """
     both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near, labels["node"] == near["a"]).select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
-        )
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = stored(
-            lower.join(jump, "label", "left").select(
-                "node", "old", F.least("label", F.coalesce("further", "label")).alias("label")
-            )
-        )
-        labels = moved.select("node", "label")
-        if not moved.where("old <> label").limit(1).count():
+        seen = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("low"))
+        # each node speaks for its label, and for itself where it is one
+        own = F.struct(F.col("label").alias("of"), F.lit(True).alias("used"))
+        itself = F.struct(F.col("node").alias("of"), F.lit(False).alias("used"))
+        told = seen.select(F.explode(F.array(own, itself)).alias("t"), "low")
+        hooks = told.groupBy("t.of").agg(F.min("low").alias("to"), F.max("t.used").alias("used"))
+        hooks = stored(hooks.where("used").select("of", "to"))
+        further = hooks.select(F.col("of").alias("to"), F.col("to").alias("further"))
+        ends = hooks.join(further, "to", "left").select(F.col("of").alias("label"), F.coalesce("further", "to").alias("end"))
+        if not hooks.where("of <> to").limit(1).count():
             return labels
-    raise RuntimeError(f"labels have not settled after {rounds} rounds")
+        labels = stored(labels.join(ends, "label").select("node", F.col("end").alias("label")))

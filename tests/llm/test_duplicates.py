@@ -182,6 +182,19 @@ def test_components_of_paths_and_stars(spark):
     assert got[205] == got[203] == got[204] == 203
 
 
+@pytest.mark.parametrize("order", ["random", "far", "zigzag"])
+def test_components_of_long_paths(spark, order):
+    n = 700
+    path = {
+        "random": np.random.Generator(np.random.PCG64(3)).permutation(n).tolist(),
+        "far": [0, *range(n - 1, 0, -1)],
+        "zigzag": [i // 2 if i % 2 else n - 1 - i // 2 for i in range(n)],
+    }[order]
+    links = [*zip(path, path[1:], strict=False), (n, n + 1)]
+    got = dict(tuples(components(spark.createDataFrame(links, "a long, b long")), "node", "label"))
+    assert got == {i: 0 for i in range(n)} | {n: n, n + 1: n}
+
+
 @pytest.mark.parametrize(
     "operator",
     [heavy_dedup.exact_groups, heavy_dedup.exact_dedup, jaccard_join.jaccard_components, jaccard_join.near_dedup,

@@ -440,10 +440,8 @@ def links_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, labels
 
 
-def jaccard_components(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, buckets: int | None = None
-) -> DataFrame:
-    """One row per row of ``docs``: key, n_shingles, component_id, and ``text_hash``, a hash of the text."""
+def grouped_rows(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE, buckets: int | None = None) -> DataFrame:
+    """One row per row of ``docs``: key, th (a hash of the text), n, and ``ga``, ``gb``, the label of its component."""
     body = text_or_empty(text)
     given = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(body).alias("th"), body.alias("_text"))
     buckets = buckets or exchange.buckets_for(given, "_text")
@@ -453,7 +451,14 @@ def jaccard_components(
     names = sets.select(F.col("s").alias("label"), F.col("a").alias("ga"), F.col("b").alias("gb"))
     merged = sets.select("s", "a", "b").join(labels.withColumnRenamed("node", "s"), "s").join(names, "label")
     rows = told.where("row").select("key", "th", "n", "a", "b").join(merged.select("a", "b", "ga", "gb"), ["a", "b"], "left")
-    rows = stored(rows.select("key", "th", "n", F.coalesce("ga", "a").alias("ga"), F.coalesce("gb", "b").alias("gb")))
+    return stored(rows.select("key", "th", "n", F.coalesce("ga", "a").alias("ga"), F.coalesce("gb", "b").alias("gb")))
+
+
+def jaccard_components(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, buckets: int | None = None
+) -> DataFrame:
+    """One row per row of ``docs``: key, n_shingles, component_id, and ``text_hash``, a hash of the text."""
+    rows = grouped_rows(docs, key, text, shingle, buckets)
     full = rows.where("n > 0")
     smallest = full.groupBy("ga", "gb").agg(F.min("key").alias("component_id"))
     out = full.join(smallest, ["ga", "gb"]).unionByName(rows.where("n = 0").withColumn("component_id", F.col("key")))
@@ -463,16 +468,18 @@ def jaccard_components(
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the one with the smallest key.
 
-    Rows without words all stay. Of repeats of the row that stays, one does; a component without any key that is
-    not NULL keeps the row with the smallest text hash.
+    Rows without words all stay. Components are told apart by their own labels, so those without any key, or with
+    the same smallest key, each keep a row; among rows of that key it is the one with the smallest text hash. Of
+    repeats of the row that stays, one does.
     """
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     safe = docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()])
     body = text_or_empty(names[text])
     safe = safe.withColumns({"_key": F.col(names[key]).cast("long"), "_th": F.xxhash64(body)})
-    groups = jaccard_components(safe, names[key], names[text]).where("n_shingles > 0")
-    first = F.min(F.struct(F.col(names[key]).isNull().alias("last"), F.col(names[key]).alias("k"), F.col("text_hash").alias("h")))
-    kept = groups.groupBy("component_id").agg(first.alias("f")).select(F.col("f.k").alias("k"), F.col("f.h").alias("h"))
+    groups = grouped_rows(safe, names[key], names[text]).where("n > 0")
+    first = F.min(F.struct(F.col("key").isNull().alias("last"), F.col("key").alias("k"), F.col("th").alias("h")))
+    # a text has one component, so key and text hash also name the row's component
+    kept = groups.groupBy("ga", "gb").agg(first.alias("f")).select(F.col("f.k").alias("k"), F.col("f.h").alias("h"))
     blank = F.btrim(body, F.lit(WHITE)) == ""
     worded = safe.where(~blank).join(kept, F.col("_key").eqNullSafe(F.col("k")) & (F.col("_th") == F.col("h")), "left_semi")
     once = worded.dropDuplicates(["_key", "_th"])

@@ -117,6 +117,25 @@ def test_near_dedup_keeps_one_of_each_component(frame, corpus):
     assert set(worded) <= expected and len(worded) == len({c for _, n, c in groups if n})
 
 
+def test_near_dedup_keeps_components_that_share_a_key_or_have_none(frame, corpus):
+    rows = [(None if i % 3 else k, t) for i, (k, t) in enumerate(corpus)]
+    rows += [(None, f"a lone text of its own number {i} without any key") for i in range(6)]
+    rows += [(1000, f"another lone text that holds {i} under one key") for i in range(4)]
+    roots = brute.near([(i, t) for i, (_, t) in enumerate(rows)])
+    members = {}
+    for row, (_, n, root) in zip(rows, roots, strict=True):
+        if n:
+            members.setdefault(root, []).append(row)
+    got = tuples(jaccard_join.near_dedup(frame(rows)), "doc_id", "text")
+    worded = [r for r in got if brute.spaced(r[1])]
+    assert len(got) - len(worded) == sum(not n for _, n, _ in roots)
+    component = {text: root for root, m in members.items() for _, text in m}
+    assert sorted(component[t] for _, t in worded) == sorted(members)
+    for key, text in worded:
+        group = members[component[text]]
+        assert (key, text) in group and brute.last(key) == min(brute.last(k) for k, _ in group)
+
+
 @pytest.mark.parametrize("buckets", [1, 5])
 def test_repeated_passages(frame, corpus, small_batches, buckets):
     got = phrase_automata.substring_dedup(frame(corpus), buckets=buckets)

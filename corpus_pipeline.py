@@ -16,9 +16,6 @@ from tablewarden.llm.common import fold, stored
 from tablewarden.llm.queries import default_ranks, default_tokenizer
 from tablewarden.sources.tables import read_table
 
-#: A document stays if its language holds at least this share of its words.
-LANGUAGE_SHARE = 0.5
-
 
 def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The columns under plain names, so that helper columns can't clash with them."""
@@ -27,17 +24,17 @@ def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: text without a letter and texts without a main language go.
+    """Documents in a known language: only text without a letter goes. Texts that mix languages stay.
 
-    Learns from the rows with a language whose fold is not held out. Where no row has a language nothing can be
-    told, and all rows with a letter stay.
+    Learns from the rows with a language whose fold is not held out. Where no row with a text has a language
+    nothing can be told, and all rows with a letter stay.
     """
     safe, names = renamed(docs)
     learn = fold(F.col(names["doc_id"]), 3) != 1
-    if not safe.where(learn & F.col(names["lang"]).isNotNull()).limit(1).count():
+    if not safe.where(learn & F.col(names["lang"]).isNotNull() & F.col(names["text"]).isNotNull()).limit(1).count():
         return docs.where(F.col("text").rlike(r"\p{L}"))
     said = language_crf.identify(safe, learn, names["text"], names["lang"], keep=tuple(names.values()))
-    kept = said.where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE))
+    kept = said.where(F.col("lang_pred") != language_crf.UNKNOWN)
     return kept.select([F.col(n).alias(c) for c, n in names.items()])
 
 

@@ -1,5 +1,7 @@
 """The pipeline's stages, each on odd input, and the whole against brute force."""
 
+import random
+
 import brute
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +75,25 @@ def test_stages_against_brute_force(spark, docs, sf_dir, corpus):
     assert total[0] > 0 and total[1] == len({k for k, _ in after if k is not None})
 
 
+def test_language_keeps_every_lettered_row(spark, sf_dir):
+    rng = random.Random(4)
+    speech = {x: [f"{x}{a}{b}" for a in "raten stolu ming leda".split() for b in "xa wi po".split()] for x in "bdfk"}
+    rows = [(i, " ".join(rng.choices(speech["bdfk"[i % 4]], k=60)), "bdfk"[i % 4], None, 1) for i in range(80)]
+    for i, mix in enumerate(("bd", "bdf", "bdfk", "fk", "kdb") * 4):
+        parts = [" ".join(rng.choices(speech[x], k=20)) for x in mix]
+        rows.append((100 + i, " ".join(parts), None, None, 1))
+    rows += [(200, None, "b", None, None), (201, "12 345 !", None, None, 8)]
+    given = spark.createDataFrame(rows, DOCS)
+    out = pipeline.language(spark, given, sf_dir)
+    assert sorted(r.doc_id for r in out.collect()) == [r[0] for r in rows[:100]]
+
+
+def test_languages_of_null_texts_teach_nothing(spark, docs, sf_dir):
+    bare = docs.withColumn("lang", F.when(F.col("text").isNull(), "aa"))
+    out = pipeline.language(spark, bare, sf_dir)
+    assert out.count() == bare.where(F.col("text").rlike(r"\p{L}")).count()
+
+
 def flagged(rows):
     best = {}
     for at, (key, text) in enumerate(rows):

@@ -43,9 +43,47 @@ def joined_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(labels, "_key")
 
 
-def sampled(df: DataFrame, text: str, rows: int, chars: int, most_rows: int, most_chars: int) -> DataFrame:
-    """About as many rows as the two bounds allow, chosen by a hash of the text: the same ones each time."""
-    share = min(1.0, most_rows / max(rows, 1), most_chars / max(chars, 1))
-    if share >= 1:
-        return df
-    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(text)), F.lit(1_000_000)) < int(share * 1_000_000))
+#: Rows of a class that a sample holds at least, if there are as many; where texts are too long for that, their starts.
+LEAST_ROWS = 20
+
+
+def sampled(df: DataFrame, bounds: dict) -> DataFrame:
+    """A sample of ``_text`` and ``_label`` with ``_weight``, the rows each one stands for; the same one each time.
+
+    ``bounds`` gives the most rows and characters for each label. Equal texts of a label are one row. Rows are taken
+    in order of a hash over their number of copies until a bound is met (priority sampling), so a large group of
+    copies is always in, once, and weighs its share of the rows.
+    """
+    spark, h = df.sparkSession, F.xxhash64(F.lit("sample"), "_text")
+    groups = df.groupBy("_label", h.alias("_h")).agg(
+        F.count("*").alias("n"), F.max(F.coalesce(F.length("_text"), F.lit(0))).alias("c")
+    )
+    rank = ((F.col("_h") / 2.0**64 + 0.5 + 2.0**-54) / F.col("n")).alias("rank")
+    groups = stored(groups.select("_label", "_h", "n", "c", rank))
+    chosen = []
+    for label, (rows, chars) in bounds.items():
+        first = groups.where(F.col("_label") == label).orderBy("rank", "_h").limit(rows + 1).collect()
+        chosen += [(label, *x) for x in taken([(r["_h"], r["n"], r["c"], r["rank"]) for r in first], rows, chars)]
+    kind = df.schema["_label"].dataType.simpleString()
+    keys = spark.createDataFrame(chosen, f"_label {kind}, _h long, _weight double, _most int")
+    found = df.select("_text", "_label", h.alias("_h")).join(F.broadcast(keys), ["_label", "_h"])
+    start = F.substr("_text", F.lit(1), F.col("_most"))
+    return found.dropDuplicates(["_label", "_h"]).select(start.alias("_text"), "_label", "_weight")
+
+
+def taken(first: list[tuple], rows: int, chars: int) -> list[tuple[int, float, int]]:
+    """Hash, weight and the most characters of the rows to take of (hash, copies, characters, rank) in order."""
+
+    def prefix(most: int) -> int:
+        total, k = 0, 0
+        while k < min(len(first), rows) and total + min(first[k][2], most) <= chars:
+            total, k = total + min(first[k][2], most), k + 1
+        return k
+
+    most = max(chars, 1)
+    k = prefix(most)
+    if k < min(LEAST_ROWS, len(first), rows):
+        most = max(chars // LEAST_ROWS, 1)
+        k = prefix(most)
+    least = 1 / first[k][3] if k < len(first) else 0.0
+    return [(h, float(max(n, least)), most) for h, n, _, _ in first[:k]]

@@ -6,7 +6,7 @@ features and transitions are then fitted together. Every text is labelled by for
 the one with the largest sum of marginals, and the score is that language's share of the words.
 
 Defined results: NULL text and text without a letter is ``und`` with score 0. Rows whose language is NULL teach
-nothing; without any known language all texts are ``und``; with one, it is that one. Repeated rows agree. An
+nothing, and equal texts of a language teach once; without any known language all texts are ``und``; with one, it is that one. Repeated rows agree. An
 empty table gives an empty result.
 """
 
@@ -54,15 +54,12 @@ def switched(part: words.Words, labels: np.ndarray, seed: int = 5, mean: int = 4
 
 def fit(known: DataFrame) -> tuple[list[str], chain_crf.Chain | None]:
     """Languages in order, and the chain. ``known`` has ``_text`` and ``_lang``."""
-    sizes = known.groupBy("_lang").agg(F.count("*").alias("n"), F.sum(F.length("_text")).alias("c")).collect()
-    languages = sorted(r["_lang"] for r in sizes)
+    languages = sorted(r["_lang"] for r in known.select("_lang").distinct().collect())
     if len(languages) < 2:
         return languages, None
     total = len(languages)
-    parts = [
-        sampled(known.where(F.col("_lang") == r["_lang"]), "_text", r["n"], r["c"] or 0, SAMPLE_ROWS, SAMPLE_CHARS) for r in sizes
-    ]
-    sample = sorted((r["_text"], r["_lang"]) for part in parts for r in part.select("_text", "_lang").collect())
+    part = sampled(known.withColumnRenamed("_lang", "_label"), {x: (SAMPLE_ROWS, SAMPLE_CHARS) for x in languages})
+    sample = sorted((r["_text"], r["_label"]) for r in part.collect())
     texts = pa.array([t for t, _ in sample], pa.string())
     labels = np.array([languages.index(x) for _, x in sample])
     dealt, y = switched(words.words_of(texts, words.LETTERED, fold=True), labels)

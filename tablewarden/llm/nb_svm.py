@@ -90,31 +90,37 @@ def class_counts(labelled: DataFrame) -> DataFrame:
 
 
 def feature_rows(labelled: DataFrame) -> DataFrame:
-    """Label and distinct buckets (as packed int32) of each row."""
+    """Label, weight and distinct buckets (as packed int32) of each row."""
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = words.column(batch, "_text")
-            labels = words.column(batch, "_label")
+            labels, weights = words.column(batch, "_label"), words.column(batch, "_weight")
             for a, b in words.slices(texts):
                 row, bucket = indicators(texts.slice(a, b - a))
                 ends = np.searchsorted(row, np.arange(b - a + 1))
                 packed = bucket.astype("<i4")
                 sets = [packed[ends[i] : ends[i + 1]].tobytes() for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays(
-                    [labels.slice(a, b - a), pa.array(sets, pa.binary())], ["_label", "buckets"]
+                    [labels.slice(a, b - a), weights.slice(a, b - a), pa.array(sets, pa.binary())], ["_label", "_weight", "buckets"]
                 )
 
-    return labelled.select("_text", "_label").mapInArrow(featurise, "_label int, buckets binary")
+    return labelled.select("_text", "_label", "_weight").mapInArrow(featurise, "_label int, _weight double, buckets binary")
 
 
-def hinge_dual(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: float, epochs: int) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the L2-regularised hinge loss; rows are unit-norm sparse vectors."""
+def hinge_dual(
+    rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: float, epochs: int, weight: np.ndarray | None = None
+) -> tuple[np.ndarray, float]:
+    """Dual coordinate descent for the L2-regularised hinge loss of weighted rows, unit-norm sparse vectors."""
     w, bias = np.zeros(BUCKETS), 0.0
     alpha, order = np.zeros(len(rows)), np.random.Generator(np.random.PCG64(1))
     # the bias is the weight of a feature that is always 1, so x.x = 2 (1 for a row without features)
     size = np.array([values @ values + 1.0 for _, values in rows])
-    upper = np.where(y > 0, c * len(y) / (2 * max((y > 0).sum(), 1)), c * len(y) / (2 * max((y < 0).sum(), 1)))
+    weight = np.ones(len(y)) if weight is None else weight
+    total = weight.sum()
+    upper = weight * np.where(
+        y > 0, c * total / (2 * max(weight[y > 0].sum(), 1e-9)), c * total / (2 * max(weight[y < 0].sum(), 1e-9))
+    )
     for _ in range(epochs):
         largest = 0.0
         for i in order.permutation(len(rows)):
@@ -132,15 +138,15 @@ def hinge_dual(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: floa
     return w, bias
 
 
-def logistic_line(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through margins, by damped Newton steps (smoothed targets)."""
-    yes, no = (y > 0).sum(), (y <= 0).sum()
+def logistic_line(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and shift of a logistic curve through weighted margins, by damped Newton steps (smoothed targets)."""
+    yes, no = weight[y > 0].sum(), weight[y <= 0].sum()
     target = np.where(y > 0, (yes + 1) / (yes + 2), 1 / (no + 2))
     a, b = 1.0, 0.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g = np.array([((p - target) * x).sum() + 1e-3 * a, (p - target).sum()])
-        v = p * (1 - p)
+        g = np.array([(weight * (p - target) * x).sum() + 1e-3 * a, (weight * (p - target)).sum()])
+        v = weight * p * (1 - p)
         h = np.array([[(v * x * x).sum() + 1e-3, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
         a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
@@ -149,11 +155,17 @@ def logistic_line(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float
     return a, b
 
 
+def shared(mine: int, other: int, most: int) -> int:
+    """The part of ``most`` for one of two classes of these sizes."""
+    return max(1, min(mine, max(most // 2, most - other)))
+
+
 def fit(labelled: DataFrame, smoothing: float = 1.0, c: float = 1.0, mix: float = 0.5, epochs: int = 20) -> Model | float:
     """A model of rows with ``_text`` and ``_label``; a number (the constant score) where there is one class."""
     labelled = labelled.where(F.col("_label").isin(0, 1))
-    n, yes, chars = labelled.agg(
-        F.count("*"), F.coalesce(F.sum("_label"), F.lit(0)), F.coalesce(F.sum(F.length("_text")), F.lit(0))
+    length = F.coalesce(F.length("_text"), F.lit(0))
+    n, yes, chars, yes_chars = labelled.agg(
+        F.count("*"), *[F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("_label"), length, length * F.col("_label"))]
     ).first()
     if yes in (0, n):
         return (yes + 1) / (n + 2)
@@ -163,25 +175,29 @@ def fit(labelled: DataFrame, smoothing: float = 1.0, c: float = 1.0, mix: float
     q[counts["bucket"]] += counts["no"].to_numpy()
     ratio = np.log((p / p.sum()) / (q / q.sum()))
 
-    taken = sampled(labelled, "_text", n, chars, SAMPLE_ROWS, SAMPLE_CHARS)
-    sample = feature_rows(taken).collect()  # bounded by SAMPLE_ROWS and SAMPLE_CHARS
-    sample.sort(key=lambda r: (bytes(r["buckets"]), r["_label"]))
+    # half for each class; what one does not need is the other's
+    bounds = {1: (shared(yes, n - yes, SAMPLE_ROWS), shared(yes_chars, chars - yes_chars, SAMPLE_CHARS))}
+    bounds[0] = (SAMPLE_ROWS - bounds[1][0], SAMPLE_CHARS - bounds[1][1])
+    sample = feature_rows(sampled(labelled, bounds)).collect()  # bounded by SAMPLE_ROWS and SAMPLE_CHARS
+    sample.sort(key=lambda r: (bytes(r["buckets"]), r["_label"], r["_weight"]))
     rows = []
     for r in sample:
         bucket = np.frombuffer(r["buckets"], dtype="<i4")
         values = ratio[bucket]
         rows.append((bucket, values / max(np.sqrt(values @ values), 1e-9)))
     y = np.array([1.0 if r["_label"] else -1.0 for r in sample])
+    weight = np.array([r["_weight"] for r in sample])
+    weight *= min(1.0, SAMPLE_ROWS / weight.sum())
     if len(set(y)) < 2:
         return (yes + 1) / (n + 2)
     held = np.random.Generator(np.random.PCG64(2)).random(len(rows)) < 0.25  # for the probabilities
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(rows), bool)
-    w, bias = hinge_dual([r for r, h in zip(rows, held, strict=True) if not h], y[~held], c, epochs)
+    w, bias = hinge_dual([r for r, h in zip(rows, held, strict=True) if not h], y[~held], c, epochs, weight[~held])
     w = (1 - mix) * np.abs(w).mean() + mix * w
     margins = np.array([w[b] @ v + bias for b, v in rows])
     checked = held if held.any() else ~held
-    slope, shift = logistic_line(margins[checked], y[checked])
+    slope, shift = logistic_line(margins[checked], y[checked], weight[checked])
     return Model(ratio, ratio * w, bias, slope, shift)
 
 

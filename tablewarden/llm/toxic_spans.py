@@ -95,14 +95,14 @@ def summaries(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log1p(np.maximum(expected, 0)), surest, np.sqrt(np.maximum(expected, 0) / np.maximum(n, 1))])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 100) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 100) -> np.ndarray:
     """Weights (the last for the constant) of a ridge logistic regression, by damped Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge * w)
         w += step / max(1.0, np.abs(step).max() / 2)
         if np.abs(step).max() < 1e-7:
             break
@@ -120,21 +120,21 @@ def fit(labelled: DataFrame) -> Model | float:
     no[counts["bucket"]], yes[counts["bucket"]] = counts["no"], counts["yes"]
     toxic = lexicon(no, yes, sizes[0]["n"], sizes[1]["n"])
 
-    parts = [
-        sampled(labelled.where(F.col("_label") == c), "_text", r["n"], r["c"] or 0, SAMPLE_ROWS, SAMPLE_CHARS)
-        for c, r in sizes.items()
-    ]
-    sample = sorted((r["_text"] or "", r["_label"]) for part in parts for r in part.select("_text", "_label").collect())
-    y = np.array([label for _, label in sample])
-    part = words.words_of(pa.array([t for t, _ in sample], pa.string()), words.LETTERED, fold=True)
+    drawn = sampled(labelled, {c: (SAMPLE_ROWS, SAMPLE_CHARS) for c in sizes})
+    sample = sorted((r["_text"] or "", r["_label"], r["_weight"]) for r in drawn.collect())
+    y = np.array([label for _, label, _ in sample])
+    weight = np.array([w for _, _, w in sample])
+    part = words.words_of(pa.array([t for t, _, _ in sample], pa.string()), words.LETTERED, fold=True)
     marked = (toxic[bucket_of(part)] & (y[part.document()] == 1)).astype(np.int64)
     chain = chain_crf.fit(part, marked, 2)
     p = chain.marginals(part)[:, 1]
     x = summaries(p, part.first)
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
     # the sample holds the classes in other shares than the labels do: the constant makes up for it
-    share = np.array([sizes[0]["n"] / max((y == 0).sum(), 1), sizes[1]["n"] / max((y == 1).sum(), 1)])
-    curve = logistic((x - mean) / spread, y.astype(float))
+    drawn_rows = np.bincount(y, minlength=2)
+    share = np.array([sizes[c]["n"] / max(drawn_rows[c], 1) for c in (0, 1)])
+    weight = weight * (drawn_rows / np.maximum(np.bincount(y, weight, 2), 1e-9))[y]
+    curve = logistic((x - mean) / spread, y.astype(float), weight)
     curve[-1] += np.log(share[1] / share[0])
     return Model(chain, curve, mean, spread)
 

@@ -9,7 +9,7 @@ from brute import SCHEMA
 from pyspark.sql import functions as F
 
 from tablewarden.llm import chain_crf, language_crf, nb_svm, queries, toxic_spans, url_trees, words
-from tablewarden.llm.common import fold
+from tablewarden.llm.common import LEAST_ROWS, fold, sampled
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -57,6 +57,18 @@ def test_features_do_not_depend_on_neighbours():
     assert [len(x) for x in of(1)] == [1, 5, 4, 3]
 
 
+def test_samples_are_bounded_and_hold_copies_once(spark):
+    rows = [(f"text {i}", 0) for i in range(400)] + [("the same words", 0)] * 300 + [(f"long {i} " * 500, 1) for i in range(50)]
+    rows += [("only one", 2), (None, 2)]
+    drawn = sampled(spark.createDataFrame(rows, "_text string, _label int"), {0: (60, 10**6), 1: (40, 1000), 2: (10, 100)}).collect()
+    by = {c: [r for r in drawn if r["_label"] == c] for c in (0, 1, 2)}
+    assert len(by[0]) == 60 and len({r["_text"] for r in by[0]}) == 60
+    assert [300 <= r["_weight"] < 400 for r in by[0] if r["_text"] == "the same words"] == [True]
+    assert 500 < sum(r["_weight"] for r in by[0]) < 950
+    assert LEAST_ROWS <= len(by[1]) <= 40 and sum(len(r["_text"]) for r in by[1]) <= 1000
+    assert sorted((str(r["_text"]), r["_weight"]) for r in by[2]) == [("None", 1.0), ("only one", 1.0)]
+
+
 def test_learned_moves_follow_the_switches():
     rng = np.random.default_rng(0)
     vocabulary = {0: ["der", "und", "nicht"], 1: ["the", "and", "not"]}

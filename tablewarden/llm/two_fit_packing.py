@@ -77,8 +77,9 @@ def word_pattern(path: str) -> re.Pattern | None:
     if not given or not given[0]:
         return None
     pattern = given[0]
+    letters = sorted({x for c in LETTERS for x in (c, c.lower())})  # some lower cases lie beyond the plain ones
     for kind in "LN":
-        members = "".join(re.escape(c) for c in LETTERS if unicodedata.category(c)[0] == kind)
+        members = "".join(re.escape(c) for c in letters if unicodedata.category(c)[0] == kind)
         pattern = pattern.replace(rf"\p{{{kind}}}", members)
     return None if r"\p" in pattern else re.compile(pattern)
 

@@ -54,3 +54,11 @@ def frame(spark):
 
 def tuples(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+@pytest.fixture
+def apart(spark):
+    """Small partitions are not put together, as large ones would not be."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -8,7 +8,10 @@ row        returns the predicate a bad row meets; counted with the table's other
            return a one-row DataFrame instead, as a table check does
 aggregate  returns an aggregate that is the count; shares a scan with row checks
 table      returns a one-row DataFrame with ``violations``, optionally ``rc``,
-           ``mode``, and a map ``vars`` that is saved with the result
+           ``mode``, and a map ``vars`` that is saved with the result; or a function
+           without arguments that returns it when the check's turn comes
+partition  returns a row per partition, ``partition_value`` and ``violations``; kept
+           by partition beside the history, and their sum is the count
 setup      returns the JSON object (as a dict, or a one-row DataFrame with
            ``raw_output``) that carries variables and the data window
 
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewarden.functions.moments import ISO_BASIC, moment
-from tablewarden.operators import consistency, key_checks, policy, row_checks, statistics
+from tablewarden.operators import consistency, key_checks, key_index, policy, row_checks, statistics
 from tablewarden.operators.fused import count_bad_rows, count_by_partition
 from tablewarden.schema import (
     CHECK_CUSTOM_PREFIX,
@@ -40,6 +43,15 @@ from tablewarden.sources.tables import list_files
 from tablewarden.streaming.incremental import DataWindow, in_window, moment_of
 
 
+@dataclass(frozen=True)
+class CheckMemory:
+    """Where a check keeps what it knows of older rows, and which runs have stored their result."""
+
+    path: str
+    run: str
+    committed: Callable[[list[str]], set[str]]
+
+
 @dataclass(frozen=True)
 class CheckContext:
     """What a check gets to see: its table, the other tables, and its variables."""
@@ -55,6 +67,8 @@ class CheckContext:
     started: dt.datetime | None = None
     #: the part of the table an incremental check sees; ``df`` is cut to it already
     window: DataWindow | None = None
+    #: what the check keeps from run to run, if the run has a history to keep it beside
+    memory: CheckMemory | None = None
 
     def custom(self, name: str, default: str | None = None) -> str:
         """A custom variable of the registry entry, without its prefix."""
@@ -119,7 +133,7 @@ class Catalogue:
         policy: str = "quality",
         skips: bool = False,
     ):
-        if kind not in ("row", "aggregate", "table", "setup"):
+        if kind not in ("row", "aggregate", "table", "partition", "setup"):
             raise ValueError(f"unknown kind of check: {kind}")
 
         def register(body: Callable) -> Callable:
@@ -217,8 +231,28 @@ def _not_empty(ctx: CheckContext) -> DataFrame:
 
 
 @_table("rule_uniqueness")
-def _uniqueness(ctx: CheckContext) -> DataFrame:
-    return key_checks.uniqueness_violations(ctx.df, ctx.names("cols"))
+def _uniqueness(ctx: CheckContext) -> DataFrame | Callable[[], DataFrame]:
+    """Keys on several rows; an incremental check also finds those that rows before its window have.
+
+    Without a history to keep an index beside, it counts in the whole table.
+    """
+    keys = ctx.names("cols")
+    if ctx.window is None:
+        return key_checks.uniqueness_violations(ctx.df, keys)
+    whole = ctx.tables[ctx.table]
+    if ctx.memory is None:
+        return key_checks.uniqueness_violations(whole, keys).withColumn("mode", F.lit("full"))
+    window, memory = ctx.window, ctx.memory
+    day = moment_of(ctx.df, window.column, F.col(window.column), window.form).cast("date")
+    older = None if window.start is None else whole.where(in_window(window.column, None, window.start, whole, window.form))
+    key_index.digested(ctx.df, keys, day)  # a missing column shows now
+
+    def count() -> DataFrame:
+        with key_index.KeyIndex(ctx.spark, memory.path, memory.run, memory.committed) as index:
+            n = key_index.new_violations(index, ctx.df, keys, day, window.days, older)
+        return ctx.spark.range(1).select(F.lit(n).cast("bigint").alias("violations"))
+
+    return count
 
 
 @_table("foreign_key")
@@ -285,18 +319,12 @@ def _ordered_pair_across(ctx: CheckContext) -> DataFrame:
     )
 
 
-@_table("range_by_partition")
+@BUILT_IN.add("range_by_partition", "partition")
 def _range_by_partition(ctx: CheckContext) -> DataFrame:
-    """A range check whose counts per partition are saved as variables; the total is the count."""
+    """A range check counted by partition."""
     col = ctx.custom("col")
     bad = row_checks.out_of_range(col, ctx.limit("min", col), ctx.limit("max", col))
-    counts = count_by_partition(ctx.df, ctx.custom("partition"), {"n": bad}).where("violations > 0")
-    name = F.concat(F.lit(f"{VAR_PREFIX}partition_"), F.col("partition_value").cast("string"))
-    entry = F.struct(name.alias("key"), F.col("violations").cast("string").alias("value"))
-    return counts.agg(
-        F.coalesce(F.sum("violations"), F.lit(0)).alias("violations"),
-        F.map_from_entries(F.collect_list(F.when(name.isNotNull(), entry))).alias("vars"),
-    )
+    return count_by_partition(ctx.df, ctx.custom("partition"), {"n": bad}).where("violations > 0")
 
 
 @_table("profile")
@@ -385,7 +413,8 @@ def _incremental_window(ctx: CheckContext) -> DataFrame:
     """Data window of a growing table: from the last window's end to the newest row.
 
     The column holds timestamps, dates, or numbers that write a day (``form``). Only what is newer
-    than the last window's end is read; where nothing is, the window ends where it began.
+    than the last window's end is read; where nothing is, the window ends where it began. Days before
+    that get looked at again if rows come late; ``look_back_days`` says how far back, else all are counted.
     """
     column, form = ctx.custom("col"), ctx.custom("form", "yyyyDDD")
     prior = ctx.vars.get(f"{TABLE_PREFIX}_data_stop_ts_prior") or None
@@ -394,6 +423,7 @@ def _incremental_window(ctx: CheckContext) -> DataFrame:
         at = dt.datetime.strptime(prior, ISO_BASIC)
         newer, stop = newer.where(in_window(column, at, None, newer, form)), moment(at)
     mark = F.coalesce(moment_of(ctx.df, column, F.max(column), form), stop)
+    back = ctx.custom("look_back_days", "")
     window = F.struct(
         F.lit("0").alias("rc"),
         F.lit("incremental").alias("mode"),
@@ -401,5 +431,6 @@ def _incremental_window(ctx: CheckContext) -> DataFrame:
         F.date_format(mark, "yyyyMMdd'T'HHmmssSSSSSS").alias("data_stop_ts"),
         F.lit(column).alias(f"{TABLE_CUSTOM_PREFIX}window_col"),
         F.lit(form).alias(f"{TABLE_CUSTOM_PREFIX}window_form"),
+        *([F.lit(back).alias(f"{TABLE_CUSTOM_PREFIX}look_back_days")] if back else []),
     )
     return newer.agg(F.to_json(window).alias("raw_output"))

@@ -82,3 +82,18 @@ def count_by_partition(
         for some in _scans(list(row_checks))
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def count_by_day(df: DataFrame, day: Column, row_checks: Mapping[str, Column]) -> DataFrame:
+    """``partition_value`` (the day as text), ``check_alias``, ``partition_rows``, ``violations``."""
+    parts = []
+    for some in _scans(list(row_checks)):
+        counts = [F.count_if(row_checks[a]) for a in some]
+        wide = df.groupBy(day.cast("string").alias("partition_value")).agg(
+            F.count(F.lit(1)).alias("partition_rows"), *[c.cast("bigint").alias(f"v{i}") for i, c in enumerate(counts)]
+        )
+        values = F.array(*[f"v{i}" for i in range(len(some))])
+        long = wide.select("partition_value", "partition_rows", F.posexplode(values).alias("_i", "violations"))
+        alias = F.from_json(F.lit(json.dumps(some)), "array<string>")[F.col("_i")]
+        parts.append(long.select("partition_value", alias.alias("check_alias"), "partition_rows", "violations"))
+    return reduce(DataFrame.unionByName, parts)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -113,21 +114,45 @@ def in_window(
     return within
 
 
+def on_days(df: DataFrame, column: str, days: Sequence[dt.date], form: str = "yyyyDDD") -> Column:
+    """Rows of the given days, as ranges of the column's own type: neighbouring days are one range."""
+    runs: list[list[dt.date]] = []
+    for day in sorted(set(days)):
+        if runs and day - runs[-1][1] == dt.timedelta(days=1):
+            runs[-1][1] = day
+        else:
+            runs.append([day, day])
+    found = F.lit(False)
+    for first, last in runs:
+        begin, end = (dt.datetime.combine(d, dt.time()) for d in (first, last + dt.timedelta(days=1)))
+        value = F.col(column)
+        found |= (value >= bound(df, column, begin, form)) & (value < bound(df, column, end, form))
+    return found
+
+
 @dataclass(frozen=True)
 class DataWindow:
-    """The part of a table an incremental check looks at."""
+    """The part of a table an incremental check looks at.
+
+    ``days`` lie before the start; they got rows after they had been inspected and are looked at again.
+    """
 
     column: str
     start: dt.datetime | None = None
     stop: dt.datetime | None = None
     form: str = "yyyyDDD"
+    days: tuple[dt.date, ...] = ()
 
     def of(self, df: DataFrame, column: str | None = None) -> DataFrame:
         """The window of a table, by a column of its own where its name differs."""
         column = column or self.column
         if column not in df.columns:
             raise ValueError(f"no column {column} to tell the window by")
-        return df.where(in_window(column, self.start, self.stop, df, self.form))
+        inside = in_window(column, self.start, self.stop, df, self.form)
+        if self.days:
+            before = in_window(column, None, self.stop, df, self.form)
+            inside |= before & on_days(df, column, self.days, self.form)
+        return df.where(inside)
 
 
 def stamp_window(

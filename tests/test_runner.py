@@ -315,11 +315,11 @@ def test_a_check_that_breaks_loses_only_itself(spark, registry, table, tmp_path)
     }
 
 
-def test_a_large_run_is_one_commit(spark, registry, table, tmp_path, monkeypatch):
+def test_a_large_run_is_stored_job_by_job(spark, registry, table, tmp_path, monkeypatch):
     path = str(tmp_path / "h")
     commits = []
-    append = runner.append_results
-    monkeypatch.setattr(runner, "append_results", lambda *a, **k: commits.append(1) or append(*a, **k))
+    commit = runner.commit_results
+    monkeypatch.setattr(runner, "commit_results", lambda *a, **k: commits.append(a[3]) or commit(*a, **k))
     monkeypatch.setattr(runner, "BRANCHES", 7)
     doc = {
         f"t{i}": {
@@ -333,7 +333,9 @@ def test_a_large_run_is_one_commit(spark, registry, table, tmp_path, monkeypatch
     counts = {(r.table_name, r.check_name): r.check_violation_cnt for r in got}
     expected = {"w": None, "a": 3, "b": 7}
     assert counts == {(t, c): n for t in doc for c, n in expected.items()}
-    assert commits == [1]
+    assert len(got) == 36
+    # 24 branches in jobs of six; what closes the windows comes last
+    assert len(commits) == len(set(commits)) == 5 and commits[-1].endswith("-known")
 
 
 def test_runs_without_an_id_are_all_stored(spark, registry, table, tmp_path):

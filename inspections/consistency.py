@@ -159,3 +159,26 @@ def ck_target_vs_source(spark, sf_dir):
 def target_vs_source_rows(spark, sf_dir):
     orders = read_table(spark, "orders", directory=sf_dir)
     return target_vs_source(orders, replica_of(orders))
+
+
+@query(
+    "ck_target_vs_source_nested",
+    """
+    SELECT count(*) AS n_missing, count(*) AS n_extra, 2 * count(*) AS violations FROM orders WHERE o_orderstatus = 'P'
+    """,
+)
+def ck_target_vs_source_nested(spark, sf_dir):
+    """Rows that differ in nothing but the place of a NULL inside a value."""
+    orders = read_table(spark, "orders", directory=sf_dir)
+    gone = F.when(F.col("o_orderstatus") != "P", F.col("o_custkey"))
+    kept = F.col("o_custkey")
+
+    def shown(a, b):
+        return orders.select(
+            "o_orderkey",
+            F.year("o_orderdate").alias("part"),
+            F.array(a, b).alias("pair"),
+            F.struct(a.alias("x"), F.array(F.struct(b.alias("y"))).alias("z")).alias("deep"),
+        )
+
+    return count_row_differences(shown(gone, kept), shown(kept, gone), ["part"])

@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inspections import query
+from inspections import ORACLES, query
 from inspections.fixtures import DAY_VAR, HISTORY_SQL, history
 from tablewarden.functions.variables import vars_json
 from tablewarden.plans import history as plan
 from tablewarden.plans.report import report_lines, result_problems, run_report
+from tablewarden.plans.rollups import Rollups
 from tablewarden.schema import LEVELS, RESULT_SCHEMA
 from tablewarden.session import shared_folder
 from tablewarden.sources import results as store
@@ -178,6 +179,16 @@ def rollup_levels(spark, sf_dir):
     return plan.rollup_levels(history(spark, sf_dir))
 
 
+@query("rollup_levels_kept", ORACLES["rollup_levels"])
+def rollup_levels_kept(spark, sf_dir):
+    """The same, from daily sums that are kept by month beside a stored history."""
+    path = shared_folder(spark)
+    store.append_results(spark, history(spark, sf_dir), path)
+    rollups = Rollups(spark, path)
+    rollups.refresh()
+    return rollups.levels()
+
+
 @query(
     "max_rc",
     f"WITH {HISTORY_SQL} SELECT CAST(greatest(0, max(check_rc)) AS INTEGER) AS max_rc FROM history",

@@ -16,7 +16,9 @@ from tablewarden.operators.fused import count_bad_rows
 from tablewarden.plans.runner import Run, run_and_store, run_checks
 from tablewarden.schema import CHECK_CUSTOM_PREFIX
 from tablewarden.session import shared_folder
+from tablewarden.sources.partitions import PartitionResults
 from tablewarden.sources.registry import parse_registry
+from tablewarden.sources.results import read_results
 from tablewarden.sources.tables import read_table
 
 TABLES = ["customer", "orders", "lineitem", "part", "documents", "labels", "events"]
@@ -419,3 +421,127 @@ def run_incremental_consistency(spark, sf_dir):
         runs.append(run_and_store(spark, registry_frame(spark, registry), tables, run, path))
     every = reduce(DataFrame.unionByName, runs).where("check_type <> 'setup'")
     return every.select("run_id", "check_name", "check_mode", "check_rc", "check_violation_cnt")
+
+
+# Rows of orders come in three runs. A tenth of those of the first years comes with the second run, for days that
+# the first run has inspected.
+_ARRIVAL = (
+    "CASE WHEN o_orderdate <= TIMESTAMP '1998-01-01' AND o_orderkey % 10 <> 3 THEN 1 "
+    "WHEN o_orderdate <= TIMESTAMP '2000-01-01' THEN 2 ELSE 3 END"
+)
+
+
+def _late_sql() -> str:
+    rows = []
+    for table in ("moments", "days"):
+        for i in (1, 2, 3):
+            price = f"SELECT count(*) FROM came WHERE run = {i} AND o_totalprice > 450000"
+            keys = f"SELECT count(*) FILTER (run = {i}) - count(DISTINCT CASE WHEN first = {i} THEN o_custkey END) FROM came"
+            for name, count in (("price_ck", price), ("customer_uk", keys)):
+                rows.append(
+                    f"SELECT CAST({i} AS BIGINT) AS run_id, '{table}' AS table_name, '{name}' AS check_name, "
+                    f"'incremental' AS check_mode, CAST(({count}) AS BIGINT) AS check_violation_cnt"
+                )
+    return (
+        f"WITH runs AS (SELECT *, {_ARRIVAL} AS run FROM orders), "
+        "came AS (SELECT *, min(run) OVER (PARTITION BY o_custkey) AS first FROM runs)\n" + _union(*rows)
+    )
+
+
+@query("run_incremental_late", _late_sql())
+def run_incremental_late(spark, sf_dir):
+    """Three runs; rows that come late for inspected days, and keys that older rows have, each count once."""
+
+    def of(column: str) -> dict:
+        return {
+            "window": setup("incremental_window", col=column),
+            "price_ck": check("range", mode="incremental", col="o_totalprice", max=450000),
+            "customer_uk": check("rule_uniqueness", mode="incremental", cols="o_custkey"),
+        }
+
+    orders = read_table(spark, "orders", directory=sf_dir).withColumn("run", F.expr(_ARRIVAL))
+    days = orders.withColumn("date_id", F.date_format("o_orderdate", "yyyyDDD").cast("int"))
+    path, rules = shared_folder(spark), registry_frame(spark, {"moments": of("o_orderdate"), "days": of("date_id")})
+    runs = []
+    for i in (1, 2, 3):
+        tables = {"moments": orders.where(F.col("run") <= i), "days": days.where(F.col("run") <= i)}
+        runs.append(run_and_store(spark, rules, tables, Run("test", "main", i, dt.datetime(2024, 3, i, 2)), path))
+    every = reduce(DataFrame.unionByName, runs).where("check_type <> 'setup'")
+    return every.select("run_id", "table_name", "check_name", "check_mode", "check_violation_cnt")
+
+
+_FIRST_STOP = "(SELECT max(o_orderdate) FROM orders WHERE o_orderdate <= TIMESTAMP '1999-01-01')"
+
+
+@query(
+    "run_incremental_statistics",
+    f"""
+    WITH first AS (SELECT * FROM orders WHERE o_orderdate <= {_FIRST_STOP}),
+    facts AS (
+        SELECT count(*) AS n_rows, min(o_totalprice) AS low, max(o_totalprice) AS high, avg(o_totalprice) AS mean,
+               count(DISTINCT o_totalprice) AS n_distinct FROM orders)
+    SELECT CAST(1 AS BIGINT) AS run_id, 'far' AS check_name, CAST(count(*) AS BIGINT) AS check_violation_cnt,
+           CAST(NULL AS VARCHAR) AS n_rows, CAST(NULL AS VARCHAR) AS min_value, CAST(NULL AS VARCHAR) AS max_value,
+           CAST(NULL AS BOOLEAN) AS avg_is_close, CAST(NULL AS BOOLEAN) AS distinct_is_close,
+           CAST(NULL AS BOOLEAN) AS median_is_close
+    FROM first WHERE abs(o_totalprice - (SELECT avg(o_totalprice) FROM first))
+        > 1.6 * (SELECT stddev_samp(o_totalprice) FROM first)
+    UNION ALL
+    SELECT 2, 'far', count(*), NULL, NULL, NULL, NULL, NULL, NULL FROM orders
+    WHERE o_orderdate > {_FIRST_STOP} AND abs(o_totalprice - (SELECT avg(o_totalprice) FROM orders))
+        > 1.6 * (SELECT stddev_samp(o_totalprice) FROM orders)
+    UNION ALL
+    SELECT 2, 'facts', 0, CAST(n_rows AS VARCHAR), CAST(low AS VARCHAR), CAST(high AS VARCHAR), true, true, true FROM facts
+    """,
+)
+def run_incremental_statistics(spark, sf_dir):
+    """Two windows: outliers are told by all rows so far, and the merged profile is that of the whole table.
+
+    Sketches are compared with the exact figures: distinct values within 6 %, the rank of the median within 3 %.
+    """
+    orders = read_table(spark, "orders", directory=sf_dir)
+    checks = {
+        "window": setup("incremental_window", col="o_orderdate"),
+        "far": check("outlier", mode="incremental", col="o_totalprice", deviations=1.6),
+        "facts": check("profile", mode="incremental", cols="o_totalprice") | {"check_type": "profile", "check_scope": "row"},
+    }
+    path, rules, runs = shared_folder(spark), registry_frame(spark, {"orders": checks}), []
+    for i, end in enumerate(["1999-01-01", "2100-01-01"]):
+        seen = orders.where(F.col("o_orderdate") <= moment(dt.datetime.fromisoformat(end)))
+        run = Run("test", "main", i + 1, dt.datetime(2024, 3, i + 1, 2))
+        runs.append(run_and_store(spark, rules, {"orders": seen}, run, path))
+    every = reduce(DataFrame.unionByName, runs).where("check_name = 'far' or (check_name = 'facts' and run_id = 2)")
+    # what the sketches are held against: a row
+    price = F.col("o_totalprice")
+    exact = orders.agg(F.avg(price).alias("_mean"), F.count_distinct(price).alias("_distinct"), F.percentile(price, F.array(F.lit(0.47), F.lit(0.53))).alias("_near"))
+    facts = F.col("check_name") == "facts"
+    saved = lambda name: F.col("env_vars")[f"hapinsp_profile_o_totalprice_{name}"]
+    held = every.join(F.broadcast(exact), F.lit(True))
+    return held.select(
+        "run_id",
+        "check_name",
+        "check_violation_cnt",
+        saved("n_rows").alias("n_rows"),
+        saved("min_value").alias("min_value"),
+        saved("max_value").alias("max_value"),
+        F.when(facts, F.abs(saved("avg_value").cast("double") - F.col("_mean")) < 0.01).alias("avg_is_close"),
+        F.when(facts, F.abs(saved("n_distinct").cast("double") / F.col("_distinct") - 1) < 0.06).alias("distinct_is_close"),
+        F.when(facts, saved("median").cast("double").between(F.col("_near")[0], F.col("_near")[1])).alias("median_is_close"),
+    )
+
+
+@query(
+    "run_by_partition",
+    """
+    SELECT 'quantity_by_day' AS check_name, 'day' AS partition_name, strftime(l_shipdate, '%Y%j') AS partition_value,
+           count(*) AS violations FROM lineitem WHERE l_quantity > 45 GROUP BY ALL
+    """,
+)
+def run_by_partition(spark, sf_dir):
+    """What a check found in each partition, read back from beside the history."""
+    lineitem = read_table(spark, "lineitem", directory=sf_dir).withColumn("day", F.date_format("l_shipdate", "yyyyDDD"))
+    rules = {"lineitem": {"quantity_by_day": check("range_by_partition", col="l_quantity", max=45, partition="day")}}
+    path = shared_folder(spark)
+    run_and_store(spark, registry_frame(spark, rules), {"lineitem": lineitem}, Run("test", "main", 1, dt.datetime(2024, 3, 1, 2)), path)
+    kept = PartitionResults(spark, path).committed(read_results(spark, path))
+    return kept.select("check_name", "partition_name", "partition_value", "violations")

@@ -39,6 +39,7 @@ from tablewarden.schema import (
     TABLE_PREFIX,
     VAR_PREFIX,
 )
+from tablewarden.sources.day_facts import DayFacts
 from tablewarden.sources.tables import list_files
 from tablewarden.streaming.incremental import DataWindow, in_window, moment_of
 
@@ -50,6 +51,8 @@ class CheckMemory:
     path: str
     run: str
     committed: Callable[[list[str]], set[str]]
+    #: the stored results of the check; None before the first
+    results: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -264,10 +267,32 @@ def _foreign_key(ctx: CheckContext) -> DataFrame:
     )
 
 
+def _day(ctx: CheckContext) -> Column:
+    window = ctx.window
+    return moment_of(ctx.df, window.column, F.col(window.column), window.form).cast("date").alias("day")
+
+
+def _day_facts(ctx: CheckContext, kind: str, fields: list[T.StructField]) -> DayFacts:
+    memory = ctx.memory
+    return DayFacts(ctx.spark, f"{memory.path}/{kind}", fields, memory.run, memory.results)
+
+
 @_table("outlier")
-def _outlier(ctx: CheckContext) -> DataFrame:
-    bad = statistics.outliers(ctx.df, ctx.custom("col"), float(ctx.custom("deviations", "3")))
-    return count_bad_rows(ctx.df, bad)
+def _outlier(ctx: CheckContext) -> DataFrame | Callable[[], DataFrame]:
+    """Values too far from the mean. An incremental check compares with all rows up to the window's end.
+
+    Those before the window are known by their moments. Rows of days that are opened again are judged again.
+    """
+    col, deviations = ctx.custom("col"), float(ctx.custom("deviations", "3"))
+    if ctx.window is None or ctx.memory is None:
+        return count_bad_rows(ctx.df, statistics.outliers(ctx.df, col, deviations))
+    parts = statistics.moments(ctx.df, col, _day(ctx))
+
+    def count() -> DataFrame:
+        known = _day_facts(ctx, "moments", statistics.MOMENTS).add(parts, list(ctx.window.days))
+        return count_bad_rows(ctx.df, statistics.outliers_against(known, col, deviations))
+
+    return count
 
 
 @_table("base_vs_summary", "consistency")
@@ -303,7 +328,7 @@ def _peer_field_spot_check(ctx: CheckContext) -> DataFrame:
 @_table("target_vs_source", "consistency")
 def _target_vs_source(ctx: CheckContext) -> DataFrame:
     source = ctx.other(ctx.custom("source"))
-    return consistency.count_row_differences(source, ctx.df)
+    return consistency.count_row_differences(source, ctx.df, ctx.names("partition", ""))
 
 
 @_table("ordered_pair_across")
@@ -328,10 +353,25 @@ def _range_by_partition(ctx: CheckContext) -> DataFrame:
 
 
 @_table("profile")
-def _profile(ctx: CheckContext) -> DataFrame:
-    """Statistics without pass or fail, saved as variables of the result."""
+def _profile(ctx: CheckContext) -> DataFrame | Callable[[], DataFrame]:
+    """Statistics without pass or fail, saved as variables of the result.
+
+    An incremental profile reads the window only: its sketches by day are kept and merged with those of earlier
+    windows, so it is one of all rows up to the window's end.
+    """
     columns = ctx.names("cols", ",".join(ctx.df.columns))
-    facts = statistics.profile(ctx.df, columns)
+    if ctx.window is None or ctx.memory is None:
+        return _saved_profile(statistics.profile(ctx.df, columns))
+    parts = statistics.sketches(ctx.df, columns, _day(ctx))
+
+    def merge() -> DataFrame:
+        known = _day_facts(ctx, "sketches", statistics.SKETCHES).add(parts, list(ctx.window.days))
+        return _saved_profile(statistics.merged_profile(known))
+
+    return merge
+
+
+def _saved_profile(facts: DataFrame) -> DataFrame:
     names = [c for c in facts.columns if c != "column_name"]
     entries = F.array(
         *[

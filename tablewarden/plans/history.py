@@ -175,17 +175,18 @@ def rollup_levels(results: DataFrame, unit: str = "month") -> DataFrame:
     The history is summed per check and period first, so the four copies made by
     the grouping sets are of that much smaller table.
     """
-    base = (
-        results.where(is_regular())
-        .groupBy(*LEVELS, period_of(unit))
-        .agg(violation_total().alias("n"))
-    )
+    base = results.where(is_regular()).groupBy(*LEVELS, period_of(unit))
+    return rolled_up(base.agg(violation_total().alias("violations")))
+
+
+def rolled_up(checks: DataFrame) -> DataFrame:
+    """The series of all levels, from ``violations`` per check and ``period``."""
     sets = [[F.col(c) for c in [*path_to(level), "period"]] for level in LEVELS]
     level = F.lit(LEVELS[0])
     for name in LEVELS[1:]:
         level = F.when(F.grouping(name) == 0, F.lit(name)).otherwise(level)
-    return base.groupingSets(sets, *LEVELS, "period").agg(
-        F.sum("n").alias("violations"), level.alias("level")
+    return checks.groupingSets(sets, *LEVELS, "period").agg(
+        F.sum("violations").alias("violations"), level.alias("level")
     )
 
 

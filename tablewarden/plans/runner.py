@@ -259,21 +259,23 @@ class RunPlan:
         place = [self.run.instance, self.run.database, entry.table_name, entry.check_alias]
         folder = hashlib.sha256(json.dumps(place).encode()).hexdigest()[:32]
 
-        def committed(runs: list[str]) -> set[str]:
-            """Those of some runs, few as they are, in which this check was counted."""
-            if not runs or self.history is None:
-                return set()
+        mine = None
+        if self.history is not None:
             mine = self.history.where(
                 (F.col("instance_name") == place[0])
                 & (F.col("database_name") == place[1])
                 & (F.col("table_name") == place[2])
                 & (F.col("check_name") == place[3])
-                & (F.col("check_violation_cnt") >= 0)
-                & F.col("run_id").cast("string").isin(runs)
             )
-            return {str(r.run_id) for r in mine.select("run_id").distinct().collect()}
 
-        return CheckMemory(f"{self.path}/{MEMORY_FOLDER}/{folder}", str(self.run.run_id), committed)
+        def committed(runs: list[str]) -> set[str]:
+            """Those of some runs, few as they are, in which this check was counted."""
+            if not runs or mine is None:
+                return set()
+            counted = mine.where((F.col("check_violation_cnt") >= 0) & F.col("run_id").cast("string").isin(runs))
+            return {str(r.run_id) for r in counted.select("run_id").distinct().collect()}
+
+        return CheckMemory(f"{self.path}/{MEMORY_FOLDER}/{folder}", str(self.run.run_id), committed, mine)
 
     def _note_days(self, states: dict[str, TableState]) -> None:
         """Enter the days of tables with a data window in the ledger, and learn which got rows late."""
@@ -608,7 +610,9 @@ class RunPlan:
         if self.path is not None:
             values = {"table_name": F.lit(entry.table_name), "check_name": F.lit(entry.check_alias)}
             values |= {"partition_rows": F.lit(None).cast("bigint"), "found": F.col("violations")}
-            counts = PartitionResults(self.spark, self.path).keep(self._partition_rows(counts.withColumns(values), name))
+            counts = PartitionResults(self.spark, self.path).keep(
+                self._partition_rows(counts.withColumns(values), name), self.run.started
+            )
         known = counts.where(F.col("partition_value").isNotNull() & (F.col("violations") > 0))
         worst = known.orderBy(F.desc("violations"), "partition_value").limit(WORST_PARTITIONS)
         entry_of = F.struct(
@@ -657,7 +661,7 @@ class RunPlan:
             before = totals(earlier).withColumnRenamed("violations", "_before")
             rows = rows.join(before, ["table_name", "check_name", "partition_value"], "left")
             new = F.greatest(F.col("found") - F.coalesce("_before", F.lit(0)), F.lit(0))
-        written = kept.keep(self._partition_rows(rows.withColumn("violations", new), window.column))
+        written = kept.keep(self._partition_rows(rows.withColumn("violations", new), window.column), self.run.started)
         sums = written.groupBy("table_name", "check_name").agg(F.sum("violations").alias("violations"))
         # a check without any row in the window has no row by day
         every = F.broadcast(names).join(sums, ["table_name", "check_name"], "left")

@@ -8,6 +8,7 @@ broke before are passed over.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Sequence
 
@@ -33,8 +34,8 @@ PARTITION_SCHEMA = T.StructType(
         T.StructField("violations", T.LongType()),
         T.StructField("found", T.LongType()),
         T.StructField("written", T.TimestampType()),
-        T.StructField("attempt", T.StringType()),
         T.StructField("run_month", T.DateType()),
+        T.StructField("attempt", T.StringType()),
     ]
 )
 
@@ -50,19 +51,16 @@ class PartitionResults:
         stored = read_or_none(self.spark, self.path, PARTITION_SCHEMA)
         return self.spark.createDataFrame([], PARTITION_SCHEMA) if stored is None else stored
 
-    def keep(self, rows: DataFrame) -> DataFrame:
-        """Write rows (without ``written``, ``attempt`` and month) and give back what was written."""
-        attempt = uuid.uuid4().hex
-        full = rows.withColumns(
-            {
-                "written": F.current_timestamp(),
-                "attempt": F.lit(attempt),
-                "run_month": F.trunc("run_start_timestamp", "month"),
-            }
-        )
-        named = full.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PARTITION_SCHEMA])
-        named.hint("rebalance", "run_month").write.mode("append").partitionBy("run_month").parquet(self.path)
-        return self.read().where(F.col("attempt") == attempt)
+    def keep(self, rows: DataFrame, started: dt.datetime) -> DataFrame:
+        """Write rows of a run (without ``written``, ``attempt`` and month) and give back what was written.
+
+        Each call has a folder of its own, so jobs that run side by side do not meet.
+        """
+        attempt, month = uuid.uuid4().hex, started.date().replace(day=1)
+        names = [f for f in PARTITION_SCHEMA if f.name not in ("run_month", "attempt")]
+        full = rows.withColumn("written", F.current_timestamp()).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in names])
+        full.hint("rebalance").write.parquet(f"{self.path}/run_month={month.isoformat()}/attempt={attempt}")
+        return self.read().where((F.col("run_month") == F.lit(month)) & (F.col("attempt") == attempt))
 
     def committed(self, history: DataFrame, *where) -> DataFrame:
         """One row per check, run and partition of the runs whose results are stored.

@@ -11,6 +11,9 @@ Days are told apart on the executors; only those found late come to the driver.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import json
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,9 +28,6 @@ FOLDER = "_ledger"
 
 LEDGER_SCHEMA = T.StructType(
     [
-        T.StructField("instance_name", T.StringType()),
-        T.StructField("database_name", T.StringType()),
-        T.StructField("table_name", T.StringType()),
         T.StructField("day", T.DateType()),
         T.StructField("day_rows", T.LongType()),
         T.StructField("file_time", T.TimestampType()),
@@ -35,7 +35,6 @@ LEDGER_SCHEMA = T.StructType(
         T.StructField("late", T.BooleanType()),
         T.StructField("run_id", T.LongType()),
         T.StructField("run_start_timestamp", T.TimestampNTZType()),
-        T.StructField("day_month", T.DateType()),
     ]
 )
 
@@ -58,15 +57,18 @@ class Ledger:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, f"{path.rstrip('/')}/{FOLDER}"
 
-    def read(self) -> DataFrame:
-        stored = read_or_none(self.spark, self.path, LEDGER_SCHEMA)
+    def _place(self, instance: str, database: str, table: str) -> str:
+        name = hashlib.sha256(json.dumps([instance, database, table]).encode()).hexdigest()[:32]
+        return f"{self.path}/{name}"
+
+    def read(self, instance: str, database: str, table: str) -> DataFrame:
+        """The entries of a table; each run has added a folder."""
+        stored = read_or_none(self.spark, self._place(instance, database, table), LEDGER_SCHEMA)
         return self.spark.createDataFrame([], LEDGER_SCHEMA) if stored is None else stored
 
     def latest(self, instance: str, database: str, table: str) -> DataFrame:
         """The newest entry of each day."""
-        mine = self.read().where(
-            (F.col("instance_name") == instance) & (F.col("database_name") == database) & (F.col("table_name") == table)
-        )
+        mine = self.read(instance, database, table)
         last = F.max_by(
             F.struct("day_rows", "file_time", "late", "run_start_timestamp"), F.struct("run_start_timestamp", "run_id")
         )
@@ -102,27 +104,19 @@ class Ledger:
         late = (F.col("old_rows") > 0) & (other | newer) if entered else F.lit(False)
         changed = ~F.col("all_rows").eqNullSafe(F.col("day_rows")) | ~F.col("new_time").eqNullSafe(F.col("file_time"))
         entries = days.withColumn("late", late).where(changed | F.col("late")).select(
-            F.lit(run.instance).alias("instance_name"),
-            F.lit(run.database).alias("database_name"),
-            F.lit(table).alias("table_name"),
             "day",
             F.col("all_rows").alias("day_rows"),
             F.col("new_time").alias("file_time"),
             "late",
             F.lit(run.run_id).cast("bigint").alias("run_id"),
             moment(run.started).alias("run_start_timestamp"),
-            F.trunc("day", "month").alias("day_month"),
         )
-        entries.hint("rebalance", "day_month").write.mode("append").partitionBy("day_month").parquet(self.path)
+        place = self._place(run.instance, run.database, table)
+        entries.hint("rebalance").write.parquet(f"{place}/entry={uuid.uuid4().hex}")
 
     def late_days(self, instance: str, database: str, table: str, since: dt.datetime | None) -> list[tuple]:
         """Days that got rows late and when that was found, from ``since`` on."""
-        mine = self.read().where(
-            (F.col("instance_name") == instance)
-            & (F.col("database_name") == database)
-            & (F.col("table_name") == table)
-            & F.col("late")
-        )
+        mine = self.read(instance, database, table).where("late")
         if since is not None:
             mine = mine.where(F.col("run_start_timestamp") > moment(since))
         found = mine.groupBy("day").agg(F.max("run_start_timestamp").alias("at")).orderBy("day")

@@ -7,9 +7,11 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from tablewarden.operators import key_index
+from tablewarden.operators import consistency, key_index, statistics
 from tablewarden.operators.catalogue import BUILT_IN
 from tablewarden.plans import runner
+from tablewarden.plans.history import daily, monthly, rollup_levels
+from tablewarden.plans.rollups import Rollups
 from tablewarden.plans.runner import Run, RunPlan, run_and_store, run_checks
 from tablewarden.schema import CHECK_CUSTOM_PREFIX
 from tablewarden.sources import results
@@ -312,9 +314,116 @@ def test_a_run_reads_the_snapshot_and_new_folders(spark, tmp_path, go):
     snapshots = latest.Snapshots(spark, path, "prod", "db")
     facts = snapshots.facts(read_results(spark, path), runner.STOP_VAR)
     plan = facts._jdf.queryExecution().executedPlan().toString()
-    assert "_latest" in plan and "run_month" in plan[plan.index("PartitionFilters: [") :].split("]")[0]
+    assert any("_latest" in f for f in facts.inputFiles())
+    assert "run_month" in plan[plan.index("PartitionFilters: [") :].split("]")[0]
     _, since = snapshots.newest()
     assert since == dt.date(2024, 5, 1)  # two months of four
     whole = latest.merged(latest.facts_of(read_results(spark, path), runner.STOP_VAR))
     assert sorted(map(str, facts.collect())) == sorted(map(str, whole.collect()))
     assert len(snapshots._finished()) <= latest.KEPT
+
+
+def test_outliers_are_told_by_all_rows_so_far(spark, go):
+    checks = {"w": setup(col="date_id"), "far": entry("outlier", col="v", deviations=2)}
+    rows = [(2024001, k, 10 + k % 3) for k in range(20)]
+    assert go(1, checks, days(spark, rows))["far"] == 0
+    # against its own window the third value would be none: there is no other
+    rows += [(2024002, 50, 100)]
+    assert go(2, checks, days(spark, rows))["far"] == 1
+    rows += [(2024003, 60 + k, 11) for k in range(5)]
+    assert go(3, checks, days(spark, rows))["far"] == 0
+    whole = days(spark, rows)
+    mean, sd = whole.agg(F.avg("v"), F.stddev_samp("v")).first()
+    parts = statistics.moments(whole, "v", F.col("date_id"))
+    got = statistics.merged_moments(parts).first()
+    assert got.n == 26 and abs(got["mean"] - mean) < 1e-9 and abs(got.sd - sd) < 1e-9
+
+
+def test_moments_merge_far_from_zero(spark):
+    df = spark.range(1000).selectExpr("id % 7 AS g", "1e9 + id % 10 AS v")
+    got = statistics.merged_moments(statistics.moments(df, "v", F.col("g"))).first()
+    assert abs(got.sd - df.agg(F.stddev_samp("v")).first()[0]) < 1e-6
+    assert statistics.merged_moments(statistics.moments(df.limit(0), "v", F.col("g"))).first().sd is None
+
+
+def test_profiles_of_windows_merge(spark, go, tmp_path):
+    checks = {"w": setup(col="date_id"), "facts": entry("profile", cols="k,v,date_id") | {"check_type": "profile", "check_scope": "row"}}
+    df = spark.range(3000).selectExpr("cast(2024001 + id div 1000 as int) AS date_id", "id AS k", "id % 50 - 10 AS v")
+    nulls = df.withColumn("v", F.when(F.col("k") % 10 != 0, F.col("v")))
+    for n, end in enumerate((2024001, 2024002, 2024003)):
+        go(n, checks, nulls.where(F.col("date_id") <= end), day=n)
+    row = read_results(spark, str(tmp_path / "h")).where("check_name = 'facts' and run_id = 2").first()
+    got = {k.removeprefix("hapinsp_profile_"): v for k, v in row.env_vars.items() if k.startswith("hapinsp_profile_")}
+    assert got["k_n_rows"] == "3000" and got["v_n_null"] == "300"
+    assert (got["v_min_value"], got["v_max_value"], got["k_max_value"]) == ("-9", "39", "2999")
+    assert abs(int(got["k_n_distinct"]) - 3000) <= 150 and got["v_n_distinct"] == "45"
+    assert abs(float(got["k_median"]) - 1500) <= 100 and abs(float(got["k_q75"]) - 2250) <= 100
+    assert abs(float(got["k_avg_value"]) - 1499.5) < 1e-6
+    whole = {r.column_name: r for r in statistics.merged_profile(statistics.sketches(nulls)).collect()}
+    assert whole["k"].n_distinct == int(got["k_n_distinct"])
+
+
+def test_a_day_opened_again_replaces_its_facts(spark, go, tmp_path):
+    checks = {"w": setup(col="date_id"), "facts": entry("profile", cols="v") | {"check_type": "profile", "check_scope": "row"}}
+    rows = [(2024001, 1, 4), (2024002, 2, 6)]
+    go(1, checks, days(spark, rows))
+    rows += [(2024001, 3, 8), (2024003, 4, 10)]
+    go(2, checks, days(spark, rows))
+    row = read_results(spark, str(tmp_path / "h")).where("check_name = 'facts' and run_id = 2").first()
+    assert row.env_vars["hapinsp_profile_v_n_rows"] == "4" and float(row.env_vars["hapinsp_profile_v_avg_value"]) == 7.0
+
+
+def test_one_scan_for_all_columns(spark, tmp_path):
+    spark.range(10).selectExpr(*[f"id + {i} AS c{i}" for i in range(40)]).write.parquet(str(tmp_path / "t"))
+    plan = statistics.sketches(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_rollups_are_made_again_only_where_files_changed(spark, tmp_path, go):
+    path, checks = str(tmp_path / "h"), {"low": entry("range", "full", col="v", max=5)}
+    for n, day in enumerate((0, 1, 40)):
+        go(n, checks, days(spark, [(2024001, n, 9)] * (n + 1)), day=day)
+    rollups = Rollups(spark, path)
+    assert rollups.daily().count() == 0
+    assert rollups.refresh() == ["run_month=2024-03-01", "run_month=2024-04-01"]
+    assert rollups.refresh() == []
+    go(3, checks, days(spark, [(2024001, 3, 9)] * 4), day=41)
+    assert rollups.refresh() == ["run_month=2024-04-01"]
+    history = read_results(spark, path)
+    for made, from_rows in (
+        (rollups.series("table_name"), daily(history, "table_name")),
+        (rollups.series("check_name", "month"), monthly(history, "check_name")),
+        (rollups.levels(), rollup_levels(history)),
+    ):
+        assert sorted(map(str, made.select(from_rows.columns).collect())) == sorted(map(str, from_rows.collect()))
+    compact_results(spark, path, dt.date(2024, 3, 1), least=2)
+    assert rollups.refresh() == ["run_month=2024-03-01"]
+    assert rollups.levels().count() == rollup_levels(read_results(spark, path)).count()
+
+
+def test_nulls_inside_values_are_differences(spark):
+    def count(left, right, kind):
+        frames = [spark.createDataFrame([(v,) for v in rows], f"v {kind}") for rows in (left, right)]
+        return consistency.count_row_differences(*frames).first().violations
+
+    assert count([[1, None]], [[None, 1]], "array<int>") == 2
+    assert count([(1, None)], [(None, 1)], "struct<a:int,b:int>") == 2
+    assert count([[1, None], None], [None, [1, None]], "array<int>") == 0
+    assert count([{"a": None}], [{}], "map<string,int>") == 2
+    assert count([{"a": 1, "b": 2}], [{"b": 2, "a": 1}], "map<string,int>") == 0
+    assert count([[(None, 1)]], [[(1, None)]], "array<struct<a:int,b:int>>") == 2
+
+
+def test_only_rows_of_differing_buckets_are_sent(spark, tmp_path):
+    df = spark.range(20_000).selectExpr("id % 20 AS part", "id AS k", "if(id % 3 = 0, null, id) AS v")
+    other = df.withColumn("v", F.when(F.col("k") == 77, -1).otherwise(F.col("v"))).where("k <> 500")
+    more = other.unionByName(df.where("k = 900"))
+    for partition in ((), ("part",)):
+        assert consistency.count_row_differences(df, df, partition).first().asDict() == {"n_missing": 0, "n_extra": 0, "violations": 0}
+        got = consistency.count_row_differences(df, more, partition).first()
+        assert (got.n_missing, got.n_extra, got.violations) == (2, 2, 4)
+    left, right = (consistency.row_digests(x, ["part", "k", "v"], "part") for x in (df, more))
+    places = consistency.differing_places(left, right, "_p0", "bucket").collect()
+    assert len(places) <= 4  # of 20 x 1024: of the row that is lost, the one that is twice, and the one that changed
+    plan = consistency.count_row_differences(df, df, ("part",))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan[plan.index("Aggregate [d1") :]  # rows are dropped before they are sent

@@ -101,6 +101,51 @@ def labelled(docs: DataFrame, languages: list[str], chain: chain_crf.Chain | Non
     return given.mapInArrow(label, f"{fields}, lang_pred string, score double")
 
 
+def judged(
+    docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", into: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``docs`` with two more columns, named by ``into``. Only the text goes to Python; all columns, whatever their
+    names and types, stay where they are.
+    """
+    known = docs.where(learn & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
+    pair = F.col(f"`{text}`").cast("string").alias("_text"), F.col(f"`{lang}`").cast("string").alias("_lang")
+    languages, chain = fit(known.select(*pair))
+    held = docs.sparkSession.sparkContext.broadcast((languages, chain))
+
+    def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names, chain = held.value
+        for texts in batches:
+            batch = pa.RecordBatch.from_arrays([texts], ["_read"])
+            said, score = np.full(len(texts), len(names)), np.zeros(len(texts))
+            for rows, some, part in chain_crf.by_length(batch, "_read", JUDGED_TOGETHER):
+                lettered = has_letter(some) & bool(names)
+                best, share = decided(part, len(rows), chain, len(names))
+                said[rows] = np.where(lettered, best, len(names))
+                score[rows] = np.where(lettered, share, 0.0)
+            spoken = pa.array([*names, UNKNOWN], pa.string()).take(pa.array(said))
+            yield pa.StructArray.from_arrays([spoken, pa.array(score)], ["lang_pred", "score"])
+
+    # once for each row: the optimizer must not repeat it in a filter
+    judge = F.arrow_udf(label, "lang_pred string, score double", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
+    named = docs.withColumn("_judged", judge(F.col(f"`{text}`").cast("string")))
+    fields = [F.col("_judged.lang_pred").alias(into[0]), F.col("_judged.score").alias(into[1])]
+    return named.select(*[F.col(f"`{c}`") for c in docs.columns], *fields)
+
+
+#: Text bytes whose words are labelled together by :func:`judged`.
+JUDGED_TOGETHER = 300_000
+
+
+def decided(part: words.Words, rows: int, chain: chain_crf.Chain | None, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The language with the largest sum of marginals in each text, and its share of the words."""
+    if chain is None:
+        return np.zeros(rows, np.int64), np.ones(rows)
+    sums = np.vstack([np.zeros(total), np.cumsum(chain.marginals(part), axis=0)])
+    sums = sums[part.first[1:]] - sums[part.first[:-1]]
+    best = sums.argmax(axis=1)
+    return best, np.clip(sums[np.arange(rows), best] / np.maximum(part.counts, 1), 0, 1)
+
+
 def identify(
     docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:

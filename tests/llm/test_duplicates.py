@@ -108,13 +108,20 @@ def test_near_dedup_keeps_one_of_each_component(frame, corpus):
     given = frame(corpus)
     out = jaccard_join.near_dedup(given)
     assert out.columns == given.columns
-    groups = brute.near(corpus)
-    expected = {(k, t) for (k, t), (_, n, c) in zip(corpus, groups, strict=True) if n and k == c and k is not None}
-    blank = [(k, t) for (k, t), (_, n, _) in zip(corpus, groups, strict=True) if not n]
+    groups = brute.near([(i, t) for i, (_, t) in enumerate(corpus)])  # components by their roots: keys come twice
+    members = {}
+    for row, (_, n, root) in zip(corpus, groups, strict=True):
+        if n:
+            members.setdefault(root, []).append(row)
+    blank = [row for row, (_, n, _) in zip(corpus, groups, strict=True) if not n]
     got = tuples(out, "doc_id", "text")
     worded = [r for r in got if r not in blank]
     assert len([r for r in got if r in blank]) == len(blank)
-    assert set(worded) <= expected and len(worded) == len({c for _, n, c in groups if n})
+    component = {text: root for root, m in members.items() for _, text in m}
+    assert sorted(component[t] for _, t in worded) == sorted(members)
+    for key, text in worded:
+        group = members[component[text]]
+        assert (key, text) in group and brute.last(key) == min(brute.last(k) for k, _ in group)
 
 
 def test_near_dedup_keeps_components_that_share_a_key_or_have_none(frame, corpus):

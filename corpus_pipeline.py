@@ -24,18 +24,20 @@ def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: only text without a letter goes. Texts that mix languages stay.
+    """Texts get a language: a NULL ``lang`` becomes the one that the chain finds. Texts without a letter go.
 
-    Learns from the rows with a language whose fold is not held out. Where no row with a text has a language
-    nothing can be told, and all rows with a letter stay.
+    A given language stays as it is, and texts that mix languages stay. Learns from the rows with a language whose
+    fold is not held out. Where no row with a text has a language nothing can be told, and ``lang`` stays NULL.
     """
     safe, names = renamed(docs)
     learn = fold(F.col(names["doc_id"]), 3) != 1
     if not safe.where(learn & F.col(names["lang"]).isNotNull() & F.col(names["text"]).isNotNull()).limit(1).count():
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    said = language_crf.identify(safe, learn, names["text"], names["lang"], keep=tuple(names.values()))
-    kept = said.where(F.col("lang_pred") != language_crf.UNKNOWN)
-    return kept.select([F.col(n).alias(c) for c, n in names.items()])
+    said = language_crf.judged(safe, learn, names["text"], names["lang"], into=("_said", "_share"))
+    kept = said.where(F.col("_said") != language_crf.UNKNOWN)
+    found = {c: F.col(n) for c, n in names.items()}
+    found["lang"] = F.coalesce(found["lang"], F.col("_said").cast(docs.schema["lang"].dataType))
+    return kept.select([v.alias(c) for c, v in found.items()])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

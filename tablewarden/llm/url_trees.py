@@ -5,7 +5,8 @@ expressions, so URLs are scored in the plan of the scan.
 
 Defined results: NULL, empty text and text without ``://`` have an empty host and path and fit no rule; the
 trees judge them by what is left of their features. Without any labelled URL every other URL is allowed; if
-all labels agree, that verdict holds. Repeated rows are judged alike. An empty table gives an empty result.
+all labels agree, that verdict holds. Repeated rows are judged alike. An empty table gives an empty result. Very long
+URLs are read whole; other columns are passed over, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import stored
+from tablewarden.llm.common import LEAST_ROWS, stored
 
-#: Bound of the rows the trees are fitted on; beyond it, those with the smallest hash of their URL.
+#: Bound of the distinct URLs the trees are fitted on; beyond it, of each class those with the smallest hash.
 TRAINING_ROWS = 500_000
 #: Statistics of host suffixes are kept for so many hash buckets: the bound of what is broadcast.
 SUFFIX_BUCKETS = 8192
@@ -128,6 +129,27 @@ def with_suffixes(pages: DataFrame, statistics: DataFrame, prior: float) -> Data
     )
 
 
+def training_sample(known: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` labelled URLs, at least :data:`LEAST_ROWS` of each class if there are as many.
+
+    Copies of a URL are one row with their number as weight; those with the smallest hash are taken, of each class
+    its share of the distinct URLs. What a row is taken for is spread over the weights of its class.
+    """
+    columns = [c for c in known.columns if c not in ("_url", "_label", "_weight")]
+    once = known.groupBy("_url", "_label").agg(
+        F.count("*").cast("double").alias("_weight"), F.first(F.struct(*columns)).alias("_rest")
+    )
+    once = stored(once.withColumn("_order", F.xxhash64(F.lit("training"), "_url")))
+    sizes = {r["_label"]: (r["n"], r["w"]) for r in once.groupBy("_label").agg(F.count("*").alias("n"), F.sum("_weight").alias("w")).collect()}
+    total, parts = sum(n for n, _ in sizes.values()), []
+    for label, (n, weight) in sorted(sizes.items()):
+        taken = min(n, max(LEAST_ROWS, rows * n // total))
+        some = stored(once.where(F.col("_label") == label).orderBy("_order", "_url").limit(taken))
+        share = some.agg(F.sum("_weight")).first()[0] / weight
+        parts.append(some.withColumn("_weight", F.col("_weight") / share))
+    return parts[0].unionByName(parts[1]).select("_url", "_label", "_weight", "_rest.*")
+
+
 def block_scores(pages: DataFrame, rounds: int = 10, depth: int = 4, training_rows: int = TRAINING_ROWS) -> DataFrame:
     """Adds ``score`` (1: block) to URLs with features; ``_label`` is 1.0 (block), 0.0 (allow) or NULL."""
     known = pages.where(F.col("_label").isNotNull())
@@ -137,13 +159,13 @@ def block_scores(pages: DataFrame, rounds: int = 10, depth: int = 4, training_ro
     prior = blocked / n
     statistics = stored(suffix_statistics(known, prior))
     full = with_suffixes(pages, statistics, prior)
+    known = known.withColumn("_weight", F.lit(1.0))
     if n > training_rows:
-        share = training_rows / n
-        known = known.where(F.pmod(F.xxhash64(F.lit("training"), "_url"), F.lit(1_000_000)) < int(share * 1_000_000))
+        known = training_sample(known, training_rows)
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="_features")
-    sample = stored(assemble.transform(with_suffixes(known, statistics, prior)).select("_features", "_label"))
+    sample = stored(assemble.transform(with_suffixes(known, statistics, prior)).select("_features", "_label", "_weight"))
     trees = GBTClassifier(
-        featuresCol="_features", labelCol="_label", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7,
+        featuresCol="_features", labelCol="_label", weightCol="_weight", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7,
     ).fit(sample)
     scored = trees.transform(assemble.transform(full))
     return scored.withColumn("score", vector_to_array("probability")[1])

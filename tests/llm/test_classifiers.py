@@ -235,3 +235,19 @@ def test_entropy(spark):
     rows = spark.createDataFrame([("",), ("aaaa",), ("abab",), ("abcd",)], "u string")
     got = [round(r[0], 6) for r in rows.select(url_trees.entropy(F.col("u"))).collect()]
     assert got == [0.0, 0.0, 1.0, 2.0]
+
+
+def test_a_small_bound_of_training_urls_keeps_both_classes(spark):
+    from tablewarden.llm import url_trees
+
+    urls = [("http://a.net/es/%d" % i, 1.0) for i in range(300)] + [("http://b.com/%d" % i, 0.0) for i in range(97)]
+    urls += [("http://a.net/es/hot", 1.0)] * 300 + [(None, None), ("http://c.org/es/1", None)]
+    rows = url_trees.with_lexical(spark.createDataFrame(urls, "u string, _label double"), F.col("u"))
+    for bound in (2, 50, 200):
+        scored = url_trees.block_scores(rows, training_rows=bound)
+        assert scored.count() == len(urls)
+        by = {r._label: r.s for r in scored.groupBy("_label").agg(F.avg("score").alias("s")).collect()}
+        assert by[1.0] > 0.7 and by[0.0] < 0.3
+    sample = url_trees.training_sample(rows.where("_label is not null").withColumn("_weight", F.lit(1.0)), 50)
+    sizes = {r._label: (r.n, round(r.w)) for r in sample.groupBy("_label").agg(F.count("*").alias("n"), F.sum("_weight").alias("w")).collect()}
+    assert sizes[0.0][0] == 20 and sizes[1.0][0] <= 50 and (sizes[0.0][1], sizes[1.0][1]) == (97, 600)

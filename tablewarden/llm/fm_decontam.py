@@ -5,11 +5,11 @@ benchmark lacks cannot lie in a match and end a run, and runs shorter than the s
 Over the runs that remain stands a suffix array, its Burrows-Wheeler transform in a wavelet matrix, and
 suffix positions sampled at every eighth place and at the starts of runs. All test phrases are searched
 backward at once by wavelet ranks, their occurrences located by walks to sampled positions, and the spans
-merged. Memory is bounded by the shard; the benchmark is taken in blocks of bounded size.
+merged. Memory is bounded by the shard; the benchmark is taken in blocks of bounded size, one after the other.
 
 Defined results: NULL and empty text has no words, no hits and is not contaminated. A benchmark item of fewer
-words than a window, but not none, is one window; NULL items have none. Repeated rows are judged alike, and
-repeated item ids count once. An empty benchmark leaves every document clean; an empty table gives an empty
+words than a window, but not none, is one window; items with a NULL text have none. Items with a NULL id hit as others do;
+together they are one item, a NULL in the list of items. Repeated rows are judged alike, and repeated item ids count once. An empty benchmark leaves every document clean; an empty table gives an empty
 result. Other columns are passed over.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ class Phrases:
 
     vocabulary: np.ndarray  # ascending word hashes; symbol = place + 1
     groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # (windows x length symbols, item offsets, items)
-    items: list[str]
+    items: list[str | None]
 
     @property
     def shortest(self) -> int:
@@ -234,7 +235,7 @@ def search_block(docs: DataFrame, phrases: Phrases, text: str) -> DataFrame:
                     [
                         *batch.slice(a, b - a).select(others).columns,
                         pa.array(part.counts.astype(np.int64)),
-                        pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                        pa.array([sorted(x, key=lambda i: (i is None, i or "")) for x in items], pa.list_(pa.string())),
                         pa.array(hits, span),
                         pa.array(spans, span),
                     ],
@@ -252,13 +253,12 @@ def blocks_of(benchmark: DataFrame, item: str, text: str, most: int = BLOCK_CHAR
     blocks = max(1, -(-chars // most))
     for block in range(blocks):
         part = known if blocks == 1 else known.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == block)
-        rows = part.where(F.col("_item").isNotNull()).collect()  # about ``most`` characters
+        rows = part.collect()  # about ``most`` characters
         yield compile_phrases([r[0] for r in rows], [r[1] for r in rows])
 
 
-def merged_spans(a, b):
-    """Two lists of ranges as one, overlapping ranges merged."""
-    ordered = F.array_sort(F.concat(a, b))
+def merged_spans(spans):
+    """A list of ranges with overlapping ones merged."""
 
     def add(done, x):
         last = F.element_at(done, -1)
@@ -267,7 +267,7 @@ def merged_spans(a, b):
         rest = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
         return F.when(joins, F.concat(rest, F.array(wider))).otherwise(F.concat(done, F.array(x)))
 
-    return F.aggregate(ordered, F.array().cast(SPANS), add)
+    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), add)
 
 
 def find_contamination(
@@ -276,24 +276,31 @@ def find_contamination(
 ) -> DataFrame:
     """Per row of ``docs``: columns ``keep``, n_words, items, hits (word ranges) and spans (code points to remove).
 
-    A benchmark beyond one block takes a pass per block.
+    Items with a NULL id hit like others, and together are one NULL in ``items``. A benchmark beyond one block takes
+    a pass per block; blocks are compiled one after the other, and what each finds is written before the next.
     """
-    blocks = list(blocks_of(benchmark, item, item_text, block_chars))
     keep = [c for c in keep]
     given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_searched"))
-    if len(blocks) == 1:
-        return search_block(given, blocks[0], "_searched")
+    blocks = blocks_of(benchmark, item, item_text, block_chars)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return search_block(given, first, "_searched")
     keyed = stored(given.withColumn("_numbered", F.monotonically_increasing_id()))
-    total = search_block(keyed, blocks[0], "_searched")
-    for block in blocks[1:]:
-        more = search_block(keyed.select("_numbered", "_searched"), block, "_searched")
-        more = more.select("_numbered", *[F.col(c).alias(f"_{c}") for c in ("items", "hits", "spans")])
-        total = total.join(more, "_numbered").select(
-            *[F.col(f"`{c}`") for c in keep], "_numbered", "n_words",
-            F.array_sort(F.array_union("items", "_items")).alias("items"),
-            merged_spans("hits", "_hits").alias("hits"), merged_spans("spans", "_spans").alias("spans"),
-        )
-    return total.drop("_numbered")
+    lists = ("items", "hits", "spans")
+    total, parts, block = stored(search_block(keyed, first, "_searched")), [], second
+    del first, second
+    while block is not None:
+        more = search_block(keyed.select("_numbered", "_searched"), block, "_searched").where(F.size("hits") > 0)
+        parts.append(stored(more.select("_numbered", *[F.col(c).alias(f"_{c}") for c in lists])))
+        block = next(blocks, None)
+    found = reduce(DataFrame.unionByName, parts).groupBy("_numbered")
+    found = found.agg(*[F.flatten(F.collect_list(f"_{c}")).alias(f"_{c}") for c in lists])
+    both = total.join(found, "_numbered", "left")
+    every = {c: F.concat(F.col(c), F.coalesce(F.col(f"_{c}"), F.array())) for c in lists}
+    return both.select(
+        *[F.col(f"`{c}`") for c in keep], "n_words", F.array_sort(F.array_distinct(every["items"])).alias("items"),
+        merged_spans(every["hits"]).alias("hits"), merged_spans(every["spans"]).alias("spans"),
+    )
 
 
 def cut(text, spans):

@@ -74,3 +74,14 @@ def test_items_of_one_long_run_take_few_rounds():
     index = fm_decontam.FMIndex(text, 2)
     low, high = index.search(np.array([[1, 2, 1, 2, 1, 2, 1, 2, 1, 2]]))
     assert high[0] - low[0] == 2 * (10_000 - 9) // 2 + 1 or high[0] - low[0] == 9992
+
+
+@pytest.mark.parametrize("block_chars", [10**9, 20])
+def test_items_without_an_id_hit_and_count_as_one(spark, frame, block_chars):
+    rows = [(1, "here is a lost item again"), (2, "found thing, lost item"), (3, "nothing"), (4, "a stray word")]
+    items = [(None, "lost item"), (None, "stray"), ("f", "found thing"), (None, None), (None, "found")]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    got = fm_decontam.find_contamination(frame(rows), benchmark, block_chars=block_chars).collect()
+    hits = {r.doc_id: [i for h in r.hits for i in range(h.begin, h.end)] for r in got}
+    assert hits == {1: [3, 4], 2: [0, 1, 2, 3], 3: [], 4: [1]}
+    assert {r.doc_id: list(r["items"]) for r in got} == {1: [None], 2: ["f", None], 3: [], 4: [None]}

@@ -34,6 +34,7 @@ class Runs:
     def __init__(self, like: DataFrame, fan: int, buckets: int):
         self.spark, self.fan, self.buckets = like.sparkSession, fan, buckets
         self.levels: list[list[str]] = []
+        self.written: list[str] = []
 
     def dealt(self, rows: DataFrame) -> DataFrame:
         """``rows`` laid out as the runs are: the one shuffle of a batch's digests."""
@@ -42,6 +43,7 @@ class Runs:
     def write(self, run: DataFrame) -> str:
         """Stores rows that are laid out as the runs are."""
         name = f"line_run_{uuid.uuid4().hex}"
+        self.written.append(name)
         (
             run.write.bucketBy(self.buckets, "h1", "h2")
             .sortBy("h1", "h2")
@@ -79,9 +81,9 @@ class Runs:
             self.levels[level] = []
             level += 1
 
-    def forget(self, also: list[str] = ()) -> None:
-        """Takes the runs out of the catalogue; their files go with the shared folder."""
-        for name in [n for level in self.levels for n in level] + list(also):
+    def forget(self) -> None:
+        """Takes all runs out of the catalogue, merged ones too; their files go with the shared folder."""
+        for name in self.written:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
@@ -121,9 +123,27 @@ def batches_of(docs: DataFrame, batches: int) -> list[DataFrame]:
 def repeated_lines(
     docs: DataFrame, min_chars: int = 10, batches: int = 4, fan: int = 2, buckets: int | None = None
 ) -> DataFrame:
-    """Positions to drop: _key, _hash, pos. ``docs`` has _key, _text and _hash."""
+    """What to drop of a document: _key, _hash, ``_n_gone`` lines, and ``_gone``, a byte ``1`` for each that goes.
+
+    ``docs`` has _key, _text and _hash. The bytes end with the last line that goes.
+    """
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs, dropped = Runs(docs, fan, buckets), []
+    runs = Runs(docs, fan, buckets)
+    try:
+        found = dropped_places(docs, runs, min_chars, batches)
+        places = found.groupBy("_key", "_hash").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+        # zeros up to each place, then a one: as long as the text has lines, in one go
+        before = lambda k: F.when(k > 0, F.get("at", k - 1) + 1).otherwise(F.lit(0))
+        marks = F.transform("at", lambda at, k: F.concat(F.repeat(F.lit("0"), at - before(k)), F.lit("1")))
+        bits = F.array_join(marks, "").cast("binary").alias("_gone")
+        return stored(places.select("_key", "_hash", F.size("at").cast("long").alias("_n_gone"), bits))
+    finally:
+        runs.forget()
+
+
+def dropped_places(docs: DataFrame, runs: Runs, min_chars: int, batches: int) -> DataFrame:
+    """``_key``, ``_hash`` and ``pos`` of each line that an earlier document has."""
+    dropped = []
     for batch in batches_of(docs, batches):
         lines = stored(document_lines(batch, min_chars))
         # written, as the anti joins would else be moved below the counting and meet a hot line's every row
@@ -135,8 +155,6 @@ def repeated_lines(
     found = dropped[0]
     for part in dropped[1:]:
         found = found.unionByName(part)
-    found = stored(found.groupBy("_key", "_hash").agg(F.collect_set("pos").alias("_gone")))
-    runs.forget()
     return found
 
 
@@ -154,12 +172,13 @@ def line_dedup(
     gone = repeated_lines(rows.select("_key", "_text", "_hash"), min_chars, batches, fan)
     lines = F.split("_text", "\n", -1)
     both = rows.join(gone, ["_key", "_hash"], "left")
+    one = F.lit(b"1")
     kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(
-        F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_gone", i)), "\n")
+        F.array_join(F.filter(lines, lambda _, i: F.substr("_gone", i + 1, F.lit(1)) != one), "\n")
     )
     return both.select(
         F.col(key),
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce("_n_gone", F.lit(0)).cast("long").alias("n_dropped"),
         kept.alias("kept_text"),
     )

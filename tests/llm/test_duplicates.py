@@ -238,3 +238,30 @@ def test_word_hashes_tell_long_words_apart():
     assert part.counts.tolist() == [1, 1, 1, 0, 0, 2]
     h = part.hashes()
     assert len(set(h.tolist())) == 4 and h[2] == h[3]
+
+
+def test_a_text_of_very_many_repeated_lines_takes_seconds(spark):
+    import time
+
+    from tablewarden.llm import line_runs
+
+    lines = [f"a line that stands twice {i}" for i in range(200_000)]
+    rows = [(1, "\n".join(lines[::2])), (2, "\n".join([*lines, "x", "the last line is new"]))]
+    given = spark.createDataFrame(rows, brute.SCHEMA)
+    begin = time.monotonic()
+    got = {r.doc_id: r for r in line_runs.line_dedup(given).collect()}
+    assert time.monotonic() - begin < 60
+    assert (got[1].n_dropped, got[2].n_dropped, got[2].n_lines) == (0, 100_000, 200_002)
+    assert got[1].kept_text == rows[0][1] and got[2].kept_text == "\n".join([*lines[1::2], "x", "the last line is new"])
+
+
+def test_line_runs_leave_the_catalogue_when_a_job_fails(spark, frame, corpus, monkeypatch):
+    from tablewarden.llm import line_runs
+
+    def broken(*args):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(line_runs.Runs, "unseen", broken)
+    with pytest.raises(RuntimeError):
+        line_runs.line_dedup(frame(corpus))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run")]

@@ -142,27 +142,25 @@ def peer_spot_check(
     cols = [*keys, *fields]
     rows = row_differences(table.where(picked), peer.where(picked), cols)
     gap = F.col("n_left") - F.col("n_right")
-    differing = [F.when(F.array_contains(F.col("_names"), f), F.lit(f)) for f in fields]
-    # of each field the values that one side has more often: none is left where the sides agree
-    values = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields])
-    other = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    each = rows.select(*other, gap.alias("_gap"), F.explode(values).alias("_f"))
+    # of each field the values that one side has more often: none is left where the sides agree; the nameless
+    # field stands for the whole row
+    whole = F.struct(F.lit("").alias("field"), F.to_json(F.struct(*[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)])).alias("v"))
+    values = F.array(whole, *[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields])
     own = [f"_k{i}" for i in range(len(keys))]
-    uneven = (
-        each.groupBy(*own, "_f.field", "_f.v")
-        .agg(F.sum("_gap").alias("_gap"))
-        .groupBy(*own)
-        .agg(F.collect_set(F.when(F.col("_gap") != 0, F.col("field"))).alias("_names"))
+    each = rows.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], gap.alias("_gap"), F.explode(values).alias("_f"))
+    parts = each.groupBy(*own, "_f.field", "_f.v").agg(F.sum("_gap").alias("_gap"))
+    row = F.col("field") == ""
+    uneven = parts.groupBy(*own).agg(
+        F.coalesce(F.sum(F.when(row, F.greatest("_gap", F.lit(0)))), F.lit(0)).alias("n_table"),
+        F.coalesce(F.sum(F.when(row, F.greatest(-F.col("_gap"), F.lit(0)))), F.lit(0)).alias("n_peer"),
+        F.collect_set(F.when(~row & (F.col("_gap") != 0), F.col("field"))).alias("_names"),
     )
-    sums = rows.groupBy(*keys).agg(
-        F.sum(F.greatest(gap, F.lit(0))).alias("n_table"), F.sum(F.greatest(-gap, F.lit(0))).alias("n_peer")
-    )
-    same = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own)]
-    named = sums.join(uneven, same)
-    listed = F.concat_ws(",", *differing)
+    listed = F.concat_ws(",", *[F.when(F.array_contains(F.col("_names"), f), F.lit(f)) for f in fields])
     # the same values, paired differently: rows differ though no field on its own does
     paired = F.when(listed == "", F.lit(",".join(fields))).otherwise(listed)
-    return named.select(*keys, "n_table", "n_peer", paired.alias("fields_differing"))
+    return uneven.select(
+        *[F.col(o).alias(k) for k, o in zip(keys, own)], "n_table", "n_peer", paired.alias("fields_differing")
+    )
 
 
 def target_vs_source(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -194,7 +192,7 @@ def count_differences(differences: DataFrame) -> DataFrame:
 FINGERPRINT_BUCKETS = 1024
 
 
-def _digestible(df: DataFrame, c: str) -> Column:
+def digestible(df: DataFrame, c: str) -> Column:
     """A column as the hash functions see all of it: they pass over NULL inside arrays and structs, JSON does not."""
     if isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
         value = _groupable(df, [c])[0]
@@ -204,7 +202,7 @@ def _digestible(df: DataFrame, c: str) -> Column:
 
 def row_digests(df: DataFrame, cols: Sequence[str], *keep: str) -> DataFrame:
     """``d1`` and ``d2``, a 128-bit digest of each row, which NULLs are part of, and ``bucket``."""
-    values = [_digestible(df, c) for c in cols]
+    values = [digestible(df, c) for c in cols]
     blanks = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in cols])
     digests = df.select(
         *[F.col(k).alias(f"_p{i}") for i, k in enumerate(keep)],

@@ -77,13 +77,8 @@ def winners(digests: DataFrame) -> DataFrame:
     return best.select("_digest", "group_size", F.col("best.key").alias("keep_id"), F.col("best._row").alias("_kept"))
 
 
-def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """One row per row of ``docs``: ``key``, keep_id, group_size, kept, text_sha256, and the size of the text."""
-    digests = stored(
-        with_digest(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text").select(
-            "_key", "_digest", "_size", F.monotonically_increasing_id().alias("_row")
-        )
-    )
+def grouped(digests: DataFrame, counters: int) -> DataFrame:
+    """Adds ``group_size``, ``keep_id`` and ``_kept``, the row that stays, to rows of _key, _digest, _size and _row."""
     rows = digests.count()
     candidates = stored(heavy_digests(digests, counters))  # at most ``counters`` rows
     heavy = stored(
@@ -93,8 +88,17 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", count
     )
     dealt = digests.join(F.broadcast(heavy), "_digest", "left")
     rest = dealt.where(F.col("_kept").isNull()).select(digests.columns)
-    out = dealt.where(F.col("_kept").isNotNull()).unionByName(rest.join(winners(rest), "_digest"))
-    return out.select(
+    return dealt.where(F.col("_kept").isNotNull()).unionByName(rest.join(winners(rest), "_digest"))
+
+
+def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:
+    """One row per row of ``docs``: ``key``, keep_id, group_size, kept, text_sha256, and the size of the text."""
+    digests = stored(
+        with_digest(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text").select(
+            "_key", "_digest", "_size", F.monotonically_increasing_id().alias("_row")
+        )
+    )
+    return grouped(digests, counters).select(
         F.col("_key").alias(key),
         "keep_id",
         "group_size",
@@ -105,15 +109,15 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", count
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns.
+
+    It is decided on light rows; whole rows meet the decision by their number, so copies of one document, whatever
+    their keys, are spread as all other rows are.
+    """
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     safe = docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    groups = exact_groups(safe, names[key], names[text], counters).where("kept")
-    kept = groups.select(
-        F.col(names[key]).alias("_k"), F.unhex("text_sha256").alias("_d"), F.col("n_chars_original").alias("_s")
-    )
-    full = with_digest(safe, names[text])
-    # rows that agree in key, digest and size are repeats of one document: dropDuplicates needs no new shuffle
-    match = full[names[key]].eqNullSafe(kept["_k"]) & (full["_digest"] == kept["_d"]) & (full["_size"] == kept["_s"])
-    once = full.join(kept, match, "left_semi").dropDuplicates([names[key], "_digest", "_size"])
-    return once.select([F.col(n).alias(c) for c, n in names.items()])
+    rows = stored(safe.withColumn("_row", F.monotonically_increasing_id()))
+    digests = with_digest(rows.select(F.col(names[key]).alias("_key"), F.col(names[text]).alias("_text"), "_row"), "_text")
+    groups = grouped(stored(digests.select("_key", "_digest", "_size", "_row")), counters)
+    kept = groups.where(F.col("_row") == F.col("_kept")).select("_row")
+    return rows.join(kept, "_row", "left_semi").select([F.col(n).alias(c) for c, n in names.items()])

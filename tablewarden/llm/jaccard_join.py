@@ -470,17 +470,22 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     Rows without words all stay. Components are told apart by their own labels, so those without any key, or with
     the same smallest key, each keep a row; among rows of that key it is the one with the smallest text hash. Of
-    repeats of the row that stays, one does.
+    repeats of the row that stays, one does. Whole rows meet the decision by their number, so repeats are spread as
+    all other rows are.
     """
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     safe = docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    rows = stored(safe.withColumn("_row", F.monotonically_increasing_id()))
     body = text_or_empty(names[text])
-    safe = safe.withColumns({"_key": F.col(names[key]).cast("long"), "_th": F.xxhash64(body)})
-    groups = grouped_rows(safe, names[key], names[text]).where("n > 0")
+    groups = grouped_rows(rows, names[key], names[text]).where("n > 0")
     first = F.min(F.struct(F.col("key").isNull().alias("last"), F.col("key").alias("k"), F.col("th").alias("h")))
     # a text has one component, so key and text hash also name the row's component
     kept = groups.groupBy("ga", "gb").agg(first.alias("f")).select(F.col("f.k").alias("k"), F.col("f.h").alias("h"))
-    blank = F.btrim(body, F.lit(WHITE)) == ""
-    worded = safe.where(~blank).join(kept, F.col("_key").eqNullSafe(F.col("k")) & (F.col("_th") == F.col("h")), "left_semi")
-    once = worded.dropDuplicates(["_key", "_th"])
-    return once.unionByName(safe.where(blank)).select([F.col(n).alias(c) for c, n in names.items()])
+    light = rows.select(
+        "_row", F.col(names[key]).cast("long").alias("_key"), F.xxhash64(body).alias("_th"), (F.btrim(body, F.lit(WHITE)) == "").alias("_blank")
+    )
+    # one number for each key and text, found in the tasks first
+    one = light.where(~F.col("_blank")).groupBy("_key", "_th").agg(F.min("_row").alias("_row"))
+    stay = one.join(kept, F.col("_key").eqNullSafe(F.col("k")) & (F.col("_th") == F.col("h")), "left_semi").select("_row")
+    stay = stay.unionByName(light.where("_blank").select("_row"))
+    return rows.join(stay, "_row", "left_semi").select([F.col(n).alias(c) for c, n in names.items()])

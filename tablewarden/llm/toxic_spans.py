@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -69,9 +70,19 @@ def bucket_of(part: words.Words) -> np.ndarray:
     return (part.hashes() % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def lexicon(no: np.ndarray, yes: np.ndarray, n_no: int, n_yes: int, least: float = 40.0) -> np.ndarray:
-    """Truth per bucket: toxic texts have the word more often (log odds over 1.5), with a likelihood ratio
-    statistic of ``least`` or more, which chance does not reach among millions of words."""
+#: The chance that any word of no class at all gets into the lexicon.
+CHANCE = 0.05
+
+
+def least_statistic(tests: int, chance: float = CHANCE) -> float:
+    """What the likelihood ratio statistic of none of so many words exceeds but with that chance (chi squared, one degree)."""
+    return NormalDist().inv_cdf(1 - chance / (2 * max(tests, 1))) ** 2
+
+
+def lexicon(no: np.ndarray, yes: np.ndarray, n_no: int, n_yes: int) -> np.ndarray:
+    """Truth per bucket: toxic texts have the word more often (log odds over 1.5), and by a likelihood ratio statistic
+    that chance does not reach among as many words as there are; the fewer, the rarer a word may be."""
+    least = least_statistic(int(((yes + no) > 0).sum()))
 
     def gain(seen: np.ndarray, n: int) -> np.ndarray:
         share, rest = (yes + no) / (n_yes + n_no), n - seen

@@ -251,3 +251,14 @@ def test_a_small_bound_of_training_urls_keeps_both_classes(spark):
     sample = url_trees.training_sample(rows.where("_label is not null").withColumn("_weight", F.lit(1.0)), 50)
     sizes = {r._label: (r.n, round(r.w)) for r in sample.groupBy("_label").agg(F.count("*").alias("n"), F.sum("_weight").alias("w")).collect()}
     assert sizes[0.0][0] == 20 and sizes[1.0][0] <= 50 and (sizes[0.0][1], sizes[1.0][1]) == (97, 600)
+
+
+def test_the_lexicon_takes_rarer_words_where_fewer_are_tested():
+    rng = np.random.Generator(np.random.PCG64(2))
+    for tests, seen in ((200, 8), (200_000, 16)):
+        no = rng.binomial(9_000, 0.002, tests)
+        yes = rng.binomial(1_000, 0.002, tests)
+        no[0], yes[0] = 0, seen
+        found = toxic_spans.lexicon(no, yes, 9_000, 1_000)
+        assert found[0] and found.sum() <= 3
+    assert toxic_spans.least_statistic(100) < 13 < 27 < toxic_spans.least_statistic(1 << 18) < 40

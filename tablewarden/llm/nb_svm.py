@@ -6,7 +6,8 @@ descent on a bounded sample, and its margins are mapped to probabilities. Scorin
 
 Defined results: NULL and empty text have no features and get the score of the bias. Without labels, or with
 labels of one class only, every score is the smoothed share of label 1. A text labelled more than once counts
-once for each label row. An empty table gives an empty result.
+once for each label row. An empty table gives an empty result. Very long texts are scored whole (in the sample they may
+be cut); other columns are passed over.
 """
 
 from __future__ import annotations

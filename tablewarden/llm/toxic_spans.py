@@ -9,7 +9,8 @@ texts are then scored by forward-backward; runs of words with a marginal of one
 
 Defined results: NULL and empty text has no words and no spans, and the score of that case on the curve.
 Without labels, or with one class only, every score is the smoothed share of label 1. Rows are scored one by
-one, so repeated rows agree. An empty table gives an empty result.
+one, so repeated rows agree. An empty table gives an empty result. Very long texts are scored whole (in the sample
+that the chain is fitted on they may be cut, see :func:`common.sampled`); other columns are passed over.
 """
 
 from __future__ import annotations

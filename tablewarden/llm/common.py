@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, names: dict[str, str], row: str = "_row") -> DataFrame:
+    """``docs`` with its columns renamed, and a number of each row that is the same whenever it is read.
+
+    Rows of files are numbered by their file and place in it; rows of any other plan are written down first.
+    """
+    renamed = [F.col(f"`{c}`").alias(n) for c, n in names.items()]
+    try:
+        if "_metadata" not in docs.columns:
+            place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+            return docs.select(*renamed, place.alias(row))
+    except AnalysisException:
+        pass
+    return stored(docs.select(*renamed, F.monotonically_increasing_id().alias(row)))
+
+
 def text_or_empty(column: str):
     """The text, empty where it is NULL."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import stored, text_or_empty
+from tablewarden.llm.common import numbered, stored, text_or_empty
 
 #: Counters of a summary. Bounds the broadcast: at most so many digests, of about 100 bytes each.
 COUNTERS = 512
@@ -115,8 +115,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", counte
     their keys, are spread as all other rows are.
     """
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    safe = docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    rows = stored(safe.withColumn("_row", F.monotonically_increasing_id()))
+    rows = numbered(docs, names)
     digests = with_digest(rows.select(F.col(names[key]).alias("_key"), F.col(names[text]).alias("_text"), "_row"), "_text")
     groups = grouped(stored(digests.select("_key", "_digest", "_size", "_row")), counters)
     kept = groups.where(F.col("_row") == F.col("_kept")).select("_row")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm import exchange, words
-from tablewarden.llm.common import WHITE, stored, text_or_empty
+from tablewarden.llm.common import WHITE, numbered, stored, text_or_empty
 from tablewarden.llm.components import components
 
 #: Words of a shingle, and the similarity in hundredths from which documents are linked.
@@ -474,8 +474,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     all other rows are.
     """
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    safe = docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    rows = stored(safe.withColumn("_row", F.monotonically_increasing_id()))
+    rows = numbered(docs, names)
     body = text_or_empty(names[text])
     groups = grouped_rows(rows, names[key], names[text]).where("n > 0")
     first = F.min(F.struct(F.col("key").isNull().alias("last"), F.col("key").alias("k"), F.col("th").alias("h")))

@@ -47,6 +47,8 @@ log = logging.getLogger(__name__)
 #: One job has at most so many branches (scans, checks of their own, setups); the
 #: plan of a large registry would otherwise take longer than its checks.
 BRANCHES = 25
+#: Fewer are not worth a job, and a commit, of their own.
+LEAST_BRANCHES = 4
 #: So many jobs of a run are planned and executed side by side, each in a scheduler pool of its own.
 PARALLEL = 4
 
@@ -725,8 +727,10 @@ class RunPlan:
         Of jobs that fail with the cluster or its storage the first error is raised once the others have ended.
         """
         branches = self._scans(self.planned) + [[p] for p in self.planned if p.body is None]
-        size = max(1, min(BRANCHES, -(-len(branches) // PARALLEL)))
+        size = max(LEAST_BRANCHES, min(BRANCHES, -(-len(branches) // PARALLEL)))
         jobs = [[p for branch in branches[i : i + size] for p in branch] for i in range(0, len(branches), size)]
+        if not jobs:
+            return
         if len(jobs) == 1:
             yield self._batch_name(jobs[0]), self._rows(jobs[0])
             return

@@ -133,8 +133,8 @@ def judged(
     return named.select(*[F.col(f"`{c}`") for c in docs.columns], *fields)
 
 
-#: Text bytes whose words are labelled together by :func:`judged`.
-JUDGED_TOGETHER = 300_000
+#: Text bytes whose words are labelled together by :func:`judged`; workers keep the memory that this takes.
+JUDGED_TOGETHER = 100_000
 
 
 def decided(part: words.Words, rows: int, chain: chain_crf.Chain | None, total: int) -> tuple[np.ndarray, np.ndarray]:

@@ -32,10 +32,13 @@ def score_results(results: DataFrame, dim_table: DataFrame, dim_check: DataFrame
     joined on all of them. A result the configuration does not know stays, with its own unit, mode
     and policy if it has them and neither scope nor score. A key configured twice is an error.
     No side is marked for broadcast: Spark does that by itself where the measured size allows, and
-    otherwise splits a check that holds much of the history.
+    otherwise splits a check that holds much of the history. The two dimensions are always merged:
+    before documents are unfolded their size is a guess that is far too low, and Spark keeps a
+    broadcast planned by it, as a merge has more shuffles.
     """
     table_keys, check_keys = [*PLACE, "table_name"], [*PLACE, "table_name", "check_name"]
-    dims = _once(dim_check, *check_keys).join(_once(dim_table, *table_keys), table_keys).select(
+    tables = _once(dim_table, *table_keys).hint("merge")
+    dims = _once(dim_check, *check_keys).join(tables, table_keys).select(
         *[F.col(k).alias(f"_{k}") for k in check_keys],
         F.col("policy_type").alias("_policy"),
         F.col("violation_unit").alias("_unit"),

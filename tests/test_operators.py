@@ -205,6 +205,32 @@ def test_frequent_check_of_a_score_join_is_split(spark, joins_without_broadcast)
     assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_unfolded_dimensions_of_a_score_join_are_no_broadcast(spark):
+    """Their size is guessed from the rows before they are unfolded: 200 stand for 10,000 tables."""
+    from tablewarden.plans.scores import score_results
+
+    place = ["'i' AS instance_name", "'d' AS database_name", "concat('t', t) AS table_name"]
+    unfolded = spark.range(0, 200, 1, 2).selectExpr("explode(sequence(id * 50, id * 50 + 49)) AS t")
+    results = spark.range(0, 20000, 1, 4).selectExpr("id % 10001 AS t", "1L AS v").selectExpr(
+        *place, "'c' AS check_name", "v AS check_violation_cnt"
+    )
+    tables = unfolded.selectExpr(
+        *place, "5D AS avg_rows", "CAST(NULL AS STRING) AS partition_key", "'full' AS table_mode"
+    )
+    checks = unfolded.selectExpr(
+        *place, "'c' AS check_name", "'rows' AS violation_unit", "'high' AS severity",
+        "'quality' AS policy_type", "'full' AS config_mode",
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200k")
+    try:
+        got = score_results(results, tables, checks).groupBy("check_scope", "check_severity_score").count()
+        assert {tuple(r) for r in got.collect()} == {(20.0, 20, 19999), (None, None, 1)}
+        assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_reference_check_counts_before_it_shuffles(spark):
     child = spark.range(9).selectExpr("id % 2 AS k")
     plan = key_checks.foreign_key_violations(child, child, ["k"])
